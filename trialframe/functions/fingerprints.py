@@ -14,6 +14,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed value: fingerprints are the first 16 hex digits of SHA-256.
 FINGERPRINT_LENGTH = 16
@@ -38,12 +39,12 @@ def _canonical_text(raw: str | None) -> str | None:
     return json.dumps(value, sort_keys=True, separators=(",", ":"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _canonical_python(raw: pd.Series) -> pd.Series:
     return raw.map(_canonical_text, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _quoted_python(raw: pd.Series) -> pd.Series:
     return raw.map(json.dumps, na_action="ignore")
 

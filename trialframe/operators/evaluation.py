@@ -129,7 +129,7 @@ def canonicalize_configs(
             canonicalize(json.loads(raw)), sort_keys=True, separators=(",", ":")
         )
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def rewritten(raw: pd.Series) -> pd.Series:
         return raw.map(rewrite, na_action="ignore")
 

@@ -42,8 +42,11 @@ def _json(
 
 
 def _with_times(df: DataFrame, schema: T.StructType) -> DataFrame:
+    # Rounded to the microsecond: timestamp_seconds() would cut it off.
     times = {
-        field.name: F.timestamp_seconds(F.col(field.name))
+        field.name: F.timestamp_micros(
+            F.round(F.col(field.name) * 1_000_000).cast("long")
+        )
         for field in schema.fields
         if isinstance(field.dataType, T.TimestampType)
     }

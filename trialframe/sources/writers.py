@@ -60,18 +60,23 @@ def publish(snapshot: DataFrame, root: str, version: int) -> None:
     """
     snapshot.write.mode("overwrite").parquet(f"{root}/version={version}")
     pointer = snapshot.sparkSession.range(1).select(F.lit(version).alias("version"))
-    pointer.write.mode("append").json(f"{root}/_published")
+    pointer.write.mode("append").json(f"{root}/published")
 
 
-def latest_version(spark: SparkSession, root: str) -> int | None:
-    """Latest published version, or None."""
+def version_before(spark: SparkSession, root: str, bound: int) -> int | None:
+    """Latest published version below ``bound``, or None."""
     try:
-        pointers = spark.read.schema("version long").json(f"{root}/_published")
+        pointers = spark.read.schema("version long").json(f"{root}/published")
     except AnalysisException as error:
         if _missing(error):
             return None
         raise
-    return pointers.agg(F.max("version")).first()[0]
+    return pointers.where(F.col("version") < bound).agg(F.max("version")).first()[0]
+
+
+def latest_version(spark: SparkSession, root: str) -> int | None:
+    """Latest published version, or None."""
+    return version_before(spark, root, 2**62)
 
 
 def read_version(spark: SparkSession, root: str, version: int) -> DataFrame:
