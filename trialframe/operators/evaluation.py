@@ -77,13 +77,20 @@ def _plain(prior) -> list:
     return [row.asDict() if hasattr(row, "asDict") else dict(row) for row in prior]
 
 
-def evaluate_configs(configs: DataFrame, evaluate: Evaluate) -> DataFrame:
+def evaluate_configs(
+    configs: DataFrame, evaluate: Evaluate, tasks: int | None = None
+) -> DataFrame:
     """Add the outcome of ``evaluate`` to each row of ``configs``.
 
     Reads the columns ``config`` (JSON object) and, if present, ``prior`` (an
     array of structs handed over as a list of dicts).  Results carry clock
     times: persist them before using them twice.
+
+    ``tasks`` spreads the rows evenly.  Configs are small and their evaluation
+    is slow, so partitions sized by bytes would leave most cores idle.
     """
+    if tasks:
+        configs = configs.repartition(tasks)
     kept = [f for f in configs.schema.fields if f.name != "prior"]
     schema = T.StructType(kept + _EVALUATED.fields)
     names = [f.name for f in kept]
@@ -161,8 +168,11 @@ def artifact_rows(evaluated: DataFrame) -> DataFrame:
     own = F.coalesce(
         F.col("artifact_payload"), F.create_map().cast("map<string,string>")
     )
+    known = "agent_id" in evaluated.columns
+    agent = F.col("agent_id") if known else F.lit(None).cast("string")
     return evaluated.where(F.col("status") != FAILED).select(
-        "agent_id", "run_id", override(F.create_map(*pairs), own).alias("artifact")
+        agent.alias("agent_id"), "run_id",
+        override(F.create_map(*pairs), own).alias("artifact"),
     )
 
 
@@ -182,17 +192,20 @@ def run_round(
     """One round: admit → evaluate → add results → leaderboard.
 
     Only accepted candidates reach the user's function: the cheap checks come
-    before the Python stage.  Evaluated rows are checkpointed, since their run
+    before the Python stage.  Evaluated rows are written once, since their run
     ids and times must not change when a lost executor recomputes them.
     """
+    spark = candidates.sparkSession
     keys = ["project", "fingerprint", "ts", "candidate_id"]
     admitted = admit(candidates, results, claims)
     accepted = admitted.where("accepted").select(*keys)
-    asked = candidates.join(accepted, keys, "left_semi").withColumn(
-        "run_id", new_run_id()
+    asked = with_history(
+        candidates.join(accepted, keys, "left_semi"),
+        leaderboard_snapshot(results, contracts),
     )
+    tasks = spark.sparkContext.defaultParallelism
     evaluated = durable(
-        evaluate_configs(with_history(asked, leaderboard_snapshot(results, contracts)), evaluate)
+        evaluate_configs(asked, evaluate, tasks).withColumn("run_id", new_run_id())
     )
     fresh = config_results(evaluated, contracts)
     everything = union_results(results, fresh)

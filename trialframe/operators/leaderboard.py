@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from trialframe.functions.objective import cost, is_rankable
 from trialframe.schemas import DISCARD, FAILED, RANKING_COLUMNS
+from trialframe.session import durable
 
 RUN_KEY = ["project", "fingerprint", "run_id"]
 
@@ -147,9 +148,13 @@ def leaderboard_snapshot(
     results: DataFrame,
     contracts: DataFrame,
     row_columns: tuple[str, ...] = ("fingerprint", "run_id", "metric_value"),
+    deepest: int | None = None,
 ) -> DataFrame:
     """One row per contract: counters, ``top_k`` and ``best``.
 
+    ``deepest`` is the largest limit of any contract, read from the table when
+    not given: ranks beyond it are cut before the shuffle.
+
     Objective and metric come from the contract.  A row whose metric_name is
     another metric is not ranked.  ``best`` is given even when the limit is 0.
     """
@@ -164,10 +169,11 @@ def leaderboard_snapshot(
         "metric_value",
         F.when(~F.coalesce(other_metric, F.lit(False)), F.col("metric_value")),
     )
-    deepest = max(1, largest_limit(contracts))
+    if deepest is None:
+        deepest = largest_limit(contracts)
     entry = F.struct("rank", *row_columns)
     board = (
-        ranked(scoped, deepest)
+        ranked(scoped, max(1, check_limit(deepest)))
         .groupBy("project")
         .agg(F.array_sort(F.collect_list(entry)).alias("_rows"))
     )
@@ -191,13 +197,23 @@ def ranking_view(results: DataFrame) -> DataFrame:
     return results.select(*RANKING_COLUMNS)
 
 
+#: Ranked rows are broadcast up to this many (narrow rows, about 100 bytes).
+MAX_BROADCAST_ROWS = 500_000
+
+
 def full_rows(ranked_rows: DataFrame, results: DataFrame) -> DataFrame:
     """Wide columns (config, diff, ...) for rows that survived ranking.
 
-    The join comes last so that wide columns are never shuffled by ranking.
+    The few ranked rows are written first and counted: within the bound they
+    are broadcast, so the wide columns are scanned but never shuffled, and only
+    in the partitions of projects that have such rows.  Beyond it Spark chooses
+    the join.
     """
     wide = [c for c in results.columns if c not in ranked_rows.columns]
-    return ranked_rows.join(results.select(*RUN_KEY, *wide), RUN_KEY, "inner")
+    few = durable(ranked_rows)
+    if few.count() <= MAX_BROADCAST_ROWS:
+        few = F.broadcast(few)
+    return results.select(*RUN_KEY, *wide).join(few, RUN_KEY, "inner")
 
 
 def baseline_delta(results: DataFrame) -> DataFrame:

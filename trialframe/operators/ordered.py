@@ -7,7 +7,7 @@ running values are taken inside a chunk, and what came before it is added from
 a small table with one row per (key, chunk).
 
 The chunk number must not change between two reads of the rows, so chunked
-rows are checkpointed once (range bounds come from sampling).
+rows are written once to the shared folder (range bounds come from sampling).
 """
 
 from __future__ import annotations

@@ -55,7 +55,59 @@ def stream_lease_sessions(spark, sf_dir):
     return table_.select("user_id", _local("lease_start"), _local("lease_end"), "beats")
 
 
-@query("stream_lease_tracker")
+@query("stream_lease_tracker", with_runs("""
+, log AS (
+  SELECT project, fingerprint, 'a' || (event_id % 3) AS agent_id, completed_at AS ts,
+    completed_at + INTERVAL 3 DAY AS expires,
+    CASE event_type WHEN 'click' THEN 'claim' WHEN 'purchase' THEN 'release'
+         ELSE 'refresh' END AS kind,
+    row_number() OVER (PARTITION BY project, fingerprint
+                       ORDER BY completed_at, event_id) AS place
+  FROM runs),
+step AS (
+  SELECT project, fingerprint, CAST(0 AS BIGINT) AS place,
+    CAST(NULL AS VARCHAR) AS agent, CAST(NULL AS TIMESTAMP) AS began,
+    CAST(NULL AS TIMESTAMP) AS ends, CAST(0 AS BIGINT) AS beats, false AS live,
+    CAST(NULL AS VARCHAR) AS out_agent, CAST(NULL AS TIMESTAMP) AS out_start,
+    CAST(NULL AS TIMESTAMP) AS out_end, CAST(0 AS BIGINT) AS out_beats,
+    CAST(NULL AS VARCHAR) AS out_state
+  FROM log WHERE place = 1
+  UNION ALL
+  SELECT project, fingerprint, place,
+    CASE WHEN takes THEN v_agent WHEN gives THEN NULL ELSE agent END,
+    CASE WHEN takes OR renews THEN ts WHEN gives THEN NULL ELSE began END,
+    CASE WHEN takes OR renews OR extends THEN expires WHEN gives THEN NULL ELSE ends END,
+    CASE WHEN takes OR renews THEN 1 WHEN extends THEN beats + 1 ELSE beats END,
+    CASE WHEN takes OR renews THEN true WHEN gives THEN false ELSE now_live END,
+    CASE WHEN lapsed OR (gives AND now_live) THEN agent END,
+    CASE WHEN lapsed OR (gives AND now_live) THEN began END,
+    CASE WHEN lapsed THEN ends WHEN gives AND now_live THEN ts END,
+    CASE WHEN lapsed OR (gives AND now_live) THEN beats ELSE 0 END,
+    CASE WHEN lapsed THEN 'expired' WHEN gives AND now_live THEN 'released' END
+  FROM (
+    SELECT *, kind = 'claim' AND NOT now_live AS takes,
+      kind = 'refresh' AND owner AND now_live AS extends,
+      kind = 'refresh' AND owner AND NOT now_live AS renews,
+      kind = 'release' AND owner AS gives
+    FROM (
+      SELECT s.project, s.fingerprint, v.place, s.agent, s.began, s.ends, s.beats,
+        v.agent_id AS v_agent, v.ts, v.expires, v.kind,
+        s.live AND s.ends > v.ts AS now_live, s.live AND s.ends <= v.ts AS lapsed,
+        coalesce(s.agent = v.agent_id, false) AS owner
+      FROM step s JOIN log v ON v.project = s.project
+        AND v.fingerprint = s.fingerprint AND v.place = s.place + 1))),
+final AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY project, fingerprint
+                                 ORDER BY place DESC) AS back FROM step)
+  WHERE back = 1 AND live
+    AND ends <= (SELECT date_trunc('millisecond', max(ts)) FROM log))
+SELECT project, fingerprint, out_agent AS agent_id, out_start AS lease_start,
+       out_end AS lease_end, out_beats AS beats, out_state AS state
+FROM step WHERE out_state IS NOT NULL
+UNION ALL
+SELECT project, fingerprint, agent, began, ends, beats, 'expired' FROM final""",
+    recursive=True))
 def stream_lease_tracker(spark, sf_dir):
     """Leases as they are released or expire, with ownership."""
     log = _timed(lease_log(runs_of(_events(spark, sf_dir))), "ts")

@@ -64,17 +64,16 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One contract per project seen in events, and one without runs."""
-    seen = table(spark, sf_dir, "events").select(
-        _project().alias("name"), _objective().alias("objective")
+    idle = F.struct(F.lit("p10").alias("name"), F.lit("minimize").alias("objective"))
+    own = F.struct(_project().alias("name"), _objective().alias("objective"))
+    rows = table(spark, sf_dir, "events").select(
+        F.inline(F.array(own, idle))
     ).distinct()
-    idle = seen.agg(
-        F.concat(F.lit("p"), F.count("*").cast("string")).alias("name"),
-        F.lit("minimize").alias("objective"),
-    )
-    rows = seen.unionByName(idle).withColumns(
-        {"metric": F.lit(METRIC), "claim_ttl_seconds": F.lit(LEASE_TTL)}
+    return with_defaults(
+        rows.withColumns(
+            {"metric": F.lit(METRIC), "claim_ttl_seconds": F.lit(LEASE_TTL)}
+        )
     )
-    return with_defaults(rows)
 
 
 def beats(spark: SparkSession, sf_dir: str) -> DataFrame:

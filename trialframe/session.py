@@ -42,9 +42,16 @@ def new_scratch(spark: SparkSession, label: str) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder, so lost executors cannot change it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` as a table in the shared folder: computed once, read many times.
+
+    Cuts lineage, so a lost executor cannot change rows that depend on
+    sampling, clocks or random ids.  Columns are pruned when it is read, and
+    its size is known to the planner.
+    """
+    spark = df.sparkSession
+    path = new_scratch(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager

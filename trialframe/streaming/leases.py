@@ -79,8 +79,8 @@ def _moment(micros: int) -> datetime:
 class LeaseTracker(StatefulProcessor):
     """One lease per (project, fingerprint); emits it when it ends.
 
-    Only the owner refreshes or releases.  An event behind the watermark has
-    no effect and is emitted with state ``late``.
+    Only the owner refreshes or releases.  Events behind the watermark are
+    dropped by Spark before they get here.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -91,16 +91,12 @@ class LeaseTracker(StatefulProcessor):
         return (*key, agent, _moment(start), _moment(end), beats, state)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        watermark = timerValues.getCurrentWatermarkInMs() * 1000
         held = self.lease.get() if self.lease.exists() else None
         out = []
         for batch in rows:
             for event in batch.sort_values(["ts", "event_id"]).itertuples():
                 at = _micros(event.ts)
                 expiry = at + int(float(event.ttl_seconds) * 1_000_000)
-                if at < watermark:
-                    out.append(self._row(key, event.agent_id, at, at, 0, "late"))
-                    continue
                 live = held is not None and held[4]
                 if live and held[2] <= at:
                     out.append(self._row(key, *held[:4], "expired"))
@@ -114,8 +110,9 @@ class LeaseTracker(StatefulProcessor):
                 elif event.kind == REFRESH and owner and held[2] <= at:
                     # Expired, not released: the beat opens a new lease.
                     held = (held[0], at, expiry, 1, True)
-                elif event.kind == RELEASE and owner and live:
-                    out.append(self._row(key, held[0], held[1], at, held[3], "released"))
+                elif event.kind == RELEASE and owner:
+                    if live:
+                        out.append(self._row(key, held[0], held[1], at, held[3], "released"))
                     held = None
         self._remember(held)
         if out:
