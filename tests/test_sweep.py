@@ -10,6 +10,7 @@ from trialframe.functions.fingerprints import config_fingerprint
 from trialframe.operators import evaluation as e
 from trialframe.operators import sweep as s
 from trialframe.operators.leaderboard import leaderboard_snapshot
+from trialframe.operators.rounds import config_round
 
 
 def test_threshold_sweep_equals_brute_force(spark):
@@ -110,7 +111,7 @@ def test_round_admits_evaluates_and_ranks(spark):
     claims = spark.createDataFrame(
         [("p", "fc", at(0), at(100))],
         "project string, fingerprint string, claimed_at timestamp, expires_at timestamp")
-    out = e.run_round(asked, stored, claims, terms,
+    out = config_round(asked, stored, claims, terms,
                       lambda c, prior: {"metric_name": "loss", "metric_value": c["x"] - len(prior), "status": "completed"})
     assert [(r.fingerprint, r.metric_value) for r in out["results"].collect()] == [("fb", 0.0)]
     assert sorted(r.reason for r in out["admission"].collect()) == ["accepted", "claimed", "claimed", "completed"]

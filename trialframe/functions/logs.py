@@ -26,12 +26,22 @@ def java_pattern(pattern: str) -> str:
     return "(?mdU)" + re.sub(r"\(\?P<(\w+)>", r"(?<\1>", pattern)
 
 
-def log_metric(log: Column, pattern: str = DEFAULT_METRIC_PATTERN) -> Column:
+def _java_pattern_of(pattern: Column) -> Column:
+    named = F.regexp_replace(pattern, r"\(\?P<(\w+)>", r"(?<$1>")
+    return F.concat(F.lit("(?mdU)"), named)
+
+
+def log_metric(log: Column, pattern: str | Column = DEFAULT_METRIC_PATTERN) -> Column:
     """Group 1 of the first match as a double; NULL without a match.
 
-    Captured text that is no number, such as ``1.2.3``, also gives NULL.
+    Captured text that is no number, such as ``1.2.3``, also gives NULL.  The
+    pattern may be a column, such as the one of a contract.
     """
-    found = F.trim(F.regexp_extract(log, java_pattern(pattern), 1))
+    if isinstance(pattern, str):
+        java = F.lit(java_pattern(pattern))
+    else:
+        java = _java_pattern_of(pattern)
+    found = F.trim(F.call_function("regexp_extract", log, java, F.lit(1)))
     return F.when(
         found.rlike(_NUMBER), F.regexp_replace(found, "_", "").try_cast("double")
     )

@@ -1,9 +1,11 @@
 """Admission: which proposed configs are new, finished or being worked on.
 
 Results may be far larger than the candidates.  They are first reduced to the
-keys the candidates ask for: with few candidates Spark broadcasts their keys
-and scans two result columns without shuffling them; otherwise it shuffles
-both sides on the key and splits hot ones at run time.
+keys the candidates ask for.  Those keys are written to a small table, so the
+planner knows their size before it starts on the results: when they fit its
+broadcast threshold, two result columns are scanned and nothing large is
+shuffled; otherwise both sides are shuffled on the key and hot keys are split
+at run time.
 """
 
 from __future__ import annotations
@@ -12,19 +14,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialframe.operators.ordered import MAX_GROUP_ROWS, ordered_groups
+from trialframe.session import durable
 
 KEY = ["project", "fingerprint"]
 ACCEPTED, COMPLETED, CLAIMED = "accepted", "completed", "claimed"
 
 
-def asked_for(rows: DataFrame, candidates: DataFrame) -> DataFrame:
-    """The rows whose key occurs among the candidates."""
-    return rows.join(candidates.select(*KEY).distinct(), KEY, "left_semi")
+def asked_keys(candidates: DataFrame) -> DataFrame:
+    """The distinct candidate keys, as a table of known size."""
+    return durable(candidates.select(*KEY).distinct())
+
+
+def _finished(results: DataFrame, asked: DataFrame) -> DataFrame:
+    return results.select(*KEY).join(asked, KEY, "left_semi").distinct()
 
 
 def finished_keys(candidates: DataFrame, results: DataFrame) -> DataFrame:
     """Candidate keys with any stored result, failed and discarded included."""
-    return asked_for(results.select(*KEY), candidates).distinct()
+    return _finished(results, asked_keys(candidates))
 
 
 def novel_candidates(candidates: DataFrame, results: DataFrame) -> DataFrame:
@@ -54,14 +61,15 @@ def admit(
     running maximum of expires_at tells whether a claim is live: no pairs of
     candidates and claims are formed.
     """
-    done = finished_keys(candidates, results).withColumn("_done", F.lit(True))
+    asked = asked_keys(candidates)
+    done = _finished(results, asked).withColumn("_done", F.lit(True))
     asking = candidates.join(done, KEY, "left").select(
         *KEY, "ts", F.lit(1).alias("_kind"), "candidate_id",
         F.coalesce("_done", F.lit(False)).alias("_done"),
         F.lit(None).cast(claims.schema["expires_at"].dataType).alias("_expires"),
     )
     id_type = candidates.schema["candidate_id"].dataType
-    holding = asked_for(claims, candidates).select(
+    holding = claims.join(asked, KEY, "left_semi").select(
         *KEY, F.col("claimed_at").alias("ts"), F.lit(0).alias("_kind"),
         F.lit(None).cast(id_type).alias("candidate_id"),
         F.lit(False).alias("_done"), F.col("expires_at").alias("_expires"),

@@ -16,12 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trialframe.functions.fingerprints import canonical_json
-from trialframe.functions.text import new_run_id
-from trialframe.operators.admission import admit
-from trialframe.operators.decisions import as_results, union_results
-from trialframe.operators.leaderboard import leaderboard_snapshot
-from trialframe.schemas import COMPLETED, FAILED
-from trialframe.session import durable
+from trialframe.operators.decisions import as_results
+from trialframe.schemas import FAILED
 
 Evaluate = Callable[[dict, list], dict]
 
@@ -180,44 +176,3 @@ def override(base, extra):
     """Union of two maps in which ``extra`` wins, under any session setting."""
     kept = F.map_filter(base, lambda key, _: ~F.map_contains_key(extra, key))
     return F.map_concat(kept, extra)
-
-
-def run_round(
-    candidates: DataFrame,
-    results: DataFrame,
-    claims: DataFrame,
-    contracts: DataFrame,
-    evaluate: Evaluate,
-) -> dict[str, DataFrame]:
-    """One round: admit → evaluate → add results → leaderboard.
-
-    Only accepted candidates reach the user's function: the cheap checks come
-    before the Python stage.  Evaluated rows are written once, since their run
-    ids and times must not change when a lost executor recomputes them.
-    """
-    spark = candidates.sparkSession
-    keys = ["project", "fingerprint", "ts", "candidate_id"]
-    admitted = admit(candidates, results, claims)
-    accepted = admitted.where("accepted").select(*keys)
-    asked = with_history(
-        candidates.join(accepted, keys, "left_semi"),
-        leaderboard_snapshot(results, contracts),
-    )
-    tasks = spark.sparkContext.defaultParallelism
-    evaluated = durable(
-        evaluate_configs(asked, evaluate, tasks).withColumn("run_id", new_run_id())
-    )
-    fresh = config_results(evaluated, contracts)
-    everything = union_results(results, fresh)
-    return {
-        "admission": admitted,
-        "results": fresh,
-        "artifacts": artifact_rows(evaluated),
-        "snapshot": leaderboard_snapshot(everything, contracts),
-    }
-
-
-__all__ = [
-    "COMPLETED", "artifact_rows", "canonicalize_configs", "config_results",
-    "evaluate_configs", "override", "run_round", "with_history",
-]

@@ -30,6 +30,10 @@ def live_claims(claims: DataFrame, as_of: Column) -> DataFrame:
     return claims.where(F.col("expires_at") > as_of)
 
 
+def _beat() -> Column:
+    return F.struct("ts", "event_id", "expires")
+
+
 def _starts(previous: Column) -> Column:
     return previous.isNull() | (F.col("ts") >= previous["expires"])
 
@@ -64,24 +68,15 @@ def lease_sessions(
     )
 
 
-def lease_states(
-    events: DataFrame, as_of: Column, max_group_rows: int = MAX_GROUP_ROWS
-) -> DataFrame:
-    """Leases from claim, refresh and release events, with their state.
-
-    ``events``: project, fingerprint, agent_id, kind, ts, event_id,
-    ttl_seconds.  Claims in the table are accepted ones.  Only the agent of
-    the latest claim can refresh or release; events of others, and beats after
-    a release, have no effect.  State at ``as_of``: released, expired or open.
-    """
+def _played(events: DataFrame, max_group_rows: int) -> DataFrame:
+    """Events with ``_valid`` (had an effect) and the number of their lease."""
     at = F.struct("ts", "event_id")
     kind = F.col("kind")
-    rows = events.where(F.col("ts") <= as_of).select(
+    rows = events.select(
         "project", "fingerprint", "agent_id", "kind", "ts", "event_id",
         expires_at(F.col("ts"), F.col("ttl_seconds")).alias("expires"),
     )
     claim = F.struct("ts", "event_id", "agent_id")
-    beat = F.struct("ts", "event_id", "expires")
     owned = F.col("_claim.agent_id") == F.col("agent_id")
     claimed_at = F.struct(
         F.col("_claim.ts").alias("ts"), F.col("_claim.event_id").alias("event_id")
@@ -91,25 +86,54 @@ def lease_states(
     opens = F.col("_valid") & (
         (kind == CLAIM) | ((kind == REFRESH) & _starts(F.col("_previous")))
     )
-    numbered = (
-        ordered_groups(rows, ["project", "fingerprint"], ["ts", "event_id"], max_group_rows)
+    return (
+        ordered_groups(
+            rows, ["project", "fingerprint"], ["ts", "event_id"], max_group_rows
+        )
         .running("_claim", "max", F.when(kind == CLAIM, claim), include_current=True)
         .with_columns(_owned=F.coalesce(owned, F.lit(False)))
         .running("_release", "max", F.when(F.col("_owned") & (kind == RELEASE), at))
         .with_columns(_valid=F.col("_owned") & ((kind == CLAIM) | ~released))
-        .running("_previous", "max", F.when(is_beat, beat))
+        .running("_previous", "max", F.when(is_beat, _beat()))
         .with_columns(_start=opens.cast("long"))
         .running("_lease", "sum", F.col("_start"), include_current=True)
         .result()
-        .where("_valid")
     )
+
+
+def event_effects(
+    events: DataFrame, max_group_rows: int = MAX_GROUP_ROWS
+) -> DataFrame:
+    """Whether each event had an effect: the owner's, on an unreleased claim."""
+    return _played(events, max_group_rows).select(
+        "project", "fingerprint", "event_id", F.col("_valid").alias("effective")
+    )
+
+
+def lease_states(
+    events: DataFrame, as_of: Column, max_group_rows: int = MAX_GROUP_ROWS
+) -> DataFrame:
+    """Leases from claim, refresh and release events, with their state.
+
+    ``events``: project, fingerprint, agent_id, kind, ts, event_id,
+    ttl_seconds.  Claims in the table are accepted ones.  Only the agent of
+    the latest claim can refresh or release; events of others, and beats after
+    a release, have no effect.  State at ``as_of``: released, expired or open.
+    """
+    kind = F.col("kind")
+    known = events.where(F.col("ts") <= as_of)
     ended = F.when(kind == RELEASE, F.col("ts"))
-    leases = numbered.groupBy("project", "fingerprint", "_lease").agg(
-        F.first("agent_id").alias("agent_id"),
-        F.min(F.when(kind != RELEASE, F.col("ts"))).alias("lease_start"),
-        F.max(F.when(kind != RELEASE, beat))["expires"].alias("expires_at"),
-        F.min(ended).alias("_released_at"),
-        F.count_if(kind != RELEASE).alias("beats"),
+    leases = (
+        _played(known, max_group_rows)
+        .where("_valid")
+        .groupBy("project", "fingerprint", "_lease")
+        .agg(
+            F.first("agent_id").alias("agent_id"),
+            F.min(F.when(kind != RELEASE, F.col("ts"))).alias("lease_start"),
+            F.max(F.when(kind != RELEASE, _beat()))["expires"].alias("expires_at"),
+            F.min(ended).alias("_released_at"),
+            F.count_if(kind != RELEASE).alias("beats"),
+        )
     )
     in_time = F.col("_released_at") < F.col("expires_at")
     released_at = F.when(in_time, F.col("_released_at"))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trialframe.functions.fingerprints import has_changes
-from trialframe.functions.logs import log_metric
+from trialframe.functions.logs import DEFAULT_METRIC_PATTERN, log_metric
 from trialframe.functions.text import keep_message
 from trialframe.operators import decisions as d
+from trialframe.operators.rounds import code_round
 from trialframe.plans.registry import query, with_runs
-from trialframe.plans.tables import diffs, logs, runs
+from trialframe.plans.tables import claims, contracts, diffs, logs, runs, table
 
 
 @query("log_metric", """
@@ -145,3 +146,66 @@ FROM documents WHERE regexp_matches(text, '\\S') GROUP BY 2""")
 def diff_dedup(spark, sf_dir):
     keyed = diffs(spark, sf_dir).where(has_changes(F.col("text"))).drop("text")
     return d.diff_groups(keyed)
+
+
+@query("code_round", with_runs("""
+, offered AS (
+  SELECT 'p' || (e.user_id % 10) AS project,
+    CASE WHEN e.user_id % 2 = 0 THEN 'minimize' ELSE 'maximize' END AS objective,
+    printf('%012x', e.event_id) AS run_id, e.event_id, e.ts,
+    substr(sha256(d.text), 1, 16) AS fingerprint,
+    e.event_id % 11 = 0 AS timed_out,
+    CASE WHEN e.event_id % 11 <> 0 THEN e.value END AS metric_value
+  FROM events e JOIN documents d ON d.doc_id = e.event_id
+  WHERE regexp_matches(d.text, '\\S')),
+ran AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY project, fingerprint
+                                 ORDER BY ts, run_id) AS turn FROM offered)
+  WHERE turn = 1),
+history AS (
+  SELECT project, objective, run_id, ts + INTERVAL 1 DAY AS completed_at,
+         metric_value, round(metric_value, 6) AS prior, true AS is_code, timed_out
+  FROM ran
+  UNION ALL
+  SELECT project, objective, run_id, completed_at, metric_value, metric_value,
+         false, false
+  FROM finished),
+costed AS (
+  SELECT *, CASE objective WHEN 'maximize' THEN -metric_value ELSE metric_value END AS m,
+    min(CASE objective WHEN 'maximize' THEN -prior ELSE prior END) OVER (
+      PARTITION BY project ORDER BY completed_at, run_id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best
+  FROM history)
+SELECT project, run_id, metric_value,
+  CASE WHEN metric_value IS NULL THEN 'failed' WHEN best IS NULL OR m < best THEN 'keep'
+       ELSE 'discard' END AS status,
+  CASE WHEN timed_out THEN 'timeout' END AS error,
+  (SELECT sha256(text) FROM documents d
+   WHERE printf('%012x', d.doc_id) = run_id) AS diff_hash
+FROM costed WHERE is_code"""))
+def code_runs_round(spark, sf_dir):
+    """Documents as diffs, each tried in the run of its number, with its log."""
+    offered = logs(spark, sf_dir).join(
+        table(spark, sf_dir, "documents").select(
+            F.col("doc_id").alias("event_id"), F.col("text").alias("diff")
+        ),
+        "event_id",
+    ).select(
+        F.concat(F.lit("p"), F.col("user_id") % 10).alias("project"),
+        F.lpad(F.lower(F.hex("event_id")), 12, "0").alias("run_id"),
+        F.col("user_id").cast("string").alias("agent_id"),
+        "diff", "log", (F.col("event_id") % 11 == 0).alias("timed_out"),
+        F.col("ts").alias("claimed_at"),
+        (F.col("ts") + F.expr("INTERVAL '1' DAY")).alias("completed_at"),
+        F.lit("c0").alias("base_commit"), F.lit("c1").alias("new_commit"),
+    )
+    terms = contracts(spark, sf_dir).withColumn("metric_pattern", F.lit(DEFAULT_METRIC_PATTERN))
+    early = runs(spark, sf_dir).where(
+        "event_type = 'click' AND completed_at < TIMESTAMP_NTZ '2024-01-15'"
+    )
+    outcome = code_round(offered, early, claims(spark, sf_dir), terms)
+    return outcome["results"].select(
+        "project", "run_id", "metric_value", "status", "error",
+        F.sha2("diff", 256).alias("diff_hash"),
+    )

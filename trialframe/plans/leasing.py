@@ -73,7 +73,7 @@ def lease_log(results):
     )
 
 
-@query("lease_states", with_runs(f"""
+_LEASE_LOG = f"""
 , log AS (
   SELECT project, fingerprint, 'a' || (event_id % 3) AS agent_id, completed_at AS ts,
     event_id, completed_at + INTERVAL 3 DAY AS expires,
@@ -95,8 +95,20 @@ valid AS (
       PARTITION BY project, fingerprint, episode ORDER BY ts, event_id
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS released
     FROM owned WHERE owner)
-  WHERE released = 0),
-marked AS (
+  WHERE released = 0)
+"""
+
+
+@query("lease_event_effects", with_runs(_LEASE_LOG + """
+SELECT l.project, l.fingerprint, l.event_id, v.event_id IS NOT NULL AS effective
+FROM log l LEFT JOIN valid v ON v.event_id = l.event_id"""))
+def lease_event_effects(spark, sf_dir):
+    log = lease_log(runs(spark, sf_dir)).where(F.col("ts") <= moment(_AS_OF))
+    return l.event_effects(log)
+
+
+@query("lease_states", with_runs(_LEASE_LOG + f"""
+, marked AS (
   SELECT *, CASE WHEN kind = 'claim' THEN 1
     WHEN kind = 'refresh' AND ts >= max(CASE WHEN kind <> 'release' THEN expires END)
       OVER (PARTITION BY project, fingerprint, episode ORDER BY ts, event_id

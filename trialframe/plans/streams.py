@@ -14,7 +14,9 @@ from trialframe.streaming import feed
 from trialframe.streaming.admission import admit_stream
 from trialframe.streaming.best import decide_stream
 from trialframe.streaming.leaderboard import current_leaderboard, update_leaderboard
-from trialframe.streaming.leases import closed_leases, track_leases
+from trialframe.streaming.leases import (
+    MERGE_BEFORE_SHUFFLE, closed_leases, track_leases,
+)
 
 
 def _events(spark, sf_dir):
@@ -51,8 +53,9 @@ def stream_lease_sessions(spark, sf_dir):
         "user_id", "ts", F.lit(LEASE_TTL).alias("ttl_seconds")
     )
     closed = closed_leases(beats, ["user_id"], "0 seconds")
-    table_ = feed.drain_to_table(closed, new_scratch(spark, "stream-leases"))
-    return table_.select("user_id", _local("lease_start"), _local("lease_end"), "beats")
+    with session_conf(spark, **MERGE_BEFORE_SHUFFLE):
+        leases = feed.drain_to_table(closed, new_scratch(spark, "stream-leases"))
+    return leases.select("user_id", _local("lease_start"), _local("lease_end"), "beats")
 
 
 @query("stream_lease_tracker", with_runs("""

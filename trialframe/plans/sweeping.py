@@ -8,6 +8,7 @@ from trialframe.functions.fingerprints import config_fingerprint
 from trialframe.operators import evaluation as e
 from trialframe.operators import sweep as s
 from trialframe.operators.leaderboard import leaderboard_snapshot
+from trialframe.operators.rounds import config_round
 from trialframe.plans.registry import query, with_runs
 from trialframe.plans.tables import (
     candidates, claims, contracts, finished, runs, table,
@@ -191,7 +192,7 @@ SELECT c.name AS project,
 FROM contracts c"""))
 def sweep_round(spark, sf_dir):
     """Admit late views, evaluate the accepted ones, rank them with the rest."""
-    outcome = e.run_round(
+    outcome = config_round(
         candidates(spark, sf_dir), finished(spark, sf_dir), claims(spark, sf_dir),
         contracts(spark, sf_dir), score,
     )

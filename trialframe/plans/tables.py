@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trialframe.functions.fingerprints import (
     config_fingerprint_jvm, text_fingerprint,
 )
+from trialframe.session import durable
 from trialframe.sources.contracts import with_defaults
 
 METRIC = "value"
@@ -63,15 +64,20 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One contract per project seen in events, and one without runs."""
+    """One contract per project seen in events, and one without runs.
+
+    A table of its own, as contracts are in use: the planner knows its size.
+    """
     idle = F.struct(F.lit("p10").alias("name"), F.lit("minimize").alias("objective"))
     own = F.struct(_project().alias("name"), _objective().alias("objective"))
     rows = table(spark, sf_dir, "events").select(
         F.inline(F.array(own, idle))
     ).distinct()
-    return with_defaults(
-        rows.withColumns(
-            {"metric": F.lit(METRIC), "claim_ttl_seconds": F.lit(LEASE_TTL)}
+    return durable(
+        with_defaults(
+            rows.withColumns(
+                {"metric": F.lit(METRIC), "claim_ttl_seconds": F.lit(LEASE_TTL)}
+            )
         )
     )
 

@@ -14,6 +14,12 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from trialframe.operators.leases import CLAIM, REFRESH, RELEASE
 
 
+#: Setting for a query on closed_leases().
+MERGE_BEFORE_SHUFFLE = {
+    "spark__sql__streaming__sessionWindow__merge__sessions__in__local__partition": "true"
+}
+
+
 def _gap(ttl_seconds: Column) -> Column:
     # Session windows merge beats exactly one gap apart, but a lease has
     # expired at that instant: the gap is one microsecond short of the ttl.
@@ -25,6 +31,8 @@ def closed_leases(beats: DataFrame, keys: list[str], delay: str) -> DataFrame:
     """Leases whose end has passed the watermark (append mode).
 
     ``beats``: keys, ts, ttl_seconds.  Beats behind the watermark are dropped.
+    Start the query under ``MERGE_BEFORE_SHUFFLE``, so that the beats of a busy
+    key are merged into sessions before they are shuffled.
     """
     session = F.session_window("ts", _gap(F.col("ttl_seconds"))).alias("lease")
     return (
