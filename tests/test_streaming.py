@@ -162,3 +162,18 @@ def test_admission_on_arrival(spark, tmp_path):
         out = feed.drain_to_table(admit_stream(stream), str(tmp_path / "admitted"))
     assert {r.candidate_id: r.reason for r in out.collect()} == {
         1: "accepted", 2: "claimed", 3: "accepted", 4: "claimed", 5: "accepted", 6: "claimed"}
+
+
+def test_result_files_stream(spark, tmp_path):
+    import json
+
+    record = {"project": "p", "fingerprint": "f", "run_id": "r", "metric_value": 1, "completed_at": 1.5,
+              "config": {"a": 1}}
+    source = tmp_path / "files"
+    source.mkdir()
+    for i in range(3):
+        (source / f"f__{i}.json").write_text(json.dumps({**record, "run_id": f"r{i}"}, indent=2))
+    (source / "f__9.json.1.tmp").write_text("{")
+    got = feed.drain_to_table(feed.result_stream(spark, str(source), 1), str(tmp_path / "out")).collect()
+    assert sorted((r.run_id, r.completed_at.microsecond, json.loads(r.config)["a"]) for r in got) == [
+        (f"r{i}", 500000, 1) for i in range(3)]

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trialframe.functions.fingerprints import canonical_json, config_fingerprint
+from trialframe.functions.text import (
+    key_from_file_name, new_run_id, result_file_name,
+)
 from trialframe.operators import leaderboard as lb
 from trialframe.operators.decisions import as_results
 from trialframe.operators.evaluation import artifact_rows
@@ -115,6 +118,32 @@ def audit_sink(spark, sf_dir):
     )
 
 
+@query("run_ids", """
+SELECT user_id, count(*) AS n_runs, count(*) AS n_well_formed, count(*) AS n_distinct
+FROM events GROUP BY user_id""")
+def run_ids(spark, sf_dir):
+    """A fresh run id per event: random, so only its shape is reported."""
+    ids = table(spark, sf_dir, "events").select("user_id", new_run_id().alias("id"))
+    return ids.groupBy("user_id").agg(
+        F.count("*").alias("n_runs"),
+        F.count_if(F.col("id").rlike("^[0-9a-f]{12}$")).alias("n_well_formed"),
+        F.count_distinct("id").alias("n_distinct"),
+    )
+
+
+@query("file_name_keys", with_runs("""
+SELECT event_id, fingerprint || '__' || run_id || '.json' AS file_name,
+       fingerprint, run_id
+FROM runs"""))
+def file_name_keys(spark, sf_dir):
+    """Result file names built from keys, and the keys read back from them."""
+    named = runs(spark, sf_dir).select(
+        "event_id", result_file_name(F.col("fingerprint"), F.col("run_id")).alias("file_name")
+    )
+    fingerprint_, run_id = key_from_file_name(F.col("file_name"))
+    return named.withColumns({"fingerprint": fingerprint_, "run_id": run_id})
+
+
 @query("config_objects", """
 WITH texts AS (
   SELECT event_id, CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN '[' || props || ']'

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trialframe.operators import admission as a
+from trialframe.operators import decisions as d
 from trialframe.operators import leases as l
 from trialframe.plans.registry import query, with_runs
 from trialframe.plans.tables import (
@@ -182,3 +183,10 @@ def shard_assign(spark, sf_dir):
     return a.assign_shards(
         runs(spark, sf_dir).select("project", "run_id", "fingerprint"), grouped
     ).drop("project")
+
+
+@query("skipped_outcomes", with_runs("""
+SELECT project, fingerprint, 'skipped' AS status, reason
+FROM admitted WHERE reason <> 'accepted'"""))
+def skipped_outcomes(spark, sf_dir):
+    return d.skipped_outcomes(admission(spark, sf_dir))

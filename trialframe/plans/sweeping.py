@@ -123,6 +123,21 @@ def sweep_python(spark, sf_dir):
     )
 
 
+@query("config_results", _CONFIGS + f"""
+SELECT project, objective, fingerprint, config,
+  CASE WHEN k % 10 = 0 THEN 'failed' ELSE 'completed' END AS status,
+  'value' AS metric_name, {_SCORE} AS metric_value,
+  CASE WHEN k % 10 = 0 THEN 'ValueError: bad k ' || k END AS error
+FROM configs""")
+def config_results(spark, sf_dir):
+    """Evaluated configs as rows of the results table."""
+    evaluated = e.evaluate_configs(configs(spark, sf_dir), score)
+    return e.config_results(evaluated, contracts(spark, sf_dir)).select(
+        "project", "objective", "fingerprint", "config", "status", "metric_name",
+        "metric_value", "error",
+    )
+
+
 def improve(config, prior):
     """Evaluation that looks at the best earlier runs."""
     best = prior[0]["metric_value"] if prior else 0.0

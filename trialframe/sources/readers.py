@@ -41,7 +41,8 @@ def _json(
     )
 
 
-def _with_times(df: DataFrame, schema: T.StructType) -> DataFrame:
+def with_times(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Epoch seconds as timestamps, for the time columns of ``schema``."""
     # Rounded to the microsecond: timestamp_seconds() would cut it off.
     times = {
         field.name: F.timestamp_micros(
@@ -63,7 +64,7 @@ def scan_results(
     ``raise`` fails the job.  Fingerprint and run id missing from a record are
     taken from its file name.
     """
-    rows = _with_times(
+    rows = with_times(
         _json(spark, path, RESULT_JSON_SCHEMA, one_per_file, on_error), RESULT_SCHEMA
     )
     if one_per_file:
@@ -82,7 +83,7 @@ def scan_claims(
     on_error: str = "quarantine",
 ) -> DataFrame:
     """Claims from JSON files.  An unreadable claim has no expiry."""
-    return _with_times(
+    return with_times(
         _json(spark, path, CLAIM_JSON_SCHEMA, one_per_file, on_error), CLAIM_SCHEMA
     )
 

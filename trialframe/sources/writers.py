@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from trialframe.functions.text import audit_line
 from trialframe.operators.leaderboard import RUN_KEY
+from trialframe.session import durable
 from trialframe.sources.readers import read_results
 
 
@@ -17,8 +18,8 @@ def _missing(error: AnalysisException) -> bool:
     return error.getCondition() == "PATH_NOT_FOUND"
 
 
-def append_results(results: DataFrame, path: str) -> DataFrame:
-    """Append immutable results and return the rows that were new.
+def append_results(results: DataFrame, path: str) -> None:
+    """Append immutable results.
 
     Rows whose (project, fingerprint, run_id) is stored already are skipped, so
     a repeated call adds nothing.  Partitions are rebalanced before the write:
@@ -29,8 +30,10 @@ def append_results(results: DataFrame, path: str) -> DataFrame:
     fresh = results.dropDuplicates(RUN_KEY)
     try:
         stored = read_results(spark, path).select(*RUN_KEY)
-        asked = stored.join(fresh.select(*RUN_KEY), RUN_KEY, "left_semi")
-        fresh = fresh.join(asked, RUN_KEY, "left_anti")
+        # Keys of known size: few new rows do not shuffle the stored keys.
+        asked = durable(results.select(*RUN_KEY))
+        present = durable(stored.join(asked, RUN_KEY, "left_semi"))
+        fresh = fresh.join(present, RUN_KEY, "left_anti")
     except AnalysisException as error:
         if not _missing(error):
             raise
@@ -38,7 +41,6 @@ def append_results(results: DataFrame, path: str) -> DataFrame:
         "project", "fingerprint", "run_id"
     )
     laid_out.write.mode("append").partitionBy("project").parquet(path)
-    return fresh
 
 
 def write_artifacts(artifacts: DataFrame, path: str) -> None:

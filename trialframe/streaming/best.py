@@ -14,6 +14,7 @@ from trialframe.functions.objective import cost, stored_metric
 from trialframe.operators.decisions import keep_discard_replay
 from trialframe.operators.ordered import MAX_GROUP_ROWS
 from trialframe.schemas import COMPLETED
+from trialframe.session import durable
 from trialframe.sources.writers import publish, read_version, version_before
 from trialframe.streaming.feed import drain_batches
 
@@ -37,9 +38,13 @@ def decide_batches(root: str, max_group_rows: int = MAX_GROUP_ROWS):
             F.lit("").alias("run_id"), "metric_value",
             F.lit(False).alias("is_code"), F.lit(COMPLETED).alias("status"),
         )
-        arrived = batch_runs.select(
-            "project", "objective", "completed_at", "run_id", "metric_value",
-            F.lit(True).alias("is_code"), F.lit(None).cast("string").alias("status"),
+        # Written once: the batch is read several times below.
+        arrived = durable(
+            batch_runs.select(
+                "project", "objective", "completed_at", "run_id", "metric_value",
+                F.lit(True).alias("is_code"),
+                F.lit(None).cast("string").alias("status"),
+            )
         )
         decisions = keep_discard_replay(
             seeds.unionByName(arrived), max_group_rows=max_group_rows

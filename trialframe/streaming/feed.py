@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
+from trialframe.schemas import RESULT_JSON_SCHEMA, RESULT_SCHEMA
+from trialframe.sources.readers import with_times
+
 
 def parquet_stream(
     spark: SparkSession, path: str, schema: T.StructType,
@@ -20,11 +23,18 @@ def parquet_stream(
     return reader.parquet(path)
 
 
-def json_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """New JSON files of a directory; ``.tmp`` files are never read."""
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", "*.json").json(path)
+def result_stream(
+    spark: SparkSession, path: str, files_per_trigger: int | None = None
+) -> DataFrame:
+    """New result files (one JSON record each); ``.tmp`` files are never read."""
+    reader = (
+        spark.readStream.schema(RESULT_JSON_SCHEMA)
+        .option("multiLine", True)
+        .option("pathGlobFilter", "*.json")
     )
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return with_times(reader.json(path), RESULT_SCHEMA)
 
 
 def deduplicated(
