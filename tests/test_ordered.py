@@ -7,8 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from trialframe.operators.ordered import largest_group, ordered_groups
-from trialframe.session import session_conf
+from trialframe.operators.ordered import group_sizes, ordered_groups
 
 SCHEMA = "k string, t long, id long, v double"
 
@@ -40,12 +39,11 @@ def loop(rows, how, inclusive):
 def test_running_values(spark, bound, how, inclusive):
     rows = rows_with_hot_key()
     df = spark.createDataFrame(rows, SCHEMA)
-    with session_conf(spark, spark__sql__adaptive__coalescePartitions__enabled="false"):
-        groups = ordered_groups(df, ["k"], ["t", "id"], bound)
-        if bound == 0:
-            chunks = groups.rows.where("k = 'hot'").select("_chunk").distinct().count()
-            assert chunks > 2, "the hot key must be split"
-        got = groups.running("r", how, F.col("v"), inclusive).result().select("id", "r").collect()
+    groups = ordered_groups(df, ["k"], ["t", "id"], bound)
+    if bound == 0:
+        chunks = groups.rows.where("k = 'hot'").select("_chunk").distinct().count()
+        assert chunks > 2, "the hot key must be split"
+    got = groups.running("r", how, F.col("v"), inclusive).result().select("id", "r").collect()
     assert {r.id: r.r for r in got} == loop(rows, how, inclusive)
 
 
@@ -53,24 +51,32 @@ def test_hot_timestamp_is_split(spark):
     """All rows at one instant: the id breaks ties and chunks still split."""
     rows = [("hot", 0, i, float((i * 7919) % 1000)) for i in range(800)]
     df = spark.createDataFrame(rows, SCHEMA).repartition(4)
-    with session_conf(spark, spark__sql__adaptive__coalescePartitions__enabled="false"):
-        groups = ordered_groups(df, ["k"], ["t", "id"], 0)
-        sizes = [r["count"] for r in groups.rows.groupBy("_chunk").count().collect()]
-        got = groups.running("r", "min", F.col("v")).result().select("id", "r").collect()
+    groups = ordered_groups(df, ["k"], ["t", "id"], 0)
+    sizes = [r["count"] for r in groups.rows.groupBy("_chunk").count().collect()]
+    got = groups.running("r", "min", F.col("v")).result().select("id", "r").collect()
     assert max(sizes) < 400
     assert {r.id: r.r for r in got} == loop(rows, "min", False)
 
 
-def test_largest_group(spark):
+def test_group_sizes(spark):
     df = spark.createDataFrame(rows_with_hot_key(), SCHEMA)
-    assert largest_group(df, ["k"]) == df.where("k = 'hot'").count()
-    assert largest_group(df.where("false"), ["k"]) == 0
+    assert group_sizes(df, ["k"]) == (df.where("k = 'hot'").count(), 600)
+    assert group_sizes(df.where("false"), ["k"]) == (0, 0)
+
+
+def test_carried_table_is_no_larger_than_the_chunks(spark):
+    """What is broadcast is bounded by the number of chunks, not of keys."""
+    rows = [(f"k{i % 400:03d}", i, i, 1.0) for i in range(2000)] + [
+        ("hot", i, 5000 + i, 1.0) for i in range(1000)]
+    groups = ordered_groups(spark.createDataFrame(rows, SCHEMA), ["k"], ["t", "id"], 0)
+    chunks = groups.rows.select("_chunk").distinct().count()
+    carried = groups._carried(F.sum, F.col("v"))
+    assert 2 < carried.count() <= chunks
 
 
 def test_null_keys_form_a_group(spark):
     rows = [(None, i, i, float(100 - i)) for i in range(300)]
     df = spark.createDataFrame(rows, SCHEMA)
-    with session_conf(spark, spark__sql__adaptive__coalescePartitions__enabled="false"):
-        groups = ordered_groups(df, ["k"], ["t", "id"], 0)
-        got = groups.running("r", "min", F.col("v")).result().select("id", "r").collect()
+    groups = ordered_groups(df, ["k"], ["t", "id"], 0)
+    got = groups.running("r", "min", F.col("v")).result().select("id", "r").collect()
     assert {r.id: r.r for r in got} == loop([("", *r[1:]) for r in rows], "min", False)

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from trialframe.session import durable
 
-#: Up to this many rows per key a plain window is used: one task sorts them.
-MAX_GROUP_ROWS = 2_000_000
+#: Most rows one task sorts: larger keys are split into chunks of this size.
+MAX_GROUP_ROWS = 4_000_000
 
 CHUNK = "_chunk"
 
@@ -37,10 +37,10 @@ def _plus(here: Column, before: Column) -> Column:
 _COMBINE = {"min": F.least, "max": F.greatest, "sum": _plus}
 
 
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Rows of the most frequent key (reads the key columns only)."""
-    row = df.groupBy(*keys).count().agg(F.max("count")).first()
-    return int(row[0] or 0)
+def group_sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
+    """Rows of the most frequent key, and of all keys (reads the keys only)."""
+    row = df.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first()
+    return int(row[0] or 0), int(row[1] or 0)
 
 
 @dataclass(frozen=True)
@@ -90,7 +90,7 @@ class OrderedGroups:
     def _carried(self, aggregate, value: Column) -> DataFrame:
         # One value per (key, chunk) whose key has a value in an earlier chunk.
         # Rows are sorted by key first, so at most one key per chunk qualifies:
-        # the table has no more rows than there are partitions.
+        # the table has no more rows than there are chunks.
         earlier = (
             Window.partitionBy(*self.keys)
             .orderBy(CHUNK)
@@ -127,9 +127,12 @@ def ordered_groups(
     ``order`` must be unique inside a group.  Pass only columns that are
     needed: a chunked frame is written to the shared folder.
     """
-    if largest_group(df, keys) <= max_group_rows:
+    largest, total = group_sizes(df, keys)
+    if largest <= max_group_rows:
         return OrderedGroups(df, tuple(keys), tuple(order), False)
-    ranged = df.repartitionByRange(*keys, *order).withColumn(
+    at_least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = max(at_least, -(-total // MAX_GROUP_ROWS))
+    ranged = df.repartitionByRange(chunks, *keys, *order).withColumn(
         CHUNK, F.spark_partition_id()
     )
     return OrderedGroups(durable(ranged), tuple(keys), tuple(order), True)
