@@ -117,6 +117,14 @@ def test_outcomes_tell_reason_or_error(spark):
         "r4": ("odd", None, None, 2.0)}
 
 
+def test_outcome_reports_the_metric_as_read(spark):
+    df = spark.createDataFrame([("p", "f", "r", "keep", None, "loss", 0.12345678, 0.123457)],
+        "project string, fingerprint string, run_id string, status string, error string, "
+        "metric_name string, metric double, metric_value double")
+    assert d.outcomes(df).first().metric_value == 0.12345678
+    assert d.outcomes(df.drop("metric")).first().metric_value == 0.123457
+
+
 def test_diff_groups(spark):
     df = spark.createDataFrame([("p", 1, "a"), ("p", 2, "a"), ("p", 3, " \n"), ("q", 4, "a")],
                                "project string, run_id int, text string")

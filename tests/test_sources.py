@@ -77,6 +77,8 @@ def test_config_files_and_logs(spark, tmp_path):
         (tmp_path / name).write_text(body)
     got = readers.read_config_files(spark, str(tmp_path)).collect()
     assert [(r.path.rsplit("/", 1)[1], json.loads(r.config)) for r in got] == [("a.json", {"x": 1})]
+    with pytest.raises((PySparkException, Py4JJavaError), match="must be a JSON object"):
+        readers.read_config_files(spark, str(tmp_path), on_error="raise").collect()
     log = tmp_path / "logs"
     log.mkdir()
     (log / "r1.log").write_text("one\nmetric_value: 0.5\n")
@@ -122,6 +124,9 @@ def test_artifacts_and_audit(spark, tmp_path):
     audit = str(tmp_path / "audit")
     writers.write_audit(lines, audit)
     writers.write_audit(lines, audit)
+    unsynced = contract_table(spark, ("p", "minimize", 1))
+    assert writers.audit_lines(lines, unsynced).count() == 0
+    assert writers.audit_lines(lines, unsynced.withColumn("git_sync", F.lit(True))).count() == 1
     texts = [r.value for r in spark.read.text(audit).collect()]
     assert texts == ["agent a [main]: fa__r1 loss=0.5 status=completed"] * 2
 

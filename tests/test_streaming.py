@@ -106,10 +106,10 @@ def test_closed_leases_equal_batch_up_to_the_watermark(spark, tmp_path):
     assert live.where("k = 'edge'").count() == 2
 
 
-def track(spark, tmp_path, batches):
+def track(spark, tmp_path, batches, **options):
     with session_conf(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB):
         stream = as_stream(spark, tmp_path, batches, EVENTS)
-        out = feed.drain_to_table(track_leases(stream, "0 seconds"), str(tmp_path / f"t{uuid.uuid4().hex}"))
+        out = feed.drain_to_table(track_leases(stream, "0 seconds", **options), str(tmp_path / f"t{uuid.uuid4().hex}"))
     return sorted((r.fingerprint, r.agent_id, r.lease_start, r.lease_end, r.beats, r.state) for r in out.collect())
 
 
@@ -130,6 +130,16 @@ def test_tracker_golden(spark, tmp_path):
     ]
 
 
+def test_tracker_forgets_expired_leases_when_asked(spark, tmp_path):
+    event = lambda i, f, kind, s: ("p", f, "a", kind, at(s), i, 60.0)
+    batches = [[event(1, "f", "claim", 0)], [event(2, "z", "claim", 100)], [event(3, "z", "claim", 400)],
+               [event(4, "f", "refresh", 401)], [event(5, "z", "claim", 1000)]]
+    kept = track(spark, tmp_path, batches)
+    assert ("f", "a", at(401), at(461), 1, "expired") in kept
+    gone = track(spark, tmp_path, batches, memory_seconds=200)
+    assert [r for r in gone if r[0] == "f"] == [("f", "a", at(0), at(60), 1, "expired")]
+
+
 def test_tracker_equals_batch_states(spark, tmp_path):
     rng = random.Random(4)
     rows, until, owner, s = [], {}, {}, 0

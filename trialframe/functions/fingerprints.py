@@ -19,6 +19,9 @@ from pyspark.sql import types as T
 # Fixed value: fingerprints are the first 16 hex digits of SHA-256.
 FINGERPRINT_LENGTH = 16
 
+# Fixed value: what is hashed.  The metric name is deliberately not in it.
+_PAYLOAD = '{"config":%s,"objective":%s,"project":%s}'
+
 _PLAIN_TEXT = r"^[ !#-\[\]-~]*\z"
 # A character or number that the two routes might print differently.
 _DELICATE = r"[^\t\n\r -\[\]-~]|[0-9][.eE]|[0-9]{19}"
@@ -45,8 +48,16 @@ def _canonical_python(raw: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.StringType())
-def _quoted_python(raw: pd.Series) -> pd.Series:
-    return raw.map(json.dumps, na_action="ignore")
+def _payload_python(
+    config: pd.Series, objective: pd.Series, project: pd.Series
+) -> pd.Series:
+    def one(raw, goal, name):
+        text = _canonical_text(raw)
+        if text is None or goal is None or name is None:
+            return None
+        return _PAYLOAD % (text, json.dumps(goal), json.dumps(name))
+
+    return pd.Series([one(*row) for row in zip(config, objective, project)])
 
 
 def canonical_json_jvm(raw: Column) -> Column:
@@ -60,35 +71,22 @@ def canonical_json(raw: Column) -> Column:
     return F.coalesce(jvm, _canonical_python(F.when(jvm.isNull(), raw)))
 
 
-def _quoted(text: Column) -> Column:
-    plain = text.rlike(_PLAIN_TEXT)
-    return F.coalesce(
-        F.when(plain, F.concat(F.lit('"'), text, F.lit('"'))),
-        _quoted_python(F.when(~plain, text)),
-    )
-
-
-def _quoted_jvm(text: Column) -> Column:
-    return F.when(
-        text.rlike(_PLAIN_TEXT), F.concat(F.lit('"'), text, F.lit('"'))
-    )
-
-
-def _payload(config: Column, objective: Column, project: Column) -> Column:
-    # The metric name is deliberately not part of the key.
-    return F.concat(
-        F.lit('{"config":'), config,
-        F.lit(',"objective":'), objective,
-        F.lit(',"project":'), project,
-        F.lit("}"),
-    )
+def _payload_jvm(config: Column, objective: Column, project: Column) -> Column:
+    plain = objective.rlike(_PLAIN_TEXT) & project.rlike(_PLAIN_TEXT)
+    quoted = _PAYLOAD % ("%s", '"%s"', '"%s"')
+    parts = (canonical_json_jvm(config), objective, project)
+    known = parts[0].isNotNull() & plain
+    return F.when(known, F.format_string(quoted, *parts))
 
 
 def config_fingerprint(config: Column, objective: Column, project: Column) -> Column:
-    """Fingerprint of a raw JSON config within a project and objective."""
-    return text_fingerprint(
-        _payload(canonical_json(config), _quoted(objective), _quoted(project))
-    )
+    """Fingerprint of a raw JSON config within a project and objective.
+
+    NULL when the config is not JSON.
+    """
+    jvm = _payload_jvm(config, objective, project)
+    rest = [F.when(jvm.isNull(), part) for part in (config, objective, project)]
+    return text_fingerprint(F.coalesce(jvm, _payload_python(*rest)))
 
 
 def config_fingerprint_jvm(
@@ -99,17 +97,9 @@ def config_fingerprint_jvm(
     For tables known to hold plain configs only.  Fingerprints of both forms
     are equal, so they may be compared.
     """
-    payload = _payload(
-        canonical_json_jvm(config), _quoted_jvm(objective), _quoted_jvm(project)
-    )
-    return F.when(config.isNull(), F.lit(None)).otherwise(
-        text_fingerprint(
-            F.coalesce(
-                payload,
-                F.raise_error(F.lit("config needs config_fingerprint()")).cast("string"),
-            )
-        )
-    )
+    refusal = F.raise_error(F.lit("config needs config_fingerprint()")).cast("string")
+    payload = F.coalesce(_payload_jvm(config, objective, project), refusal)
+    return F.when(config.isNotNull(), text_fingerprint(payload))
 
 
 def has_changes(diff: Column) -> Column:

@@ -89,7 +89,12 @@ def union_results(*shapes: DataFrame) -> DataFrame:
 
 
 def outcomes(results: DataFrame) -> DataFrame:
-    """What the caller of a run is told: status, reason, error, metric."""
+    """What the caller of a run is told: status, reason, error, metric.
+
+    With a column ``metric`` (the metric as read, before rounding for storage)
+    that value is reported, otherwise the stored one.
+    """
+    told = F.col("metric" if "metric" in results.columns else "metric_value")
     failed = F.col("status") == FAILED
     code_failure = failed & F.col("error").isin(TIMEOUT, NO_METRIC_STORED)
     ran = ~failed
@@ -101,7 +106,7 @@ def outcomes(results: DataFrame) -> DataFrame:
         F.when(failed & ~F.coalesce(code_failure, F.lit(False)), F.col("error"))
         .alias("error"),
         F.when(ran, F.col("metric_name")).alias("metric_name"),
-        F.when(ran, F.col("metric_value")).alias("metric_value"),
+        F.when(ran, told).alias("metric_value"),
     )
 
 

@@ -82,7 +82,7 @@ SELECT 'code' AS project, fingerprint, run_id, status,
        CASE WHEN status <> 'failed' THEN metric END AS metric_value
 FROM classified""")
 def outcomes(spark, sf_dir):
-    return d.outcomes(d.code_results(_code_runs(spark, sf_dir)))
+    return d.outcomes(_code_runs(spark, sf_dir))
 
 
 @query("keep_messages", _CODE + """

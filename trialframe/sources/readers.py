@@ -117,18 +117,34 @@ def is_object(config) -> F.Column:
     )
 
 
-def config_objects(configs: DataFrame, column: str = "config") -> DataFrame:
-    """Configs whose text is a JSON object; lists, scalars and junk are left out."""
-    return configs.where(is_object(F.col(column)))
+def config_objects(
+    configs: DataFrame, column: str = "config", on_error: str = "drop"
+) -> DataFrame:
+    """Configs whose text is a JSON object.
 
+    Lists, scalars and junk are left out, or fail the job with ``raise``.
+    """
+    valid = is_object(F.col(column))
+    if on_error == "raise":
+        problem = F.raise_error(F.lit("a config must be a JSON object"))
+        return configs.withColumn(
+            column, F.when(valid, F.col(column)).otherwise(problem.cast("string"))
+        )
+    if on_error != "drop":
+        raise ValueError("on_error must be 'drop' or 'raise'")
+    return configs.where(valid)
 
-def read_config_files(spark: SparkSession, path: str) -> DataFrame:
+
+def read_config_files(
+    spark: SparkSession, path: str, on_error: str = "drop"
+) -> DataFrame:
     """One row per config file: ``path`` and ``config``."""
     files = spark.read.text(path, wholetext=True)
     return config_objects(
         files.select(
             F.col("_metadata.file_path").alias("path"), F.col("value").alias("config")
-        )
+        ),
+        on_error=on_error,
     )
 
 

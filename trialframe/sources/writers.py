@@ -107,8 +107,14 @@ def republish(snapshot: DataFrame, root: str) -> DataFrame:
     return read_version(spark, root, version)
 
 
-def audit_lines(results: DataFrame) -> DataFrame:
-    """Branch and audit line of each result."""
+def audit_lines(results: DataFrame, contracts: DataFrame | None = None) -> DataFrame:
+    """Branch and audit line of each result.
+
+    With contracts, only for projects whose contract sets ``git_sync``.
+    """
+    if contracts is not None:
+        synced = contracts.where("git_sync").select(F.col("name").alias("project"))
+        results = results.join(synced, "project", "left_semi")
     return results.select(
         "branch",
         audit_line(
@@ -119,7 +125,9 @@ def audit_lines(results: DataFrame) -> DataFrame:
     )
 
 
-def write_audit(results: DataFrame, path: str) -> None:
+def write_audit(
+    results: DataFrame, path: str, contracts: DataFrame | None = None
+) -> None:
     """Append audit lines as text, one directory per branch."""
-    lines = audit_lines(results).hint("rebalance", "branch")
+    lines = audit_lines(results, contracts).hint("rebalance", "branch")
     lines.write.mode("append").partitionBy("branch").text(path)

@@ -89,8 +89,15 @@ class LeaseTracker(StatefulProcessor):
 
     Only the owner refreshes or releases.  Events behind the watermark are
     dropped by Spark before they get here.
+
+    An expired lease is remembered, since its owner may still refresh it.  With
+    ``memory_seconds`` it is forgotten that long after its end, which bounds
+    the state; a later refresh then has no effect.
     """
 
+    def __init__(self, memory_seconds: int | None = None) -> None:
+        self.memory = None if memory_seconds is None else memory_seconds * 1_000_000
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.lease = handle.getValueState("lease", _STATE)
@@ -110,6 +117,8 @@ class LeaseTracker(StatefulProcessor):
                     out.append(self._row(key, *held[:4], "expired"))
                     held = (*held[:4], False)
                     live = False
+                if self._forgotten(held, at):
+                    held = None
                 owner = held is not None and held[0] == event.agent_id
                 if event.kind == CLAIM and not live:
                     held = (event.agent_id, at, expiry, 1, True)
@@ -126,6 +135,11 @@ class LeaseTracker(StatefulProcessor):
         if out:
             yield pd.DataFrame(out, columns=TRACKED.names)
 
+    def _forgotten(self, held, at: int) -> bool:
+        if held is None or held[4] or self.memory is None:
+            return False
+        return held[2] + self.memory <= at
+
     def _remember(self, held) -> None:
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
@@ -135,21 +149,28 @@ class LeaseTracker(StatefulProcessor):
         self.lease.update(held)
         if held[4]:
             self.handle.registerTimer(-(-held[2] // 1000))
+        elif self.memory is not None:
+            self.handle.registerTimer(-(-(held[2] + self.memory) // 1000))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         held = self.lease.get() if self.lease.exists() else None
-        if held is not None and held[4]:
-            # Kept as not live, so the owner may still open a new lease.
-            self.lease.update((*held[:4], False))
-            yield pd.DataFrame(
-                [self._row(key, *held[:4], "expired")], columns=TRACKED.names
-            )
+        if held is None:
+            return
+        if not held[4]:
+            self.lease.clear()
+            return
+        self._remember((*held[:4], False))
+        yield pd.DataFrame(
+            [self._row(key, *held[:4], "expired")], columns=TRACKED.names
+        )
 
     def close(self) -> None:
         pass
 
 
-def track_leases(events: DataFrame, delay: str) -> DataFrame:
+def track_leases(
+    events: DataFrame, delay: str, memory_seconds: int | None = None
+) -> DataFrame:
     """Leases as they end, from claim, refresh and release events.
 
     Needs the RocksDB state store.  Events of one micro-batch are applied in
@@ -159,7 +180,7 @@ def track_leases(events: DataFrame, delay: str) -> DataFrame:
         "project", "fingerprint", "agent_id", "kind", "ts", "event_id", "ttl_seconds"
     )
     return rows.groupBy("project", "fingerprint").transformWithStateInPandas(
-        statefulProcessor=LeaseTracker(),
+        statefulProcessor=LeaseTracker(memory_seconds),
         outputStructType=TRACKED,
         outputMode="Append",
         timeMode="EventTime",
