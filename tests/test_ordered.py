@@ -70,8 +70,9 @@ def test_carried_table_is_no_larger_than_the_chunks(spark):
         ("hot", i, 5000 + i, 1.0) for i in range(1000)]
     groups = ordered_groups(spark.createDataFrame(rows, SCHEMA), ["k"], ["t", "id"], 0)
     chunks = groups.rows.select("_chunk").distinct().count()
-    carried = groups._carried(F.sum, F.col("v"))
+    carried = groups._carried(groups.rows, F.sum, F.col("v"))
     assert 2 < carried.count() <= chunks
+    assert groups.spanning.count() < chunks
 
 
 def test_null_keys_form_a_group(spark):

@@ -12,7 +12,7 @@ rows are written once to the shared folder (range bounds come from sampling).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -51,6 +51,10 @@ class OrderedGroups:
     keys: tuple[str, ...]
     order: tuple[str, ...]
     chunked: bool
+    #: Keys with rows in several chunks; there are fewer of them than chunks.
+    spanning: DataFrame | None = None
+    #: Chunked rows that a window still has to compute.
+    pending: bool = False
 
     @property
     def group(self) -> list[str]:
@@ -58,9 +62,7 @@ class OrderedGroups:
 
     def with_columns(self, **columns: Column) -> OrderedGroups:
         """Row-wise columns; keys, order and chunking stay as they are."""
-        return OrderedGroups(
-            self.rows.withColumns(columns), self.keys, self.order, self.chunked
-        )
+        return replace(self, rows=self.rows.withColumns(columns))
 
     def running(
         self, name: str, how: str, value: Column, include_current: bool = False
@@ -77,17 +79,19 @@ class OrderedGroups:
         )
         local = aggregate(value).over(window)
         if not self.chunked:
-            rows = self.rows.withColumn(name, local)
-            return OrderedGroups(rows, self.keys, self.order, False)
-        carried = self._carried(aggregate, value)
+            return replace(self, rows=self.rows.withColumn(name, local))
+        # Chunked rows are read twice, so earlier windows are written first:
+        # a chain of running values costs one pass each.
+        rows = durable(self.rows) if self.pending else self.rows
+        carried = self._carried(rows, aggregate, value)
         rows = (
-            self._attach(carried)
+            self._attach(rows, carried)
             .withColumn(name, _COMBINE[how](local, F.col("_before")))
             .drop("_before")
         )
-        return OrderedGroups(rows, self.keys, self.order, True)
+        return replace(self, rows=rows, pending=True)
 
-    def _carried(self, aggregate, value: Column) -> DataFrame:
+    def _carried(self, rows: DataFrame, aggregate, value: Column) -> DataFrame:
         # One value per (key, chunk) whose key has a value in an earlier chunk.
         # Rows are sorted by key first, so at most one key per chunk qualifies:
         # the table has no more rows than there are chunks.
@@ -96,20 +100,25 @@ class OrderedGroups:
             .orderBy(CHUNK)
             .rowsBetween(Window.unboundedPreceding, -1)
         )
-        totals = self.rows.groupBy(*self.group).agg(aggregate(value).alias("_total"))
+        needed = rows.join(
+            F.broadcast(self.spanning), self._same_key(rows, self.spanning), "left_semi"
+        )
+        totals = needed.groupBy(*self.group).agg(aggregate(value).alias("_total"))
         return totals.select(
             *[F.col(key).alias(f"_key_{key}") for key in self.keys],
             F.col(CHUNK).alias("_in_chunk"),
             aggregate("_total").over(earlier).alias("_before"),
         ).where(F.col("_before").isNotNull())
 
-    def _attach(self, carried: DataFrame) -> DataFrame:
+    def _same_key(self, rows: DataFrame, keyed: DataFrame) -> Column:
         same = [
-            F.col(key).eqNullSafe(F.col(f"_key_{key}")) for key in self.keys
-        ] + [F.col(CHUNK) == F.col("_in_chunk")]
-        joined = self.rows.join(
-            F.broadcast(carried), reduce(Column.__and__, same), "left"
-        )
+            rows[key].eqNullSafe(keyed[f"_key_{key}"]) for key in self.keys
+        ]
+        return reduce(Column.__and__, same)
+
+    def _attach(self, rows: DataFrame, carried: DataFrame) -> DataFrame:
+        here = self._same_key(rows, carried) & (rows[CHUNK] == carried["_in_chunk"])
+        joined = rows.join(F.broadcast(carried), here, "left")
         return joined.drop("_in_chunk", *[f"_key_{key}" for key in self.keys])
 
     def result(self) -> DataFrame:
@@ -135,4 +144,11 @@ def ordered_groups(
     ranged = df.repartitionByRange(chunks, *keys, *order).withColumn(
         CHUNK, F.spark_partition_id()
     )
-    return OrderedGroups(durable(ranged), tuple(keys), tuple(order), True)
+    rows = durable(ranged)
+    spanning = (
+        rows.groupBy(*keys)
+        .agg(F.min(CHUNK).alias("_first"), F.max(CHUNK).alias("_last"))
+        .where("_first < _last")
+        .select(*[F.col(key).alias(f"_key_{key}") for key in keys])
+    )
+    return OrderedGroups(rows, tuple(keys), tuple(order), True, durable(spanning))

@@ -37,8 +37,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_scratch(spark: SparkSession, label: str) -> str:
-    """A path below the shared folder that no other call will use."""
-    return f"{shared_dir(spark).rstrip('/')}/trialframe/{label}-{uuid.uuid4().hex}"
+    """A path below the shared folder that no other call will use.
+
+    All paths of one application share a folder, which may be deleted when the
+    application has ended.
+    """
+    application = spark.sparkContext.applicationId
+    root = f"{shared_dir(spark).rstrip('/')}/trialframe/{application}"
+    return f"{root}/{label}-{uuid.uuid4().hex}"
 
 
 def durable(df: DataFrame) -> DataFrame:
