@@ -84,10 +84,11 @@ class OrderedGroups:
         # a chain of running values costs one pass each.
         rows = durable(self.rows) if self.pending else self.rows
         carried = self._carried(rows, aggregate, value)
+        # The join follows the window, so the shuffle carries no extra column.
         rows = (
-            self._attach(rows, carried)
-            .withColumn(name, _COMBINE[how](local, F.col("_before")))
-            .drop("_before")
+            self._attach(rows.withColumn("_local", local), carried)
+            .withColumn(name, _COMBINE[how](F.col("_local"), F.col("_before")))
+            .drop("_local", "_before")
         )
         return replace(self, rows=rows, pending=True)
 
