@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trialframe.llm import ngram_join
+from trialframe.llm import langid, ngram_join, quality, urls
 from trialframe.plans.registry import query
 
 
@@ -16,3 +16,80 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their copies, links and groups by word 5-gram similarity."""
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+@query("op8_url_filter")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL."""
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+@query("op10_language_id")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned outside the held-out quarter."""
+    return langid.languages(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op4_quality_rules",
+    r"""
+WITH lines AS (
+  SELECT doc_id, source, idx, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS words
+  FROM (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+               generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS idx
+        FROM documents)
+),
+words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS n_symbols
+  FROM documents
+),
+windows AS (
+  SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS t
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM words)
+),
+covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (
+    SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (
+      SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, t) AS n FROM windows) WHERE n > 1)
+  GROUP BY doc_id
+),
+doubled AS (
+  SELECT doc_id, sum(n - 1) AS n_dup_lines FROM (
+    SELECT doc_id, line, count(*) AS n FROM lines WHERE len(words) > 0 GROUP BY doc_id, line)
+  GROUP BY doc_id
+),
+contents AS (SELECT doc_id, array_to_string(w, ' ') AS content FROM words),
+held AS (
+  SELECT l.doc_id, source, content, norm, sum(n) AS words FROM (
+    SELECT doc_id, source, len(words) AS n,
+           translate(array_to_string(words, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
+    FROM lines WHERE len(words) > 0) l JOIN contents USING (doc_id)
+  GROUP BY ALL
+),
+sizes AS (SELECT source, count(DISTINCT content) AS documents FROM documents JOIN contents USING (doc_id) GROUP BY source),
+frequent AS (
+  SELECT source, norm, min(doc_id) AS first_doc FROM held JOIN sizes USING (source)
+  GROUP BY source, norm, documents
+  HAVING count(DISTINCT content) > 20 AND count(DISTINCT content) > 0.01 * documents
+),
+lost AS (
+  SELECT doc_id, sum(words) AS removed FROM held JOIN frequent USING (source, norm)
+  WHERE doc_id <> first_doc GROUP BY doc_id
+)
+SELECT *, NOT base_failed AND n_words - n_words_removed >= 0.3 * n_words AS kept FROM (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
+         CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(n_symbols AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+         CAST(coalesce(removed, 0) AS BIGINT) AS n_words_removed,
+         len(w) < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * len(w) AS base_failed
+  FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN doubled USING (doc_id) LEFT JOIN lost USING (doc_id))
+""",
+)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document."""
+    return quality.rejected(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "n_words_removed", "base_failed", "kept",
+    )
