@@ -79,3 +79,16 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         held.append(batch.slice(begin))
     if held:
         yield pa.Table.from_batches(held)
+
+
+#: A table is broadcast only if its rows are known to take no more than this.
+BROADCAST_BYTES = 32 << 20
+
+
+def fitting(table: DataFrame, row_bytes: int) -> DataFrame:
+    """``table`` (read from storage) with a broadcast hint where its counted rows fit.
+
+    A larger table goes without the hint, so that the join shuffles; the
+    result is the same.
+    """
+    return F.broadcast(table) if table.count() * row_bytes <= BROADCAST_BYTES else table

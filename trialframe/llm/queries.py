@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trialframe.llm import bpe, langid, ngram_join, packing, quality, urls
+from trialframe.llm import bpe, langid, lines, ngram_join, packing, quality, urls, warc
 from trialframe.plans.registry import query
 
 
@@ -107,3 +108,52 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces and their places in sequences of 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op3_line_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, lines removed as repeats, digest of the text that is left."""
+    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("left", F.lit("")), 256).alias("left_sha256")
+    )
+
+
+@query(
+    "op9_warc_fixity",
+    r"""
+WITH records AS (
+  SELECT page_id, strlen(record) AS length, sha256(record) AS digest,
+         sha256('~' || substr(record, 2)) AS damaged
+  FROM (SELECT page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10)
+          || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || chr(13) || chr(10)
+          || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+          || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)
+          || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record
+        FROM pages)
+),
+runs AS (
+  SELECT page_id // 1024 AS archive, page_id, length, digest, damaged, count(*) AS copies
+  FROM records GROUP BY ALL
+),
+placed AS (
+  SELECT *, coalesce(sum(length * copies) OVER (PARTITION BY archive ORDER BY page_id, digest
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "offset" FROM runs
+)
+SELECT CAST(archive AS BIGINT) AS archive, CAST("offset" AS BIGINT) AS "offset", CAST(length AS BIGINT) AS length,
+       copies, page_id, CASE WHEN digest < '03' THEN 'altered' ELSE 'missing' END AS kind,
+       digest AS primary_digest, CASE WHEN digest < '03' THEN damaged END AS replica_digest
+FROM placed WHERE digest < '03' OR digest >= 'fd'
+""",
+)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the pages' archives that a replica with damage holds wrong or not at all.
+
+    The replica derives from the pages: records whose digest begins below 03
+    have another first byte, and those from fd on are lost.
+    """
+    pages = table(spark, sf_dir, "pages")
+    damaged = F.concat(F.lit("~"), F.expr("substring(text, 2)"))
+    held = F.when(F.col("digest") < "03", damaged).when(F.col("digest") < "fd", F.col("text"))
+    both = warc.manifest(pages, held)
+    replica = both.where("stored is not null").withColumn("digest", F.col("stored"))
+    return warc.audit(both.drop("stored"), replica.drop("stored"))
