@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialframe.llm import bpe, langid, lines, ngram_join, packing, quality, urls, warc
+from trialframe.llm import bpe, langid, lines, ngram_join, packing, quality, urls, vectors, warc
 from trialframe.plans.registry import query
 
 
@@ -97,6 +97,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op1_embedding_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of near-equal vectors of one label."""
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query("op2_byte_bpe")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the bytes they decode to."""
