@@ -10,11 +10,11 @@ neighbours: no token beyond can change.  Decoding concatenates up the tree.
 from __future__ import annotations
 
 import base64
-import regex
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 

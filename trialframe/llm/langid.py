@@ -72,3 +72,19 @@ def languages(docs: DataFrame) -> DataFrame:
     return identify(docs, learn(docs)).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_byte"
     )
+
+
+def keep_language(docs: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose text is in no learned language; columns as they were.
+
+    A row goes if it is undetermined, or if its best language needs at least
+    ``FLAT_BITS`` per byte.  Where nothing was learned, all rows stay.  Scores
+    come from the row itself, so rows with equal or null ids are judged alone.
+    """
+    model = learn(docs)
+    if model is None:
+        return docs
+    rest = docs.withColumn("__text", F.col("text").cast("string"))
+    letters = F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False))
+    out = bytemodel.scored(rest, "__text", model)
+    return out.where(letters & (F.array_min("bits") < FLAT_BITS * F.col("n_bytes"))).select(*docs.columns)

@@ -250,3 +250,17 @@ def jaccard_join(
         )
         .withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
     )
+
+
+def first_of_groups(docs: DataFrame, threshold: float = THRESHOLD, size: int = WORDS) -> DataFrame:
+    """``docs`` with one document of each group of linked ones; columns as they were.
+
+    The smallest doc_id of a group stays.  Here texts without a word (nulls
+    too) are copies of each other.  Rows with a null doc_id stay.
+    """
+    gone = jaccard_join(docs, threshold, size).where("not kept").select(F.col("doc_id").alias("__id"))
+    solid = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[ \t\n\x0B\f\r]+", "")
+    bare = durable(docs.where((solid == "") & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("__id")))
+    more = bare.join(F.broadcast(bare.agg(F.min("__id").alias("least"))), F.col("__id") != F.col("least")).select("__id")
+    gone = durable(gone.union(more).distinct())
+    return docs.join(graph.fitting(gone, 24), docs["doc_id"].cast("long") == F.col("__id"), "left_anti")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialframe.llm import bpe, langid, lines, ngram_join, packing, quality, urls, vectors, warc
+from trialframe.llm import bpe, langid, licences, lines, ngram_join, packing, quality, urls, vectors, warc
 from trialframe.plans.registry import query
 
 
@@ -20,6 +21,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+@query("op7_licence_scan")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families named in every document."""
+    return licences.licences(table(spark, sf_dir, "documents"))
+
+
 @query("op8_url_filter")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's URL."""
@@ -163,3 +170,6 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = warc.manifest(pages, held)
     replica = both.where("stored is not null").withColumn("digest", F.col("stored"))
     return warc.audit(both.drop("stored"), replica.drop("stored"))
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
