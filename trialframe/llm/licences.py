@@ -12,6 +12,7 @@ like a licence otherwise is ``unknown``.
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
@@ -83,11 +84,12 @@ _MARKS = "array<struct<gram: long, template: int>>"
 def _grams(words: Column) -> Column:
     """Hashes of the distinct 2- and 3-grams of an array of words."""
 
-    def of(n: int) -> Column:
-        starts = F.slice(words, 1, F.greatest(F.size(words) - (n - 1), F.lit(0)))
-        return F.transform(starts, lambda w, k: F.xxhash64(F.lit(n), w, *[F.get(words, k + j) for j in range(1, n)]))
+    def of(w: Column, n: int) -> Column:
+        starts = F.slice(w, 1, F.greatest(F.size(w) - (n - 1), F.lit(0)))
+        return F.transform(starts, lambda x, k: F.xxhash64(F.lit(n), x, *[F.get(w, k + j) for j in range(1, n)]))
 
-    return F.array_distinct(F.concat(of(2), of(3)))
+    # The outer array binds the words, so that they are split once and not per n-gram.
+    return F.transform(F.array(words), lambda w: F.array_distinct(F.concat(of(w, 2), of(w, 3))))[0]
 
 
 def _words(text: Column) -> Column:
@@ -187,31 +189,27 @@ def scan(docs: DataFrame, classifier: Classifier | None = None) -> DataFrame:
     sums = [F.sum(F.coalesce(F.col("weights")[k], F.lit(0.0))).alias(f"w{k}") for k in range(n)]
     templates = [t for ts in TEMPLATES.values() for t in ts]
     held = [F.count_if(F.array_contains("templates", k)).alias(f"t{k}") for k in range(len(templates))]
-    scored = hits.groupBy("row", "doc_id", "pos").agg(F.count("weights").alias("known"), *sums, *held).where("known > 0")
-    logits = F.array(*[F.col(f"w{k}") + F.lit(own.intercepts[k]) for k in range(n)])
-    scored = scored.withColumn("z", logits).withColumn("top", F.array_max("z"))
-    share = F.transform("z", lambda x: F.exp(x - F.col("top")))
-    scored = scored.withColumn("p", share).withColumn(
-        "p", F.transform("p", lambda x: x / F.aggregate("p", F.lit(0.0), lambda a, b: a + b))
-    )
-    names = F.array(*[F.lit(f) for f in own.families])
-    best = F.element_at(names, F.array_position("p", F.array_max("p")).cast("int"))
-    none = F.element_at("p", own.families.index(NONE) + 1)
-    sizes = _template_sizes(spark)
-    number, confirmed = 0, F.lit(False)
+    sums = hits.groupBy("row", "doc_id", "pos").agg(F.count("weights").alias("known"), *sums, *held)
+    scored = durable(sums.where("known > 0"))
+    z = [F.col(f"w{k}") + F.lit(own.intercepts[k]) for k in range(n)]
+    top = F.greatest(*z)
+    total = sum((F.exp(x - top) for x in z), F.lit(0.0))
+    sizes, number, found = _template_sizes(spark), 0, {NONE: F.lit(False)}
     for family, texts in TEMPLATES.items():
-        for _ in texts:
-            hit = F.col(f"t{number}") >= F.lit(CONFIRMED * sizes[number])
-            confirmed = confirmed | ((F.col("best") == family) & hit)
-            number += 1
-    return (
-        scored.withColumn("best", best).withColumn("none", none).withColumn("sure", F.array_max("p"))
-        .where((F.col("best") != NONE) | (F.col("none") < 0.5))
-        .select(
-            "row", "doc_id", "pos",
-            F.when((F.col("best") != NONE) & (F.col("sure") >= own.threshold) & confirmed, F.col("best"))
-            .otherwise(UNKNOWN).alias("family"),
-        )
+        hits_ = [F.col(f"t{number + k}") >= F.lit(CONFIRMED * sizes[number + k]) for k in range(len(texts))]
+        found[family] = reduce(Column.__or__, hits_)
+        number += len(texts)
+    verdict = scored.select(
+        "row", "doc_id", "pos",
+        F.array_position(F.array(*z), top).cast("int").alias("best"),
+        (1.0 / total).alias("sure"),
+        (F.exp(z[own.families.index(NONE)] - top) / total).alias("none"),
+        F.array(*[found[f] for f in own.families]).alias("found"),
+    )
+    names, other = F.array(*[F.lit(f) for f in own.families]), own.families.index(NONE) + 1
+    certain = (F.col("best") != other) & (F.col("sure") >= own.threshold) & F.element_at("found", F.col("best"))
+    return verdict.where((F.col("best") != other) | (F.col("none") < 0.5)).select(
+        "row", "doc_id", "pos", F.when(certain, F.element_at(names, F.col("best"))).otherwise(UNKNOWN).alias("family")
     )
 
 
