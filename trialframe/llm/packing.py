@@ -4,8 +4,8 @@ A document's ids are cut into pieces of at most ``capacity``.  How pieces share
 sequences depends on their lengths alone, so the plan is made from the histogram
 of lengths, which has at most ``capacity`` entries whatever the data:
 
-1. large lengths are sorted into groups of equal cardinality and rounded up to
-   the largest of their group (linear grouping);
+1. large lengths are sorted into groups of equal cardinality (or less, where
+   lengths lie far apart) and rounded up to the largest of their group;
 2. the linear program over the configurations of these few sizes is solved by
    column generation, and rounded down;
 3. actual lengths take the places of the rounded ones, which frees room;
@@ -36,9 +36,11 @@ from trialframe.session import durable
 
 CAPACITY = 2048
 END = 0
-GROUPS = 64
+GROUPS = 128
 #: Lengths up to this part of the capacity are small.
 SMALL = 8
+#: A group ends early before a length this part of the capacity below its largest.
+SPREAD = 32
 SALT = 64
 ROUNDS = 600
 #: Words kept by a task; all are dropped when more come.
@@ -202,7 +204,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
         for length in large:
             count = left.pop(length)
             while count:
-                if not room:
+                if not room or size - length > capacity // SPREAD:
                     room, size = share, length
                 take = min(count, room)
                 queues.setdefault(size, []).append([length, take])
