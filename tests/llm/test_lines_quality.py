@@ -1,0 +1,100 @@
+"""Line dedup and quality rules against plain loops."""
+
+from __future__ import annotations
+
+import re
+from collections import Counter, defaultdict
+from itertools import combinations
+
+from pyspark.sql import functions as F
+
+from tests.llm.data import corpus, documents
+from trialframe.llm import lines, quality
+
+WINDOW = re.compile(r"(?s)(?=(.{1,12}))\S{1,12}\s?")
+
+
+def repeated(rows, hashes):
+    places = defaultdict(list)
+    for doc, text, *_ in rows:
+        for k, raw in enumerate(text.split("\n")):
+            line = re.sub(r"[ \t\n\x0b\f\r]+", " ", raw.lower()).strip(" ")
+            if line:
+                places[line].append((doc, hashes[doc], k))
+    names = list(places)
+    sets = [set(WINDOW.findall(x)) for x in names]
+    group = list(range(len(names)))
+    for a, b in combinations(range(len(names)), 2):
+        common = len(sets[a] & sets[b])
+        if common >= 0.8 * (len(sets[a]) + len(sets[b]) - common):
+            old, new = group[a], group[b]
+            group = [new if g == old else g for g in group]
+    members = defaultdict(list)
+    for name, g in zip(names, group, strict=True):
+        members[g] += places[name]
+    return {p for m in members.values() for p in m if p != min(m)}
+
+
+def test_one_line_of_each_group_stays(spark):
+    rows = corpus(n=80)
+    edited = [(500 + k, r[1].replace("a", "e", 2), *r[2:]) for k, r in enumerate(rows[:30])]
+    rows += edited
+    docs = documents(spark, rows)
+    hashes = dict(docs.select("doc_id", F.xxhash64("text")).collect())
+    gone = repeated(rows, hashes)
+    out = {r.doc_id: r for r in lines.dedup_lines(docs).collect()}
+    for doc, text, *_ in rows:
+        left = [x for k, x in enumerate(text.split("\n")) if (doc, hashes[doc], k) not in gone]
+        assert out[doc].left == "\n".join(left)
+        assert out[doc].n_removed == len(text.split("\n")) - len(left)
+
+
+def test_only_builtin_functions_run(spark, capsys):
+    lines.dedup_lines(documents(spark, corpus(n=5))).explain()
+    assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
+
+
+def test_frequent_lines_by_host(spark):
+    rows = []
+    for k in range(12):
+        own = "\n".join(f"own {k} {j} " + "x y z w " * 3 for j in range(5))
+        shared = "\n".join(f"Shared  line {j} of many words here" for j in range(9))
+        rows.append((k, f"{shared}\n{own}" if k % 2 else own, "en", "a" if k < 8 else "b", 0))
+    rows.append((50, rows[1][1], "en", "a", 0))
+    rows.append((51, "shared line 0 of many words HERE\n" + "p q r s t u v " * 10, "en", "a", 0))
+    limits = {"min_documents": 3, "share": 0.1, "min_kept": 0.6}
+    out = {r.doc_id: r for r in quality.rejected(documents(spark, rows), **limits).collect()}
+
+    def measures(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", text)
+        windows = Counter(zip(w, w[1:], w[2:], strict=False))
+        cover = {k + j for k in range(len(w) - 2) if windows[tuple(w[k : k + 3])] > 1 for j in range(3)}
+        held = [x for x in text.split("\n") if x.split()]
+        return len(w), sum(map(len, w)), len(held) - len(set(held)), len(cover)
+
+    def norm(x):
+        return " ".join(x.lower().split())
+
+    hosts = defaultdict(lambda: defaultdict(dict))
+    for doc, text, _, host, _ in rows:
+        for x in text.split("\n"):
+            if x.split():
+                hosts[host][norm(x)].setdefault(text, doc)
+    for doc, text, _, host, _ in rows:
+        n, chars, doubled, cover = measures(text)
+        r = out[doc]
+        assert (r.n_words, r.word_chars, r.n_dup_lines, r.n_repeat_words) == (n, chars, doubled, cover)
+        lost = 0
+        for x in text.split("\n"):
+            if x.split():
+                having = hosts[host][norm(x)]
+                if len(having) > 3 and min(having.values()) != doc:
+                    lost += len(x.split())
+        assert r.n_words_removed == lost
+        failed = n < 50 or 100 * cover > 50 * n
+        assert r.base_failed == failed and r.kept == (not failed and n - lost >= 0.6 * n)
+    cleaned = {r.doc_id: r for r in quality.clean(documents(spark, rows), **limits).collect()}
+    assert cleaned.keys() == {k for k, r in out.items() if r.kept}
+    for k, r in cleaned.items():
+        assert r.n_chars == (len(r.text) if out[k].n_words_removed else 0)
+        assert len(r.text.split()) == out[k].n_words - out[k].n_words_removed

@@ -173,9 +173,11 @@ def freeze(counts: DataFrame, smoothing: str, max_windows: int = MAX_WINDOWS, ma
     parts = [(gram >> shift) & 255 for shift in (24, 16, 8, 0)]
     seen = np.unique(np.concatenate(parts))
     seen = seen[seen > 0]
-    symbol = np.zeros(256, np.int32)
-    symbol[seen] = np.arange(1, len(seen) + 1)
-    size = len(seen) + 1
+    # Code 0 is the zero byte, also before a text; 1 is any byte that was never seen.
+    symbol = np.ones(256, np.int32)
+    symbol[0] = 0
+    symbol[seen] = np.arange(2, len(seen) + 2)
+    size = len(seen) + 2
     c0, c1, c2, last = (symbol[x].astype(np.int64) for x in parts)
     most = max(256, max_cells // (size * len(kinds)))
     keys = {3: (c0 * size + c1) * size + c2, 2: c1 * size + c2, 1: c2, 0: np.zeros_like(c2)}

@@ -84,7 +84,9 @@ def keep_language(docs: DataFrame) -> DataFrame:
     model = learn(docs)
     if model is None:
         return docs
-    rest = docs.withColumn("__text", F.col("text").cast("string"))
-    letters = F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False))
-    out = bytemodel.scored(rest, "__text", model)
-    return out.where(letters & (F.array_min("bits") < FLAT_BITS * F.col("n_bytes"))).select(*docs.columns)
+    text = F.col("text").cast("string")
+    plain = [docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)]
+    rows = docs.select(*plain, F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"), text.alias("text"))
+    out = bytemodel.scored(rows, "text", model)
+    out = out.where(F.col("letters") & (F.array_min("bits") < FLAT_BITS * F.col("n_bytes")))
+    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])

@@ -262,5 +262,5 @@ def first_of_groups(docs: DataFrame, threshold: float = THRESHOLD, size: int = W
     solid = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[ \t\n\x0B\f\r]+", "")
     bare = durable(docs.where((solid == "") & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("__id")))
     more = bare.join(F.broadcast(bare.agg(F.min("__id").alias("least"))), F.col("__id") != F.col("least")).select("__id")
-    gone = durable(gone.union(more).distinct())
-    return docs.join(graph.fitting(gone, 24), docs["doc_id"].cast("long") == F.col("__id"), "left_anti")
+    gone = graph.fitting(durable(gone.union(more).distinct()), 24)
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["__id"], "left_anti")

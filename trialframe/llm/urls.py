@@ -52,8 +52,9 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tup
 def threshold(scores: DataFrame) -> float:
     """The least score to accept: best mean of both classes' recall on ``(score, verdict)``.
 
-    Works on counts per bin of the score, whose range is bounded by the model;
-    of equally good bins the one next to 0 counts.  0 without scores.
+    Works on counts per bin of the score, whose range is bounded by the model.
+    Of equally good thresholds the one nearest to 0, even likelihoods, counts.
+    0 without scores of both classes.
     """
     rows = (
         scores.groupBy(F.floor(F.col("score") * _BINS_PER_BIT).alias("bin"))
@@ -64,12 +65,14 @@ def threshold(scores: DataFrame) -> float:
     good, bad = sum(r.good for r in rows), sum(r.bad for r in rows)
     if not good or not bad:
         return 0.0
-    best, passed_bad, passed_good = (-1.0, 0.0, 0.0), bad, good
+    best, passed_bad, passed_good, low = (-1.0, 0, 0), bad, good, rows[0].bin
     for r in rows:
+        # Any threshold above the bin before and up to this one accepts the same.
+        at = min(max(0, low), r.bin)
         value = passed_good / good + (bad - passed_bad) / bad
-        best = max(best, (round(value, 9), -abs(r.bin), r.bin / _BINS_PER_BIT))
-        passed_good, passed_bad = passed_good - r.good, passed_bad - r.bad
-    return best[2]
+        best = max(best, (round(value, 9), -abs(at), at))
+        passed_good, passed_bad, low = passed_good - r.good, passed_bad - r.bad, r.bin + 1
+    return best[2] / _BINS_PER_BIT
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
