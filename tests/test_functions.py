@@ -200,3 +200,18 @@ def test_lease_clock(spark):
     assert str(row.a) == "2024-01-01 00:01:30"
     assert str(row.b) == "2024-01-01 00:00:00.500000"
     assert (row.c, row.d) == (120.0, 10.0)
+
+
+def test_text_after_a_value_and_deep_nesting_are_no_json(spark):
+    from trialframe.functions.fingerprints import canonical_json, config_fingerprint
+    from trialframe.sources.readers import is_object
+
+    texts = ['{"a":1}x', '{"a":1} {"b":2}', '{"a":1}', ' {"a" : "x  y" , "b":[1, 2]} ', "[" * 100_000, '{"a":1,"a":2}', "-0", '{"a":1}\n']
+    df = spark.createDataFrame([(t,) for t in texts], "c string")
+    got = df.select(
+        canonical_json(F.col("c")), is_object(F.col("c")), config_fingerprint(F.col("c"), F.lit("o"), F.lit("p")).isNotNull()
+    ).collect()
+    want = [None, None, '{"a":1}', '{"a":"x  y","b":[1,2]}', None, '{"a":2}', "0", '{"a":1}']
+    assert [r[0] for r in got] == want
+    assert [r[1] for r in got] == [bool(w) and w[0] == "{" for w in want]
+    assert [r[2] for r in got] == [w is not None for w in want]

@@ -50,6 +50,25 @@ def test_scan_results_files(spark, result_dir):
     assert rows.where("_corrupt_record IS NOT NULL").first().fingerprint == FP[2]
 
 
+def test_quarantine_on_a_default_scan(spark, result_dir):
+    rows = readers.scan_results(spark, result_dir)
+    assert readers.clean(rows).count() == 2
+    assert [r[0][:9] for r in readers.quarantined(rows).collect()] == ['{"project']
+    claims = readers.scan_claims(spark, result_dir)
+    assert readers.clean(claims).count() == 2 and readers.quarantined(claims).count() == 1
+
+
+def test_sinks_skip_what_they_hold(spark, tmp_path):
+    rows = stored(spark, [("p", "minimize", "fa", "r1", "completed", 1.0), ("q", "minimize", "fb", "r2", "keep", 2.0)])
+    rows = rows.withColumns({"agent_id": F.lit("a"), "branch": F.lit("b")})
+    artifacts = rows.select("agent_id", "run_id", F.create_map(F.lit("k"), F.lit("v")).alias("artifact"))
+    for _ in range(2):
+        writers.write_artifacts(artifacts, str(tmp_path / "artifacts"))
+        writers.write_audit(rows, str(tmp_path / "audit"))
+    assert writers.read_artifacts(spark, str(tmp_path / "artifacts")).count() == 2
+    assert spark.read.text(str(tmp_path / "audit")).count() == 2
+
+
 def test_scan_results_can_fail_fast(spark, result_dir):
     with pytest.raises((PySparkException, Py4JJavaError), match="(?i)malformed|failed_read"):
         readers.scan_results(spark, result_dir, on_error="raise").collect()
@@ -105,7 +124,7 @@ def test_publish_replaces_and_keeps_serving(spark, tmp_path):
     assert writers.read_published(spark, root, lambda: spark.range(1)).count() == 1
     assert writers.republish(spark.range(5), root).count() == 5
     # A version that was written but not published is not served.
-    spark.range(9).write.parquet(f"{root}/version=7")
+    spark.range(9).write.parquet(f"{root}/versions/000000000007-x")
     assert writers.read_published(spark, root).count() == 5
     assert writers.version_before(spark, root, 1) == 0
 
@@ -128,7 +147,7 @@ def test_artifacts_and_audit(spark, tmp_path):
     assert writers.audit_lines(lines, unsynced).count() == 0
     assert writers.audit_lines(lines, unsynced.withColumn("git_sync", F.lit(True))).count() == 1
     texts = [r.value for r in spark.read.text(audit).collect()]
-    assert texts == ["agent a [main]: fa__r1 loss=0.5 status=completed"] * 2
+    assert texts == ["agent a [main]: fa__r1 loss=0.5 status=completed"]
 
 
 def test_override_lets_extra_keys_win(spark):

@@ -13,7 +13,7 @@ from test_leases import EVENTS
 from trialframe.operators import leaderboard as lb
 from trialframe.operators.decisions import keep_discard_replay
 from trialframe.operators.leases import lease_sessions, lease_states
-from trialframe.session import ROCKSDB, session_conf
+from trialframe.session import session_conf
 from trialframe.streaming import feed
 from trialframe.streaming.admission import admit_stream
 from trialframe.streaming.best import decide_stream
@@ -40,8 +40,9 @@ def random_results(seed, n):
         project = rng.choice("pppq")
         status = rng.choice(["completed", "keep", "discard", "failed", "odd"])
         metric = None if status == "failed" or rng.random() < 0.05 else float(rng.randrange(60))
+        name = "other" if rng.random() < 0.1 else "loss"  # rows of another metric do not rank
         rows.append((project, "minimize" if project == "p" else "maximize",
-                     f"f{rng.randrange(40):02d}", f"r{i:04d}", status, "loss", metric, at(i)))
+                     f"f{rng.randrange(40):02d}", f"r{i:04d}", status, name, metric, at(i)))
     return rows
 
 
@@ -51,26 +52,37 @@ def test_leaderboard_after_any_split_equals_batch(spark, tmp_path, cuts):
     batches = [rows[a:b] for a, b in zip(cuts, cuts[1:])]
     terms = contract_table(spark, ("p", "minimize", 4), ("q", "maximize", 6), ("e", "minimize", 3))
     root = str(tmp_path / "board")
-    update_leaderboard(as_stream(spark, tmp_path, batches, RESULT), root, limit=6)
+    update_leaderboard(as_stream(spark, tmp_path, batches, RESULT), terms, root)
     live = current_leaderboard(spark, root, terms)
-    batch = lb.leaderboard_snapshot(spark.createDataFrame(rows, RESULT), terms).drop("best")
+    batch = lb.leaderboard_snapshot(spark.createDataFrame(rows, RESULT), terms)
     assert sorted(map(repr, live.collect())) == sorted(map(repr, batch.select(live.columns).collect()))
 
 
 def test_repeated_batch_changes_nothing(spark, tmp_path):
-    from trialframe.sources.writers import read_version
-    from trialframe.streaming.leaderboard import best_stream, merge_board
+    from trialframe.streaming.leaderboard import merge_results
 
     root = str(tmp_path / "replay")
-    merge = merge_board(root, 3)
-    df = results(spark, [("p", "minimize", "fa", "r1", "keep", 1.0), ("p", "minimize", "fb", "r2", "keep", 2.0)])
-    touched = best_stream(df).withColumns({"first_seen": F.lit(at(0)), "last_seen": F.lit(at(0))})
-    merge(touched, 0)
-    merge(touched, 1)
-    merge(touched, 1)
+    terms = contract_table(spark, ("p", "minimize", 3))
+    merge = merge_results(root, terms)
+    merge(results(spark, [("p", "minimize", "fa", "r1", "keep", 1.0), ("p", "minimize", "fb", "r2", "keep", 2.0)]), 0)
+    second = results(spark, [("p", "minimize", "fb", "r3", "keep", 0.5), ("p", "minimize", "fc", "r4", "discard", 2.0)])
+    merge(second, 1)
+    merge(second, 1)
     # Batch 1 was merged twice on top of batch 0, and counted once.
-    assert read_version(spark, root, 1).first().num_completed == 4
-    assert [r.fingerprint for r in read_version(spark, root, 1).first().top] == ["fa", "fb"]
+    row = current_leaderboard(spark, root, terms).first()
+    assert (row.num_completed, row.num_discarded) == (2, 1)
+    assert [r.fingerprint for r in row.top_k] == ["fb", "fa"] and row.best.run_id == "r3"
+
+
+def test_versions_behind_are_removed(spark, tmp_path):
+    from trialframe.streaming.leaderboard import merge_results
+
+    root, terms = str(tmp_path / "many"), contract_table(spark, ("p", "minimize", 3))
+    merge = merge_results(root, terms)
+    for i in range(8):
+        merge(results(spark, [("p", "minimize", f"f{i}", f"r{i}", "keep", float(i))]), i)
+    assert len(list((tmp_path / "many" / "board" / "versions").iterdir())) <= 4
+    assert current_leaderboard(spark, root, terms).first().num_completed == 8
 
 
 def test_best_on_arrival_equals_batch_in_time_order(spark, tmp_path):
@@ -107,9 +119,8 @@ def test_closed_leases_equal_batch_up_to_the_watermark(spark, tmp_path):
 
 
 def track(spark, tmp_path, batches, **options):
-    with session_conf(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB):
-        stream = as_stream(spark, tmp_path, batches, EVENTS)
-        out = feed.drain_to_table(track_leases(stream, "0 seconds", **options), str(tmp_path / f"t{uuid.uuid4().hex}"))
+    stream = as_stream(spark, tmp_path, batches, EVENTS)
+    out = track_leases(stream, str(tmp_path / f"t{uuid.uuid4().hex}"), **options)
     return sorted((r.fingerprint, r.agent_id, r.lease_start, r.lease_end, r.beats, r.state) for r in out.collect())
 
 
@@ -124,6 +135,7 @@ def test_tracker_golden(spark, tmp_path):
     ]
     assert track(spark, tmp_path, batches) == [
         ("f", "a", at(0), at(60), 2, "released"),
+        ("f", "a", at(20), None, 0, "late"),
         ("g", "c", at(50), at(110), 1, "expired"),
         ("g", "c", at(110), at(170), 1, "expired"),
         ("z", "z", at(1000), at(1001), 1, "released"),
@@ -167,13 +179,34 @@ def test_admission_on_arrival(spark, tmp_path):
     schema = "project string, fingerprint string, ts timestamp, candidate_id long, ttl_seconds double"
     row = lambda i, f, s: ("p", f, at(s), i, 10.0)
     batches = [[row(1, "a", 0), row(2, "a", 5), row(3, "b", 5)], [row(4, "a", 9.999999), row(5, "a", 10), row(6, "b", 14)]]
-    with session_conf(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB):
-        stream = as_stream(spark, tmp_path, batches, schema)
-        out = feed.drain_to_table(admit_stream(stream), str(tmp_path / "admitted"))
+    out = admit_stream(as_stream(spark, tmp_path, batches, schema), str(tmp_path / "admitted"))
     assert {r.candidate_id: r.reason for r in out.collect()} == {
         1: "accepted", 2: "claimed", 3: "accepted", 4: "claimed", 5: "accepted", 6: "claimed"}
 
 
+ORDERS = {"ascending": lambda r: r, "descending": lambda r: r[::-1], "shuffled": lambda r: random.Random(8).sample(r, len(r))}
+
+
+@pytest.mark.parametrize("order", ORDERS)
+@pytest.mark.parametrize("size", [5, 10_000])
+def test_tracker_and_admission_ignore_arrival_order_and_batch_size(spark, tmp_path, order, size):
+    rng = random.Random(11)
+    events = [("p", "f", rng.choice("ab"), rng.choice(["claim", "refresh", "release"]), at(i), i, 3.0) for i in range(60)]
+    asked = [("p", "f", at(i), i, 10.0) for i in range(30)]
+    schema = "project string, fingerprint string, ts timestamp, candidate_id long, ttl_seconds double"
+    with session_conf(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(size)):
+        live = track(spark, tmp_path, [ORDERS[order](events)])
+        out = admit_stream(as_stream(spark, tmp_path, [ORDERS[order](asked)], schema), str(tmp_path / "a")).collect()
+    assert live == track(spark, tmp_path, [events])
+    assert sorted(r.candidate_id for r in out if r.reason == "accepted") == [0, 10, 20] and len(out) == 30
+
+
+def test_tracker_uses_the_last_beats_own_ttl(spark, tmp_path):
+    events = [("p", "f", "a", "claim", at(0), 1, 36_000.0), ("p", "f", "a", "refresh", at(3600), 2, 3600.0),
+              ("p", "z", "a", "claim", at(90_000), 3, 5.0)]
+    assert track(spark, tmp_path, [events]) == [("f", "a", at(0), at(7200), 2, "expired")]
+
+
 def test_result_files_stream(spark, tmp_path):
     import json
 

@@ -37,7 +37,7 @@ def _canonical_text(raw: str | None) -> str | None:
         return None
     try:
         value = json.loads(raw)
-    except ValueError:
+    except (ValueError, RecursionError):  # RecursionError: nested too deeply
         return None
     return json.dumps(value, sort_keys=True, separators=(",", ":"))
 
@@ -61,8 +61,15 @@ def _payload_python(
 
 
 def canonical_json_jvm(raw: Column) -> Column:
-    """Canonical JSON where the JVM route is provably exact, else NULL."""
-    return F.when(~raw.rlike(_DELICATE), F.to_json(F.try_parse_json(raw)))
+    """Canonical JSON where the JVM route is provably exact, else NULL.
+
+    The parser ignores what follows the first value.  Its text counts only if
+    it is as long as the raw text without the blanks outside strings, so that
+    nothing was left out (there are no escapes on this route).
+    """
+    text = F.to_json(F.try_parse_json(raw))
+    bare = F.regexp_replace(raw, r'("[^"]*")|[ \t\n\r]+', "$1")
+    return F.when(~raw.rlike(_DELICATE) & (F.length(text) == F.length(bare)), text)
 
 
 def canonical_json(raw: Column) -> Column:

@@ -119,7 +119,7 @@ def flat_snapshot(snapshot):
     line = lambda row: F.concat_ws(
         " ", row["rank"].cast("string"), row["fingerprint"], row["run_id"]
     )
-    best = F.get("top_k", F.lit(0))
+    best = F.col("best")
     return snapshot.select(
         "project", "metric", "objective",
         "num_completed", "num_discarded", "num_failed",

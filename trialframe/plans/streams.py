@@ -9,7 +9,7 @@ from trialframe.plans.leasing import SESSIONS_SQL, lease_log
 from trialframe.plans.ranking import SNAPSHOT_SQL, flat_snapshot
 from trialframe.plans.registry import query, with_runs
 from trialframe.plans.tables import LEASE_TTL, contracts, runs_of, table
-from trialframe.session import ROCKSDB, new_scratch, session_conf
+from trialframe.session import new_scratch, session_conf
 from trialframe.streaming import feed
 from trialframe.streaming.admission import admit_stream
 from trialframe.streaming.best import decide_stream
@@ -104,7 +104,7 @@ final AS (
     SELECT *, row_number() OVER (PARTITION BY project, fingerprint
                                  ORDER BY place DESC) AS back FROM step)
   WHERE back = 1 AND live
-    AND ends <= (SELECT date_trunc('millisecond', max(ts)) FROM log))
+    AND ends <= (SELECT max(ts) FROM log))
 SELECT project, fingerprint, out_agent AS agent_id, out_start AS lease_start,
        out_end AS lease_end, out_beats AS beats, out_state AS state
 FROM step WHERE out_state IS NOT NULL
@@ -114,10 +114,7 @@ SELECT project, fingerprint, agent, began, ends, beats, 'expired' FROM final""",
 def stream_lease_tracker(spark, sf_dir):
     """Leases as they are released or expire, with ownership."""
     log = _timed(lease_log(runs_of(_events(spark, sf_dir))), "ts")
-    with session_conf(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB):
-        tracked = feed.drain_to_table(
-            track_leases(log, "0 seconds"), new_scratch(spark, "stream-tracker")
-        )
+    tracked = track_leases(log, new_scratch(spark, "stream-tracker"))
     return tracked.select(
         "project", "fingerprint", "agent_id", _local("lease_start"),
         _local("lease_end"), "beats", "state",
@@ -127,8 +124,9 @@ def stream_lease_tracker(spark, sf_dir):
 @query("stream_leaderboard", SNAPSHOT_SQL)
 def stream_leaderboard(spark, sf_dir):
     root = new_scratch(spark, "stream-leaderboard")
-    update_leaderboard(runs_of(_events(spark, sf_dir)), root, limit=10)
-    return flat_snapshot(current_leaderboard(spark, root, contracts(spark, sf_dir)))
+    terms = contracts(spark, sf_dir)
+    update_leaderboard(runs_of(_events(spark, sf_dir)), terms, root)
+    return flat_snapshot(current_leaderboard(spark, root, terms))
 
 
 @query("stream_best", REPLAY_SQL)
@@ -163,7 +161,4 @@ def stream_admission(spark, sf_dir):
         "project", "fingerprint", F.col("completed_at").cast("timestamp").alias("ts"),
         F.col("event_id").alias("candidate_id"), F.lit(3 * 86_400).alias("ttl_seconds"),
     )
-    with session_conf(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB):
-        return feed.drain_to_table(
-            admit_stream(asked), new_scratch(spark, "stream-admission")
-        )
+    return admit_stream(asked, new_scratch(spark, "stream-admission"))

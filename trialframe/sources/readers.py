@@ -6,10 +6,11 @@ file, named by key, or one record per line.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trialframe.functions.fingerprints import canonical_json
 from trialframe.functions.text import key_from_file_name
 from trialframe.schemas import (
     CLAIM_JSON_SCHEMA, CLAIM_SCHEMA, RESULT_JSON_SCHEMA, RESULT_SCHEMA,
@@ -88,14 +89,20 @@ def scan_claims(
     )
 
 
+def _with_key(condition: Column) -> Column:
+    # Spark refuses to read the text of unreadable records alone, so the
+    # condition reads the key as well; it is always true.
+    return condition & (F.length(F.coalesce("fingerprint", F.lit(""))) >= 0)
+
+
 def clean(df: DataFrame) -> DataFrame:
     """Readable records only."""
-    return df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    return df.where(_with_key(F.col(CORRUPT).isNull())).drop(CORRUPT)
 
 
 def quarantined(df: DataFrame) -> DataFrame:
     """Text of unreadable records."""
-    return df.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
+    return df.where(_with_key(F.col(CORRUPT).isNotNull())).select(CORRUPT)
 
 
 def has_completed(spark: SparkSession, path: str, fingerprint: str) -> bool:
@@ -109,12 +116,9 @@ def has_completed(spark: SparkSession, path: str, fingerprint: str) -> bool:
     return not names.isEmpty()
 
 
-def is_object(config) -> F.Column:
-    """True for text that is a JSON object."""
-    return F.coalesce(
-        F.schema_of_variant(F.try_parse_json(config)).startswith("OBJECT"),
-        F.lit(False),
-    )
+def is_object(config: Column) -> Column:
+    """True for text that is one JSON object and nothing else."""
+    return F.coalesce(canonical_json(config).startswith("{"), F.lit(False))
 
 
 def config_objects(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -44,8 +45,16 @@ def append_results(results: DataFrame, path: str) -> None:
 
 
 def write_artifacts(artifacts: DataFrame, path: str) -> None:
-    """One directory per agent, one JSON line per run."""
-    laid_out = artifacts.hint("rebalance", "agent_id")
+    """One directory per agent, one JSON line per run; stored runs are skipped."""
+    keys = ["agent_id", "run_id"]
+    fresh = artifacts.dropDuplicates(keys)
+    try:
+        stored = read_artifacts(artifacts.sparkSession, path).select(*keys)
+        fresh = durable(fresh.join(stored, keys, "left_anti"))
+    except AnalysisException as error:
+        if not _missing(error):
+            raise
+    laid_out = fresh.hint("rebalance", "agent_id")
     laid_out.write.mode("append").partitionBy("agent_id").json(path)
 
 
@@ -54,26 +63,50 @@ def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+#: Versions of a snapshot that stay readable behind the newest one.
+KEPT_VERSIONS = 3
+
+
+def _files(spark: SparkSession, path: str):
+    """Hadoop's file system for a path, and the path as its object."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def _published(spark: SparkSession, root: str) -> list[tuple[int, int, str]]:
+    """(version, time, name) of every published directory, oldest first."""
+    files, place = _files(spark, f"{root}/published")
+    if not files.exists(place):
+        return []
+    found = [(x.getPath().getName(), x.getModificationTime()) for x in files.listStatus(place)]
+    return sorted((int(name.partition("-")[0]), at, name) for name, at in found if name[0].isdigit())
+
+
 def publish(snapshot: DataFrame, root: str, version: int) -> None:
-    """Replace the snapshot: write a version, then point to it.
+    """Replace the snapshot: write a directory of its own, then mark it published.
 
-    Readers follow the pointer and so never see a half-written version.
-    Publishing a version again overwrites it with the same rows.
+    Readers see marked directories only, and none is ever overwritten: of two
+    directories of one version the later mark counts.  Versions more than
+    ``KEPT_VERSIONS`` behind the newest are removed with their marks.
     """
-    snapshot.write.mode("overwrite").parquet(f"{root}/version={version}")
-    pointer = snapshot.sparkSession.range(1).select(F.lit(version).alias("version"))
-    pointer.write.mode("append").json(f"{root}/published")
+    spark = snapshot.sparkSession
+    name = f"{version:012d}-{uuid.uuid4().hex}"
+    snapshot.write.parquet(f"{root}/versions/{name}")
+    files, mark = _files(spark, f"{root}/published/{name}")
+    files.create(mark).close()
+    marks = _published(spark, root)
+    for old, _, other in marks:
+        if old < marks[-1][0] - KEPT_VERSIONS:
+            for path in (f"{root}/published/{other}", f"{root}/versions/{other}"):
+                files, place = _files(spark, path)
+                files.delete(place, True)
 
 
 def version_before(spark: SparkSession, root: str, bound: int) -> int | None:
     """Latest published version below ``bound``, or None."""
-    try:
-        pointers = spark.read.schema("version long").json(f"{root}/published")
-    except AnalysisException as error:
-        if _missing(error):
-            return None
-        raise
-    return pointers.where(F.col("version") < bound).agg(F.max("version")).first()[0]
+    below = [v for v, _, _ in _published(spark, root) if v < bound]
+    return below[-1] if below else None
 
 
 def latest_version(spark: SparkSession, root: str) -> int | None:
@@ -82,7 +115,8 @@ def latest_version(spark: SparkSession, root: str) -> int | None:
 
 
 def read_version(spark: SparkSession, root: str, version: int) -> DataFrame:
-    return spark.read.parquet(f"{root}/version={version}")
+    names = [name for v, _, name in _published(spark, root) if v == version]
+    return spark.read.parquet(f"{root}/versions/{names[-1]}")
 
 
 def read_published(
@@ -128,6 +162,14 @@ def audit_lines(results: DataFrame, contracts: DataFrame | None = None) -> DataF
 def write_audit(
     results: DataFrame, path: str, contracts: DataFrame | None = None
 ) -> None:
-    """Append audit lines as text, one directory per branch."""
-    lines = audit_lines(results, contracts).hint("rebalance", "branch")
+    """Append audit lines as text, one directory per branch; stored lines are skipped."""
+    fresh = audit_lines(results, contracts).distinct()
+    try:
+        stored = results.sparkSession.read.schema("value string, branch string").text(path)
+        same = (fresh["branch"] == stored["branch"]) & (fresh["line"] == stored["value"])
+        fresh = durable(fresh.join(stored, same, "left_anti"))
+    except AnalysisException as error:
+        if not _missing(error):
+            raise
+    lines = fresh.hint("rebalance", "branch")
     lines.write.mode("append").partitionBy("branch").text(path)

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from trialframe.operators.admission import ACCEPTED, CLAIMED, KEY
-from trialframe.streaming.leases import _micros
+from trialframe.session import durable
+from trialframe.sources.writers import publish
+from trialframe.streaming.feed import drain_batches
+from trialframe.streaming.fold import fold_in_order, touched
+from trialframe.streaming.leases import _earlier, micros
 
 ADMITTED = T.StructType(
     [
@@ -20,52 +21,69 @@ ADMITTED = T.StructType(
         T.StructField("reason", T.StringType()),
     ]
 )
+_FOLDED = T.StructType([*ADMITTED.fields, T.StructField("until", T.LongType())])
+_STATE = "project string, fingerprint string, until long"
 
 
-class Admission(StatefulProcessor):
-    """State per key: when the lease of the last accepted candidate ends."""
+class AdmissionFold:
+    """State of a key: when the lease of the last accepted candidate ends (microseconds)."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.until = handle.getValueState(
-            "until", T.StructType([T.StructField("micros", T.LongType())])
-        )
+    def __init__(self) -> None:
+        self.until: int | None = None
+
+    def row(self, at, candidate_id, ttl, until) -> list[tuple]:
+        if until is not None:  # the stored state sorts first
+            self.until = until
+            return []
+        if self.until is None or self.until <= at:
+            self.until = at + ttl
+            return [(candidate_id, ACCEPTED, None)]
+        return [(candidate_id, CLAIMED, None)]
+
+    def finish(self) -> list[tuple]:
+        return [] if self.until is None else [(None, None, self.until)]
+
+
+def admit_batches(root: str, memory_seconds: float | None = None):
+    """foreachBatch function: decide a batch of candidates, update the leases.
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        until = self.until.get()[0] if self.until.exists() else None
-        for batch in rows:
-            reasons = []
-            for ts, ttl in zip(batch["ts"], batch["ttl_seconds"]):
-                at = _micros(ts)
-                if until is None or until <= at:
-                    until = at + int(float(ttl) * 1_000_000)
-                    reasons.append(ACCEPTED)
-                else:
-                    reasons.append(CLAIMED)
-            yield pd.DataFrame(
-                {
-                    "project": key[0],
-                    "fingerprint": key[1],
-                    "candidate_id": batch["candidate_id"].to_numpy(),
-                    "reason": reasons,
-                }
+    With ``memory_seconds``, leases that ended that long before the newest
+    candidate are forgotten, which bounds the state.
+    """
+
+    def decide(candidates: DataFrame, batch: int) -> None:
+        arrived = durable(
+            candidates.where("ts is not null").select(
+                *KEY, F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "candidate_id",
+                micros(F.col("ttl_seconds")).alias("ttl"), F.lit(None).cast("long").alias("until"),
             )
-        if until is not None:
-            self.until.update((until,))
+        )
+        state = _earlier(candidates.sparkSession, f"{root}/state", batch, _STATE)
+        none = F.lit(None).cast("long")
+        seeds = touched(state, arrived, KEY, "left_semi").select(
+            *KEY, none.alias("at"), none.alias("candidate_id"), none.alias("ttl"), "until"
+        )
+        folded = durable(
+            fold_in_order(seeds.union(arrived), KEY, ["at", "candidate_id"], AdmissionFold, _FOLDED)
+        )
+        decisions = folded.where("reason is not null").drop("until")
+        decisions.write.mode("overwrite").parquet(f"{root}/rows/batch={batch}")
+        leases = folded.where("until is not null").select(*KEY, "until").unionByName(
+            touched(state, arrived, KEY, "left_anti")
+        )
+        newest = arrived.agg(F.max("at")).first()[0]
+        if memory_seconds is not None and newest is not None:
+            leases = leases.where(F.col("until") > newest - int(memory_seconds * 1_000_000))
+        publish(leases, f"{root}/state", batch)
 
-    def close(self) -> None:
-        pass
+    return decide
 
 
-def admit_stream(candidates: DataFrame) -> DataFrame:
-    """Decide candidates (key, ts, candidate_id, ttl_seconds) on arrival.
+def admit_stream(candidates: DataFrame, root: str, memory_seconds: float | None = None) -> DataFrame:
+    """Decide candidates (key, ts, candidate_id, ttl_seconds) and return the table of decisions.
 
-    Needs the RocksDB state store.  Batches stream through the task of their
-    key; only one number per key is kept.
+    Inside a micro-batch candidates count in order of (ts, candidate_id),
+    however they arrive; micro-batches count in order of arrival.
     """
-    rows = candidates.select(*KEY, "ts", "candidate_id", "ttl_seconds")
-    return rows.groupBy(*KEY).transformWithStateInPandas(
-        statefulProcessor=Admission(),
-        outputStructType=ADMITTED,
-        outputMode="Append",
-        timeMode="None",
-    )
+    drain_batches(candidates, admit_batches(root, memory_seconds), root)
+    return candidates.sparkSession.read.schema(ADMITTED).option("recursiveFileLookup", True).parquet(f"{root}/rows")

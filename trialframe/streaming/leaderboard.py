@@ -1,9 +1,10 @@
 """Leaderboard kept current by Structured Streaming.
 
-Two native aggregations hold the state: the best row per fingerprint, and the
-row counters per project.  Each aggregates partially before its shuffle.  A
-micro-batch then merges only the fingerprints it touched into the published
-board, which holds at most ``limit`` rows per project.
+One stream and one merge per micro-batch: its rows are scoped by the contracts
+(metric, objective, limit) and reduced to one row per fingerprint, which is
+written once.  Counters are added, fingerprints not seen before are logged and
+counted, and the best rows are merged into the published board, which holds at
+most a contract's ``leaderboard_limit`` rows, and always the best one.
 
 Merging is safe to repeat: a version is named after its batch and is built
 from the version before it.
@@ -11,159 +12,135 @@ from the version before it.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trialframe.functions.objective import cost, is_rankable
-from trialframe.operators.leaderboard import check_limit
+from trialframe.operators.leaderboard import COUNTERS, largest_limit
 from trialframe.schemas import DISCARD, FAILED
+from trialframe.session import durable
 from trialframe.sources.writers import publish, read_version, version_before
 from trialframe.streaming.feed import drain_batches
 
+_ROW = ("m", "fingerprint", "run_id", "metric_value")
 _BOARD = (
-    "project string, num_completed long, "
+    "project string, num_completed long, num_discarded long, num_failed long, num_unrankable long, "
     "top array<struct<m: double, fingerprint: string, run_id: string, metric_value: double>>"
 )
-_COUNTS = "project string, num_discarded long, num_failed long, num_unrankable long"
 
 
-def best_stream(results: DataFrame) -> DataFrame:
-    """Best row per (project, fingerprint), with first and last batch seen.
+def _earlier(spark: SparkSession, root: str, batch: int) -> DataFrame:
+    version = version_before(spark, root, batch)
+    if version is None:
+        return spark.createDataFrame([], _BOARD)
+    return read_version(spark, root, version)
 
-    current_timestamp() is one instant per micro-batch, logged with it: a
-    fingerprint is new to the board exactly when both are equal.
-    """
-    scored = (
-        results.where(is_rankable(F.col("status")))
-        .withColumn("m", cost(F.col("objective"), F.col("metric_value")))
-        .where(F.col("m").isNotNull())
-        .withColumn("_seen", F.current_timestamp())
-    )
-    return scored.groupBy("project", "fingerprint").agg(
-        F.min(F.struct("m", "run_id", "metric_value")).alias("best"),
-        F.min("_seen").alias("first_seen"),
-        F.max("_seen").alias("last_seen"),
-    )
 
+def _terms(contracts: DataFrame) -> DataFrame:
+    return contracts.select(F.col("name").alias("project"), "metric", "objective", "leaderboard_limit")
 
-def counter_stream(results: DataFrame) -> DataFrame:
-    """Running row counters per project."""
-    unusable = F.col("metric_value").isNull() | F.isnan("metric_value")
-    return results.groupBy("project").agg(
+
+def _reduced(results: DataFrame, contracts: DataFrame) -> DataFrame:
+    """One row per (project, fingerprint): its best row and its counts."""
+    scoped = results.drop("objective").join(_terms(contracts).drop("leaderboard_limit"), "project")
+    other = F.coalesce(F.col("metric_name") != F.col("metric"), F.lit(False))
+    value = F.when(~other, F.col("metric_value"))
+    ranks = is_rankable(F.col("status"))
+    scoped = scoped.withColumn("metric_value", value).withColumn(
+        "m", F.when(ranks, cost(F.col("objective"), F.col("metric_value")))
+    )
+    usable = F.col("metric_value").isNotNull() & ~F.isnan("metric_value")
+    best = F.min(F.when(F.col("m").isNotNull(), F.struct("m", "run_id", "metric_value")))
+    return scoped.groupBy("project", "fingerprint").agg(
+        best.alias("best"),
         F.count_if(F.col("status") == DISCARD).alias("num_discarded"),
         F.count_if(F.col("status") == FAILED).alias("num_failed"),
-        F.count_if(is_rankable(F.col("status")) & unusable).alias("num_unrankable"),
+        F.count_if(ranks & ~usable).alias("num_unrankable"),
     )
 
 
-def _earlier(spark: SparkSession, root: str, batch: int, schema: str) -> DataFrame:
-    version = version_before(spark, root, batch)
-    if version is None:
-        return spark.createDataFrame([], schema)
-    return read_version(spark, root, version)
+def _seen(spark: SparkSession, root: str, batch: int) -> DataFrame:
+    try:
+        log = spark.read.schema("project string, fingerprint string, batch long").parquet(f"{root}/seen")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "project string, fingerprint string")
+    return log.where(F.col("batch") < batch).drop("batch")
 
 
-def _top(rows: DataFrame, limit: int) -> DataFrame:
+def _top(rows: DataFrame, contracts: DataFrame) -> DataFrame:
     once = rows.groupBy("project", "fingerprint").agg(
         F.min(F.struct("m", "run_id", "metric_value")).alias("best")
     ).select("project", "fingerprint", "best.*")
     order = Window.partitionBy("project").orderBy("m", "fingerprint")
+    limits = _terms(contracts).select("project", F.greatest("leaderboard_limit", F.lit(1)).alias("limit"))
     return (
         once.withColumn("_rank", F.row_number().over(order))
-        .where(F.col("_rank") <= limit)
+        .join(limits, "project")
+        .where(F.col("_rank") <= F.col("limit"))
         .groupBy("project")
-        .agg(
-            F.array_sort(
-                F.collect_list(F.struct("m", "fingerprint", "run_id", "metric_value"))
-            ).alias("top")
-        )
+        .agg(F.array_sort(F.collect_list(F.struct(*_ROW))).alias("top"))
     )
 
 
-def merge_board(root: str, limit: int):
-    """foreachBatch function that folds touched fingerprints into the board."""
-    check_limit(limit)
+def merge_results(root: str, contracts: DataFrame):
+    """foreachBatch function that folds a micro-batch of results into the board."""
+    largest_limit(contracts)  # refuses negative limits
 
-    def merge(touched: DataFrame, batch: int) -> None:
-        spark = touched.sparkSession
-        # Written once: the batch is read twice below.
-        log = f"{root}/touched/batch={batch}"
-        touched.write.mode("overwrite").parquet(log)
-        changed = spark.read.schema(touched.schema).parquet(log)
-        board = _earlier(spark, root, batch, _BOARD)
-        rows = board.select("project", F.inline("top")).unionByName(
-            changed.select(
-                "project", "best.m", "fingerprint", "best.run_id", "best.metric_value"
-            )
+    def merge(results: DataFrame, batch: int) -> None:
+        spark = results.sparkSession
+        fresh = durable(_reduced(results, contracts))
+        ranked = fresh.where("best is not null")
+        new = ranked.select("project", "fingerprint").join(
+            _seen(spark, root, batch), ["project", "fingerprint"], "left_anti"
         )
-        fresh = changed.groupBy("project").agg(
-            F.count_if(F.col("first_seen") == F.col("last_seen")).alias("num_completed")
+        new.write.mode("overwrite").parquet(f"{root}/seen/batch={batch}")
+        new = spark.read.schema("project string, fingerprint string").parquet(f"{root}/seen/batch={batch}")
+        board = _earlier(spark, f"{root}/board", batch)
+        counts = fresh.groupBy("project").agg(*[F.sum(c).alias(c) for c in COUNTERS[1:]])
+        found = new.groupBy("project").agg(F.count("*").alias("num_completed"))
+        added = counts.join(found, "project", "left").select(
+            "project", *[F.coalesce(c, F.lit(0)).alias(c) for c in COUNTERS]
         )
-        totals = (
-            board.select("project", "num_completed")
-            .unionByName(fresh)
-            .groupBy("project")
-            .agg(F.sum("num_completed").alias("num_completed"))
+        totals = board.select("project", *COUNTERS).unionByName(added).groupBy("project").agg(
+            *[F.sum(c).alias(c) for c in COUNTERS]
         )
-        publish(totals.join(_top(rows, limit), "project", "left"), root, batch)
-
-    return merge
-
-
-def merge_counters(root: str):
-    """foreachBatch function that overlays the totals of changed projects."""
-
-    def merge(changed: DataFrame, batch: int) -> None:
-        both = _earlier(changed.sparkSession, root, batch, _COUNTS).unionByName(changed)
-        # Totals only grow, so the newest is the largest.
-        newest = both.groupBy("project").agg(
-            *[F.max(c).alias(c) for c in changed.columns if c != "project"]
+        rows = board.select("project", F.inline("top")).unionByName(
+            ranked.select("project", "best.m", "fingerprint", "best.run_id", "best.metric_value")
         )
-        publish(newest, root, batch)
+        publish(totals.join(_top(rows, contracts), "project", "left"), f"{root}/board", batch)
 
     return merge
 
 
-def update_leaderboard(results: DataFrame, root: str, limit: int) -> None:
+def update_leaderboard(results: DataFrame, contracts: DataFrame, root: str) -> None:
     """Bring the board under ``root`` up to date with a stream of results.
 
-    Results: project, objective, fingerprint, run_id, status, metric_value.
+    Results: project, fingerprint, run_id, status, metric_name, metric_value.
+    Objective, metric and limit are the contracts'; rows of other projects are
+    left out.  A contract that changes needs a new root.
     """
-    drain_batches(
-        best_stream(results), merge_board(f"{root}/board", limit),
-        f"{root}/board", "update",
-    )
-    drain_batches(
-        counter_stream(results), merge_counters(f"{root}/counters"),
-        f"{root}/counters", "update",
-    )
+    drain_batches(results, merge_results(root, contracts), root)
 
 
 def current_leaderboard(spark: SparkSession, root: str, contracts: DataFrame) -> DataFrame:
-    """The board as published, one row per contract."""
-    newest = 2**62
-    board = _earlier(spark, f"{root}/board", newest, _BOARD)
-    counts = _earlier(spark, f"{root}/counters", newest, _COUNTS)
-    head = contracts.select(
-        F.col("name").alias("project"), "metric", "objective", "leaderboard_limit"
-    )
+    """The board as published, one row per contract, as ``leaderboard_snapshot`` gives it."""
+    board = _earlier(spark, f"{root}/board", 2**62)
     entry = lambda row, i: F.struct(
         (i + 1).alias("rank"), row["fingerprint"].alias("fingerprint"),
         row["run_id"].alias("run_id"), row["metric_value"].alias("metric_value"),
     )
-    top = F.coalesce("top", F.array().cast(board.schema["top"].dataType))
-    zero = F.lit(0).cast("long")
+    rows = F.transform(F.coalesce("top", F.array().cast(board.schema["top"].dataType)), entry)
     return (
-        head.join(board, "project", "left")
-        .join(counts, "project", "left")
+        _terms(contracts)
+        .join(board, "project", "left")
+        .withColumn("_rows", rows)
         .select(
             "project", "metric", "objective",
-            F.coalesce("num_completed", zero).alias("num_completed"),
-            F.coalesce("num_discarded", zero).alias("num_discarded"),
-            F.coalesce("num_failed", zero).alias("num_failed"),
-            F.coalesce("num_unrankable", zero).alias("num_unrankable"),
-            F.transform(
-                F.slice(top, F.lit(1), F.col("leaderboard_limit")), entry
-            ).alias("top_k"),
+            *[F.coalesce(c, F.lit(0)).alias(c) for c in COUNTERS],
+            F.slice("_rows", F.lit(1), F.col("leaderboard_limit")).alias("top_k"),
+            F.get("_rows", F.lit(0)).alias("best"),
         )
     )

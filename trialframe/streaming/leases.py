@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from datetime import datetime, timedelta, timezone
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from trialframe.operators.leases import CLAIM, REFRESH, RELEASE
+from trialframe.session import durable
+from trialframe.sources.writers import publish, read_version, version_before
+from trialframe.streaming.feed import drain_batches
+from trialframe.streaming.fold import fold_in_order, touched
 
 
 #: Setting for a query on closed_leases().
@@ -48,6 +47,9 @@ def closed_leases(beats: DataFrame, keys: list[str], delay: str) -> DataFrame:
     )
 
 
+KEY = ["project", "fingerprint"]
+LATE = "late"
+
 TRACKED = T.StructType(
     [
         T.StructField("project", T.StringType()),
@@ -60,128 +62,158 @@ TRACKED = T.StructType(
     ]
 )
 
-_STATE = T.StructType(
+_STATE = "project string, fingerprint string, agent_id string, began long, ends long, beats long, live boolean"
+#: A row of the fold: an ended lease (``state``), or the key's new state.
+_FOLDED = T.StructType(
     [
+        T.StructField("project", T.StringType()),
+        T.StructField("fingerprint", T.StringType()),
         T.StructField("agent_id", T.StringType()),
-        T.StructField("start", T.LongType()),
-        T.StructField("end", T.LongType()),
+        T.StructField("began", T.LongType()),
+        T.StructField("ends", T.LongType()),
         T.StructField("beats", T.LongType()),
         T.StructField("live", T.BooleanType()),
+        T.StructField("state", T.StringType()),
     ]
 )
 
-_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
-
-
-def _micros(moment) -> int:
-    stamp = pd.Timestamp(moment)
-    if stamp.tzinfo is None:
-        stamp = stamp.tz_localize("UTC")
-    return stamp.value // 1000
-
-
-def _moment(micros: int) -> datetime:
-    return _EPOCH + timedelta(microseconds=micros)
 
+def micros(seconds: Column) -> Column:
+    return F.round(seconds * 1_000_000).cast("long")
 
-class LeaseTracker(StatefulProcessor):
-    """One lease per (project, fingerprint); emits it when it ends.
 
-    Only the owner refreshes or releases.  Events behind the watermark are
-    dropped by Spark before they get here.
+class LeaseFold:
+    """One lease of a key; times in microseconds.
 
-    An expired lease is remembered, since its owner may still refresh it.  With
-    ``memory_seconds`` it is forgotten that long after its end, which bounds
-    the state; a later refresh then has no effect.
+    Only the owner refreshes or releases.  An expired lease is remembered,
+    since its owner may still refresh it, for ``memory`` after its end.
     """
 
-    def __init__(self, memory_seconds: int | None = None) -> None:
-        self.memory = None if memory_seconds is None else memory_seconds * 1_000_000
+    def __init__(self, watermark: int, memory: int | None) -> None:
+        self.watermark, self.memory = watermark, memory
+        self.agent, self.began, self.ends, self.beats, self.live = None, 0, 0, 0, False
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.lease = handle.getValueState("lease", _STATE)
+    def _ended(self, ends: int, state: str) -> tuple:
+        return (self.agent, self.began, ends, self.beats, False, state)
 
-    def _row(self, key, agent, start, end, beats, state) -> tuple:
-        return (*key, agent, _moment(start), _moment(end), beats, state)
+    def _open(self, agent: str, at: int, ttl: int) -> None:
+        self.agent, self.began, self.ends, self.beats, self.live = agent, at, at + ttl, 1, True
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = self.lease.get() if self.lease.exists() else None
+    def _expire(self, at: int) -> list[tuple]:
         out = []
-        for batch in rows:
-            for event in batch.sort_values(["ts", "event_id"]).itertuples():
-                at = _micros(event.ts)
-                expiry = at + int(float(event.ttl_seconds) * 1_000_000)
-                live = held is not None and held[4]
-                if live and held[2] <= at:
-                    out.append(self._row(key, *held[:4], "expired"))
-                    held = (*held[:4], False)
-                    live = False
-                if self._forgotten(held, at):
-                    held = None
-                owner = held is not None and held[0] == event.agent_id
-                if event.kind == CLAIM and not live:
-                    held = (event.agent_id, at, expiry, 1, True)
-                elif event.kind == REFRESH and owner and live:
-                    held = (held[0], held[1], expiry, held[3] + 1, True)
-                elif event.kind == REFRESH and owner and held[2] <= at:
-                    # Expired, not released: the beat opens a new lease.
-                    held = (held[0], at, expiry, 1, True)
-                elif event.kind == RELEASE and owner:
-                    if live:
-                        out.append(self._row(key, held[0], held[1], at, held[3], "released"))
-                    held = None
-        self._remember(held)
-        if out:
-            yield pd.DataFrame(out, columns=TRACKED.names)
-
-    def _forgotten(self, held, at: int) -> bool:
-        if held is None or held[4] or self.memory is None:
-            return False
-        return held[2] + self.memory <= at
-
-    def _remember(self, held) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if held is None:
-            self.lease.clear()
-            return
-        self.lease.update(held)
-        if held[4]:
-            self.handle.registerTimer(-(-held[2] // 1000))
-        elif self.memory is not None:
-            self.handle.registerTimer(-(-(held[2] + self.memory) // 1000))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = self.lease.get() if self.lease.exists() else None
-        if held is None:
-            return
-        if not held[4]:
-            self.lease.clear()
+        if self.live and self.ends <= at:
+            out = [self._ended(self.ends, "expired")]
+            self.live = False
+        forgotten = self.memory is not None and self.ends + self.memory <= at
+        if self.agent is not None and not self.live and forgotten:
+            self.agent = None
+        return out
+
+    def row(self, at, event_id, agent, kind, ttl, began, ends, beats, live) -> list[tuple]:
+        if at is None:  # the stored state sorts first
+            self.agent, self.began, self.ends, self.beats, self.live = agent, began, ends, beats, live
+            return []
+        out = self._expire(at)
+        owner = self.agent is not None and self.agent == agent
+        if kind == CLAIM and not self.live:
+            self._open(agent, at, ttl)
+        elif kind == REFRESH and owner and self.live:
+            self.ends, self.beats = at + ttl, self.beats + 1
+        elif kind == REFRESH and owner:
+            # Expired, not released: the beat opens a new lease.
+            self._open(agent, at, ttl)
+        elif kind == RELEASE and owner:
+            if self.live:
+                out.append(self._ended(at, "released"))
+            self.agent, self.live = None, False
+        return out
+
+    def finish(self) -> list[tuple]:
+        out = self._expire(self.watermark)
+        if self.agent is not None:
+            out.append((self.agent, self.began, self.ends, self.beats, self.live, None))
+        return out
+
+
+def _earlier(spark: SparkSession, root: str, batch: int, schema: str) -> DataFrame:
+    version = version_before(spark, root, batch)
+    if version is None:
+        return spark.createDataFrame([], schema)
+    return read_version(spark, root, version)
+
+
+def track_batches(root: str, delay_seconds: float = 0, memory_seconds: float | None = None):
+    """foreachBatch function: apply a batch of events to the stored leases.
+
+    The watermark is the latest event time seen less ``delay_seconds``; events
+    behind that of the batches before are written as ``late`` and change
+    nothing.  The rows of a key pass in time order through one task, which
+    holds one Arrow batch of them; ``maxFilesPerTrigger`` bounds a batch.
+    """
+    memory = None if memory_seconds is None else int(memory_seconds * 1_000_000)
+
+    def track(events: DataFrame, batch: int) -> None:
+        spark = events.sparkSession
+        arrived = durable(
+            events.where("ts is not null").select(
+                *KEY, F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", "agent_id", "kind",
+                micros(F.col("ttl_seconds")).alias("ttl"),
+            )
+        )
+        before = _earlier(spark, f"{root}/clock", batch, "watermark long").first()
+        newest = arrived.agg(F.max("at")).first()[0]
+        marks = [before.watermark] if before else []
+        marks += [newest - int(delay_seconds * 1_000_000)] if newest is not None else []
+        if not marks:
             return
-        self._remember((*held[:4], False))
-        yield pd.DataFrame(
-            [self._row(key, *held[:4], "expired")], columns=TRACKED.names
+        watermark = max(marks)
+        fresh = arrived.where(F.col("at") >= before.watermark) if before else arrived
+        state = _earlier(spark, f"{root}/state", batch, _STATE)
+        none = {c: F.lit(None).cast("long") for c in ("at", "event_id", "ttl", "began", "ends", "beats")}
+        columns = ["at", "event_id", "agent_id", "kind", "ttl", "began", "ends", "beats", "live"]
+        seeds = touched(state, fresh, KEY, "left_semi").select(
+            *KEY, *[none[c].alias(c) for c in ("at", "event_id", "ttl")], "agent_id",
+            F.lit("").alias("kind"), "began", "ends", "beats", "live",
+        ).select(*KEY, *columns)
+        rows = fresh.select(
+            "*", *[none[c].alias(c) for c in ("began", "ends", "beats")], F.lit(False).alias("live")
+        ).select(*KEY, *columns)
+        folded = durable(
+            fold_in_order(
+                seeds.union(rows), KEY, ["at", "event_id"], lambda: LeaseFold(watermark, memory), _FOLDED
+            )
         )
+        rest = touched(state, fresh, KEY, "left_anti")
+        lapsed = rest.where(F.col("live") & (F.col("ends") <= watermark)).withColumn("state", F.lit("expired"))
+        late = arrived.where(F.col("at") < before.watermark) if before else arrived.limit(0)
+        ended = folded.where("state is not null").unionByName(lapsed).select(
+            *KEY, "agent_id", F.timestamp_micros("began").alias("lease_start"),
+            F.timestamp_micros("ends").alias("lease_end"), "beats", "state",
+        )
+        flagged = late.select(
+            *KEY, "agent_id", F.timestamp_micros("at").alias("lease_start"),
+            F.lit(None).cast("timestamp").alias("lease_end"), F.lit(0).cast("long").alias("beats"),
+            F.lit(LATE).alias("state"),
+        )
+        ended.union(flagged).write.mode("overwrite").parquet(f"{root}/rows/batch={batch}")
+        kept = rest.withColumn("live", F.col("live") & (F.col("ends") > watermark))
+        if memory is not None:
+            kept = kept.where(F.col("live") | (F.col("ends") + memory > watermark))
+        publish(folded.where("state is null").drop("state").unionByName(kept), f"{root}/state", batch)
+        publish(spark.range(1).select(F.lit(watermark).cast("long").alias("watermark")), f"{root}/clock", batch)
 
-    def close(self) -> None:
-        pass
+    return track
 
 
 def track_leases(
-    events: DataFrame, delay: str, memory_seconds: int | None = None
+    events: DataFrame, root: str, delay_seconds: float = 0, memory_seconds: float | None = None
 ) -> DataFrame:
     """Leases as they end, from claim, refresh and release events.
 
-    Needs the RocksDB state store.  Events of one micro-batch are applied in
-    the order in which they reach the key.
+    Inside a micro-batch events count in order of (ts, event_id), however they
+    arrive.  Returns the table under ``root``: a row for each ended lease
+    (``released`` or ``expired``) and for each late event (``late``, with the
+    event's time as ``lease_start``).
     """
-    rows = events.withWatermark("ts", delay).select(
-        "project", "fingerprint", "agent_id", "kind", "ts", "event_id", "ttl_seconds"
-    )
-    return rows.groupBy("project", "fingerprint").transformWithStateInPandas(
-        statefulProcessor=LeaseTracker(memory_seconds),
-        outputStructType=TRACKED,
-        outputMode="Append",
-        timeMode="EventTime",
-    )
+    drain_batches(events, track_batches(root, delay_seconds, memory_seconds), root)
+    return events.sparkSession.read.schema(TRACKED).option("recursiveFileLookup", True).parquet(f"{root}/rows")
