@@ -10,7 +10,7 @@ from trialframe.functions.text import keep_message
 from trialframe.operators import decisions as d
 from trialframe.operators.rounds import code_round
 from trialframe.plans.registry import query, with_runs
-from trialframe.plans.tables import claims, contracts, diffs, logs, runs, table
+from trialframe.plans.tables import claims, contracts, diffs, finished, logs, runs, table
 
 
 @query("log_metric", """
@@ -101,18 +101,19 @@ def keep_messages(spark, sf_dir):
 
 
 def _history(spark, sf_dir):
-    """Every event but errors as a code run; its own status is not used."""
-    return runs(spark, sf_dir).where("event_type <> 'error'").drop("status")
+    """Every event as a code run (errors have no metric); its own status is not used."""
+    return runs(spark, sf_dir).drop("status")
 
 
 REPLAY_SQL = with_runs("""
 , priors AS (
   SELECT *, min(round(m, 6)) OVER (PARTITION BY project ORDER BY completed_at, run_id
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p
-  FROM scored WHERE event_type <> 'error')
+  FROM scored)
 SELECT project, run_id, completed_at, metric_value,
        CASE WHEN objective = 'maximize' THEN -p ELSE p END AS prior_best,
-       CASE WHEN p IS NULL OR m < p THEN 'keep' ELSE 'discard' END AS decision
+       CASE WHEN m IS NULL THEN 'failed' WHEN p IS NULL OR m < p THEN 'keep'
+            ELSE 'discard' END AS decision
 FROM priors""")
 
 
@@ -131,7 +132,7 @@ def keep_discard_chunked(spark, sf_dir):
 , priors AS (
   SELECT *, min(round(m, 6)) OVER (PARTITION BY project ORDER BY completed_at, run_id
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p
-  FROM scored WHERE event_type <> 'error')
+  FROM scored)
 SELECT project, run_id, completed_at,
        CASE WHEN objective = 'maximize' THEN -p ELSE p END AS best_metric
 FROM priors"""))
@@ -153,10 +154,10 @@ def diff_dedup(spark, sf_dir):
   SELECT 'p' || (e.user_id % 10) AS project,
     CASE WHEN e.user_id % 2 = 0 THEN 'minimize' ELSE 'maximize' END AS objective,
     printf('%012x', e.event_id) AS run_id, e.event_id, e.ts,
-    substr(sha256(d.text), 1, 16) AS fingerprint,
+    substr(sha256(d.text), 1, 16) AS fingerprint, sha256(d.text) AS diff_hash,
     e.event_id % 11 = 0 AS timed_out,
     CASE WHEN e.event_id % 11 <> 0 THEN e.value END AS metric_value
-  FROM events e JOIN documents d ON d.doc_id = e.event_id
+  FROM events e JOIN documents d ON d.doc_id = e.event_id % (SELECT count(*) FROM documents)
   WHERE regexp_matches(d.text, '\\S')),
 ran AS (
   SELECT * FROM (
@@ -165,11 +166,11 @@ ran AS (
   WHERE turn = 1),
 history AS (
   SELECT project, objective, run_id, ts + INTERVAL 1 DAY AS completed_at,
-         metric_value, round(metric_value, 6) AS prior, true AS is_code, timed_out
+         metric_value, round(metric_value, 6) AS prior, true AS is_code, timed_out, diff_hash
   FROM ran
   UNION ALL
   SELECT project, objective, run_id, completed_at, metric_value, metric_value,
-         false, false
+         false, false, NULL
   FROM finished),
 costed AS (
   SELECT *, CASE objective WHEN 'maximize' THEN -metric_value ELSE metric_value END AS m,
@@ -180,17 +181,14 @@ costed AS (
 SELECT project, run_id, metric_value,
   CASE WHEN metric_value IS NULL THEN 'failed' WHEN best IS NULL OR m < best THEN 'keep'
        ELSE 'discard' END AS status,
-  CASE WHEN timed_out THEN 'timeout' END AS error,
-  (SELECT sha256(text) FROM documents d
-   WHERE printf('%012x', d.doc_id) = run_id) AS diff_hash
+  CASE WHEN timed_out THEN 'timeout' END AS error, diff_hash
 FROM costed WHERE is_code"""))
 def code_runs_round(spark, sf_dir):
-    """Documents as diffs, each tried in the run of its number, with its log."""
-    offered = logs(spark, sf_dir).join(
-        table(spark, sf_dir, "documents").select(
-            F.col("doc_id").alias("event_id"), F.col("text").alias("diff")
-        ),
-        "event_id",
+    """Documents as diffs, tried in turn by all events, each with its log."""
+    documents = table(spark, sf_dir, "documents")
+    many = documents.count()
+    offered = logs(spark, sf_dir).withColumn("doc_id", F.col("event_id") % many).join(
+        documents.select("doc_id", F.col("text").alias("diff")), "doc_id"
     ).select(
         F.concat(F.lit("p"), F.col("user_id") % 10).alias("project"),
         F.lpad(F.lower(F.hex("event_id")), 12, "0").alias("run_id"),
@@ -201,10 +199,7 @@ def code_runs_round(spark, sf_dir):
         F.lit("c0").alias("base_commit"), F.lit("c1").alias("new_commit"),
     )
     terms = contracts(spark, sf_dir).withColumn("metric_pattern", F.lit(DEFAULT_METRIC_PATTERN))
-    early = runs(spark, sf_dir).where(
-        "event_type = 'click' AND completed_at < TIMESTAMP_NTZ '2024-01-15'"
-    )
-    outcome = code_round(offered, early, claims(spark, sf_dir), terms)
+    outcome = code_round(offered, finished(spark, sf_dir), claims(spark, sf_dir), terms)
     return outcome["results"].select(
         "project", "run_id", "metric_value", "status", "error",
         F.sha2("diff", 256).alias("diff_hash"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trialframe.functions.fingerprints import canonical_json, config_fingerprint
+from trialframe.functions.logs import log_metric
 from trialframe.functions.text import (
     key_from_file_name, new_run_id, result_file_name,
 )
@@ -254,3 +255,40 @@ def heartbeat_plan(spark, sf_dir):
             (F.col("c_custkey") % 40).cast("int").alias("claim_ttl_seconds"),
         )
     )
+
+
+@query("read_log_files", r"""
+SELECT user_id, first(value ORDER BY ts, event_id) AS metric_value, count(*) AS n_lines
+FROM (SELECT user_id, ts, event_id, CAST(CAST(value AS DECIMAL(18,2)) AS DOUBLE) AS value FROM events)
+GROUP BY user_id""")
+def read_log_files(spark, sf_dir):
+    """One log file per user with all its events, read back whole: the first metric counts."""
+    path = new_scratch(spark, "logs")
+    line = F.concat(F.lit("metric_value: "), F.col("value").cast("decimal(18,2)").cast("string"))
+    lines = F.array_sort(F.collect_list(F.struct("ts", "event_id", line.alias("line"))))
+    logs = table(spark, sf_dir, "events").groupBy("user_id").agg(lines.alias("lines")).select(
+        F.concat_ws("\n", F.concat(F.lit("user "), F.col("user_id")), F.col("lines.line"))
+    )
+    logs.write.option("maxRecordsPerFile", 1).text(path)
+    log = readers.read_logs(spark, path)
+    return log.select(
+        F.regexp_extract("log", r"^user (\d+)", 1).cast("long").alias("user_id"),
+        log_metric(F.col("log")).alias("metric_value"),
+        F.regexp_count("log", F.lit("metric_value")).cast("long").alias("n_lines"),
+    )
+
+
+@query("read_config_files", """
+SELECT user_id, count(*) AS n_events FROM events WHERE user_id % 5 <> 0 GROUP BY user_id""")
+def read_config_files(spark, sf_dir):
+    """One config file per user; every fifth is a list or has text behind the object."""
+    path = new_scratch(spark, "configs")
+    counted = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+    body = F.format_string('{"user": %d,\n "events": %d}', "user_id", "n")
+    wrong = F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("["), body, F.lit("]"))).otherwise(F.concat(body, F.lit("x")))
+    files = counted.select(F.when(F.col("user_id") % 5 == 0, wrong).otherwise(body))
+    files.write.option("maxRecordsPerFile", 1).text(path)
+    config = F.from_json("config", "user long, events long")
+    return readers.read_config_files(spark, path).select(config.alias("c")).select(
+        F.col("c.user").alias("user_id"), F.col("c.events").alias("n_events")
+    )

@@ -74,13 +74,14 @@ def lease_log(results):
     )
 
 
+_CUT = f" WHERE completed_at <= TIMESTAMP '{_AS_OF}'"
 _LEASE_LOG = f"""
 , log AS (
   SELECT project, fingerprint, 'a' || (event_id % 3) AS agent_id, completed_at AS ts,
     event_id, completed_at + INTERVAL 3 DAY AS expires,
     CASE event_type WHEN 'click' THEN 'claim' WHEN 'purchase' THEN 'release'
          ELSE 'refresh' END AS kind
-  FROM runs WHERE completed_at <= TIMESTAMP '{_AS_OF}'),
+  FROM runs{_CUT}),
 episodes AS (
   SELECT *, sum(CASE WHEN kind = 'claim' THEN 1 ELSE 0 END) OVER (
     PARTITION BY project, fingerprint ORDER BY ts, event_id
@@ -100,12 +101,11 @@ valid AS (
 """
 
 
-@query("lease_event_effects", with_runs(_LEASE_LOG + """
+@query("lease_event_effects", with_runs(_LEASE_LOG.replace(_CUT, "") + """
 SELECT l.project, l.fingerprint, l.event_id, v.event_id IS NOT NULL AS effective
 FROM log l LEFT JOIN valid v ON v.event_id = l.event_id"""))
 def lease_event_effects(spark, sf_dir):
-    log = lease_log(runs(spark, sf_dir)).where(F.col("ts") <= moment(_AS_OF))
-    return l.event_effects(log)
+    return l.event_effects(lease_log(runs(spark, sf_dir)))
 
 
 @query("lease_states", with_runs(_LEASE_LOG + f"""

@@ -63,15 +63,14 @@ contracts AS (
 candidates AS (
   SELECT project, objective, fingerprint, config, completed_at AS ts,
          event_id AS candidate_id
-  FROM runs WHERE event_type = 'view' AND completed_at >= TIMESTAMP '2024-01-29'),
+  FROM runs WHERE event_type = 'view'),
 finished AS (
   SELECT * FROM runs
-  WHERE event_type = 'click' AND completed_at < TIMESTAMP '2024-01-15'),
+  WHERE event_type = 'purchase'),
 claims AS (
   SELECT project, fingerprint, max(completed_at) AS claimed_at,
          max(completed_at) + INTERVAL 5 DAY AS expires_at
-  FROM runs WHERE event_type = 'signup' AND completed_at >= TIMESTAMP '2024-01-20'
-    AND completed_at < TIMESTAMP '2024-01-29'
+  FROM runs WHERE event_type = 'signup'
   GROUP BY project, fingerprint),
 flagged AS (
   SELECT c.*,

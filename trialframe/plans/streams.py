@@ -131,8 +131,7 @@ def stream_leaderboard(spark, sf_dir):
 
 @query("stream_best", REPLAY_SQL)
 def stream_best(spark, sf_dir):
-    code_runs = runs_of(_events(spark, sf_dir)).where("event_type <> 'error'")
-    return decide_stream(code_runs, new_scratch(spark, "stream-best"))
+    return decide_stream(runs_of(_events(spark, sf_dir)), new_scratch(spark, "stream-best"))
 
 
 @query("stream_admission", with_runs("""

@@ -114,15 +114,11 @@ def beats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _moment(text: str):
-    return F.lit(text).cast("timestamp_ntz")
-
-
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Late views as proposals."""
+    """Views as proposals."""
     return (
         runs(spark, sf_dir)
-        .where((F.col("event_type") == "view") & (F.col("completed_at") >= _moment("2024-01-29")))
+        .where(F.col("event_type") == "view")
         .select(
             "project", "objective", "fingerprint", "config", "agent_id", "branch",
             F.col("completed_at").alias("ts"), F.col("event_id").alias("candidate_id"),
@@ -131,20 +127,15 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def finished(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Early clicks as stored results."""
-    return runs(spark, sf_dir).where(
-        (F.col("event_type") == "click") & (F.col("completed_at") < _moment("2024-01-15"))
-    )
+    """Purchases as stored results."""
+    return runs(spark, sf_dir).where(F.col("event_type") == "purchase")
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last signup per key in late January, with a five-day lease."""
-    window = (F.col("completed_at") >= _moment("2024-01-20")) & (
-        F.col("completed_at") < _moment("2024-01-29")
-    )
+    """The last signup per key, with a five-day lease."""
     return (
         runs(spark, sf_dir)
-        .where((F.col("event_type") == "signup") & window)
+        .where(F.col("event_type") == "signup")
         .groupBy("project", "fingerprint")
         .agg(F.max("completed_at").alias("claimed_at"))
         .withColumn(

@@ -79,7 +79,7 @@ _FOLDED = T.StructType(
 
 
 def micros(seconds: Column) -> Column:
-    return F.round(seconds * 1_000_000).cast("long")
+    return F.round(seconds.cast("decimal(20,6)") * 1_000_000).cast("long")
 
 
 class LeaseFold:
