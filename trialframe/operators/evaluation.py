@@ -108,6 +108,22 @@ def evaluate_configs(
     return configs.mapInPandas(run, schema)
 
 
+def with_reduced_history(
+    configs: DataFrame, results: DataFrame, reduce: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """Attach as ``prior`` what the user's ``reduce`` makes of *all* results.
+
+    ``reduce`` gets every stored result, failed and discarded ones and all
+    fields included, and returns a few rows per ``project``; these reach the
+    evaluation as a list of dicts.  The reduction runs on Spark, so the whole
+    history counts without travelling to the function.
+    """
+    rows = reduce(results)
+    entry = F.struct(*[c for c in rows.columns if c != "project"])
+    history = rows.groupBy("project").agg(F.collect_list(entry).alias("prior"))
+    return configs.join(history, "project", "left")
+
+
 def with_history(configs: DataFrame, snapshot: DataFrame) -> DataFrame:
     """Attach each project's best rows as ``prior``.
 

@@ -147,7 +147,7 @@ def largest_limit(contracts: DataFrame) -> int:
 def leaderboard_snapshot(
     results: DataFrame,
     contracts: DataFrame,
-    row_columns: tuple[str, ...] = ("fingerprint", "run_id", "metric_value"),
+    row_columns: tuple[str, ...] | None = None,
     deepest: int | None = None,
 ) -> DataFrame:
     """One row per contract: counters, ``top_k`` and ``best``.
@@ -155,6 +155,10 @@ def leaderboard_snapshot(
     ``deepest`` is the largest limit of any contract, read from the table when
     not given: ranks beyond it are cut before the shuffle.
 
+    The rows of ``top_k`` and ``best`` are whole records: ranking reads narrow
+    columns, and the records of the ranked runs join last.  With ``row_columns``
+    they hold these of the ranking columns only, without that join.
+
     Objective and metric come from the contract.  A row whose metric_name is
     another metric is not ranked.  ``best`` is given even when the limit is 0.
     """
@@ -171,10 +175,13 @@ def leaderboard_snapshot(
     )
     if deepest is None:
         deepest = largest_limit(contracts)
+    rows = ranked(ranking_view(scoped), max(1, check_limit(deepest)))
+    if row_columns is None:
+        row_columns = tuple(c for c in results.columns if c != "project")
+        rows = results.join(rows.select(*RUN_KEY, "rank"), RUN_KEY)
     entry = F.struct("rank", *row_columns)
     board = (
-        ranked(scoped, max(1, check_limit(deepest)))
-        .groupBy("project")
+        rows.groupBy("project")
         .agg(F.array_sort(F.collect_list(entry)).alias("_rows"))
     )
     rows = F.coalesce(
@@ -197,23 +204,15 @@ def ranking_view(results: DataFrame) -> DataFrame:
     return results.select(*RANKING_COLUMNS)
 
 
-#: Ranked rows are broadcast up to this many (narrow rows, about 100 bytes).
-MAX_BROADCAST_ROWS = 500_000
-
-
 def full_rows(ranked_rows: DataFrame, results: DataFrame) -> DataFrame:
     """Wide columns (config, diff, ...) for rows that survived ranking.
 
-    The few ranked rows are written first and counted: within the bound they
-    are broadcast, so the wide columns are scanned but never shuffled, and only
-    in the partitions of projects that have such rows.  Beyond it Spark chooses
-    the join.
+    The few ranked rows are written first, so the planner knows their size:
+    within its broadcast threshold the wide columns are scanned but never
+    shuffled, and only in the partitions of projects that have such rows.
     """
     wide = [c for c in results.columns if c not in ranked_rows.columns]
-    few = durable(ranked_rows)
-    if few.count() <= MAX_BROADCAST_ROWS:
-        few = F.broadcast(few)
-    return results.select(*RUN_KEY, *wide).join(few, RUN_KEY, "inner")
+    return results.select(*RUN_KEY, *wide).join(durable(ranked_rows), RUN_KEY, "inner")
 
 
 def baseline_delta(results: DataFrame) -> DataFrame:

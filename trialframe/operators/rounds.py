@@ -39,7 +39,7 @@ def config_round(
     accepted = admitted.where("accepted").select(*keys)
     asked = with_history(
         candidates.join(accepted, keys, "left_semi"),
-        leaderboard_snapshot(results, contracts),
+        leaderboard_snapshot(results, contracts, ("fingerprint", "run_id", "metric_value")),
     )
     tasks = spark.sparkContext.defaultParallelism
     evaluated = durable(

@@ -129,11 +129,21 @@ def flat_snapshot(snapshot):
     )
 
 
-@query("leaderboard_snapshot", SNAPSHOT_SQL)
+@query("leaderboard_snapshot", SNAPSHOT_SQL.replace("""
+FROM contracts c""", """,
+  (SELECT config FROM ranked r WHERE r.project = c.name AND rank = 1) AS best_config,
+  coalesce((SELECT string_agg(agent_id || ' ' || config, ',' ORDER BY rank)
+            FROM ranked r WHERE r.project = c.name AND rank <= 10), '') AS records
+FROM contracts c"""))
 def leaderboard_snapshot(spark, sf_dir):
-    return flat_snapshot(
-        lb.leaderboard_snapshot(runs(spark, sf_dir), contracts(spark, sf_dir))
-    )
+    """Counters, ranked rows and best, with fields of the whole records."""
+    board = lb.leaderboard_snapshot(runs(spark, sf_dir), contracts(spark, sf_dir))
+    record = lambda row: F.concat_ws(" ", row["agent_id"], row["config"])
+    fields = board.select(
+        "project", F.col("best.config").alias("best_config"),
+        F.array_join(F.transform("top_k", record), ",").alias("records"),
+    )
+    return flat_snapshot(board).join(fields, "project")
 
 
 @query("baseline_delta", with_runs("""

@@ -182,6 +182,39 @@ def canonicalize_udf(spark, sf_dir):
     )
 
 
+def weigh(config, prior):
+    """Evaluation that looks at a reduction of all earlier runs."""
+    seen = prior[0]
+    return {
+        "metric_name": "value",
+        "metric_value": seen["best"] + config["k"] + 1000.0 * seen["n_failed"] + seen["n_discarded"],
+        "status": "completed",
+    }
+
+
+@query("sweep_with_reduction", _CONFIGS + """
+SELECT c.project, c.fingerprint,
+       h.best + c.k + 1000.0 * h.n_failed + h.n_discarded AS metric_value
+FROM configs c JOIN (
+  SELECT project, max(metric_value) AS best,
+         count(*) FILTER (status = 'failed') AS n_failed,
+         count(*) FILTER (status = 'discard') AS n_discarded
+  FROM runs GROUP BY project) h ON h.project = c.project""")
+def sweep_with_reduction(spark, sf_dir):
+    """The evaluation sees counts over all results, failed and discarded too."""
+    def reduce(results):
+        return results.groupBy("project").agg(
+            F.max("metric_value").alias("best"),
+            F.count_if(F.col("status") == "failed").alias("n_failed"),
+            F.count_if(F.col("status") == "discard").alias("n_discarded"),
+        )
+
+    asked = e.with_reduced_history(configs(spark, sf_dir), runs(spark, sf_dir), reduce)
+    return e.evaluate_configs(asked, weigh).select(
+        "project", "fingerprint", "metric_value"
+    )
+
+
 @query("sweep_round", with_runs(f"""
 , fresh AS (
   SELECT project, objective, fingerprint,
