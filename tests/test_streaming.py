@@ -86,6 +86,18 @@ def test_versions_behind_are_removed(spark, tmp_path):
     assert current_leaderboard(spark, root, terms).first().num_completed == 8
 
 
+def test_scratch_of_a_micro_batch_is_removed(spark, tmp_path):
+    import glob
+
+    from trialframe.session import new_scratch
+
+    held = glob.glob(new_scratch(spark, "x").removeprefix("file:").rsplit("/", 1)[0] + "/*")
+    rows = [("p", "f", at(i), i, 10.0) for i in range(5)]
+    schema = "project string, fingerprint string, ts timestamp, candidate_id long, ttl_seconds double"
+    admit_stream(as_stream(spark, tmp_path, [rows[:2], rows[2:]], schema), str(tmp_path / "a"))
+    assert glob.glob(new_scratch(spark, "x").removeprefix("file:").rsplit("/", 1)[0] + "/*") == held
+
+
 def test_best_on_arrival_equals_batch_in_time_order(spark, tmp_path):
     rng = random.Random(9)
     rows = [("p", "maximize", f"f{i}", f"r{i:04d}", "x", "loss",

@@ -134,6 +134,7 @@ def ordered_groups(
 ) -> OrderedGroups:
     """Prepare ``df`` for running values per ``keys`` in ascending ``order``.
 
+    ``max_group_rows`` of 0 splits at the default size whatever the largest key.
     ``order`` must be unique inside a group.  Pass only columns that are
     needed: a chunked frame is written to the shared folder.
     """
@@ -141,7 +142,7 @@ def ordered_groups(
     if largest <= max_group_rows:
         return OrderedGroups(df, tuple(keys), tuple(order), False)
     at_least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks = max(at_least, -(-total // MAX_GROUP_ROWS))
+    chunks = max(at_least, -(-total // (max_group_rows or MAX_GROUP_ROWS)))
     ranged = df.repartitionByRange(chunks, *keys, *order).withColumn(
         CHUNK, F.spark_partition_id()
     )

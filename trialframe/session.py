@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-ROCKSDB = (
-    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-)
+_scopes = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,7 +43,32 @@ def new_scratch(spark: SparkSession, label: str) -> str:
     """
     application = spark.sparkContext.applicationId
     root = f"{shared_dir(spark).rstrip('/')}/trialframe/{application}"
-    return f"{root}/{label}-{uuid.uuid4().hex}"
+    path = f"{root}/{label}-{uuid.uuid4().hex}"
+    for made in getattr(_scopes, "open", [])[-1:]:
+        made.append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path below the shared folder, if it is there."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(place, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete at its end what :func:`new_scratch` and :func:`durable` made inside.
+
+    For work whose results are written elsewhere, such as a micro-batch.
+    """
+    stack = _scopes.__dict__.setdefault("open", [])
+    stack.append([])
+    try:
+        yield
+    finally:
+        for path in stack.pop():
+            remove(spark, path)
 
 
 def durable(df: DataFrame) -> DataFrame:

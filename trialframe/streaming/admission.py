@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trialframe.operators.admission import ACCEPTED, CLAIMED, KEY
-from trialframe.session import durable
+from trialframe.session import durable, scratch_scope
 from trialframe.sources.writers import publish
 from trialframe.streaming.feed import drain_batches
 from trialframe.streaming.fold import fold_in_order, touched
@@ -76,7 +76,11 @@ def admit_batches(root: str, memory_seconds: float | None = None):
             leases = leases.where(F.col("until") > newest - int(memory_seconds * 1_000_000))
         publish(leases, f"{root}/state", batch)
 
-    return decide
+    def decide_and_clean(candidates: DataFrame, batch: int) -> None:
+        with scratch_scope(candidates.sparkSession):
+            decide(candidates, batch)
+
+    return decide_and_clean
 
 
 def admit_stream(candidates: DataFrame, root: str, memory_seconds: float | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from trialframe.functions.objective import cost, stored_metric
 from trialframe.operators.decisions import keep_discard_replay
 from trialframe.operators.ordered import MAX_GROUP_ROWS
 from trialframe.schemas import COMPLETED
-from trialframe.session import durable
+from trialframe.session import durable, scratch_scope
 from trialframe.sources.writers import publish, read_version, version_before
 from trialframe.streaming.feed import drain_batches
 
@@ -63,7 +63,11 @@ def decide_batches(root: str, max_group_rows: int = MAX_GROUP_ROWS):
         )
         publish(best, f"{root}/best", batch)
 
-    return decide
+    def decide_and_clean(batch_runs: DataFrame, batch: int) -> None:
+        with scratch_scope(batch_runs.sparkSession):
+            decide(batch_runs, batch)
+
+    return decide_and_clean
 
 
 def decide_stream(

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from trialframe.functions.objective import cost, is_rankable
 from trialframe.operators.leaderboard import COUNTERS, largest_limit
 from trialframe.schemas import DISCARD, FAILED
-from trialframe.session import durable
+from trialframe.session import durable, scratch_scope
 from trialframe.sources.writers import publish, read_version, version_before
 from trialframe.streaming.feed import drain_batches
 
@@ -112,7 +112,11 @@ def merge_results(root: str, contracts: DataFrame):
         )
         publish(totals.join(_top(rows, contracts), "project", "left"), f"{root}/board", batch)
 
-    return merge
+    def merge_and_clean(results: DataFrame, batch: int) -> None:
+        with scratch_scope(results.sparkSession):
+            merge(results, batch)
+
+    return merge_and_clean
 
 
 def update_leaderboard(results: DataFrame, contracts: DataFrame, root: str) -> None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trialframe.operators.leases import CLAIM, REFRESH, RELEASE
-from trialframe.session import durable
+from trialframe.session import durable, scratch_scope
 from trialframe.sources.writers import publish, read_version, version_before
 from trialframe.streaming.feed import drain_batches
 from trialframe.streaming.fold import fold_in_order, touched
@@ -202,7 +202,11 @@ def track_batches(root: str, delay_seconds: float = 0, memory_seconds: float | N
         publish(folded.where("state is null").drop("state").unionByName(kept), f"{root}/state", batch)
         publish(spark.range(1).select(F.lit(watermark).cast("long").alias("watermark")), f"{root}/clock", batch)
 
-    return track
+    def track_and_clean(events: DataFrame, batch: int) -> None:
+        with scratch_scope(events.sparkSession):
+            track(events, batch)
+
+    return track_and_clean
 
 
 def track_leases(
