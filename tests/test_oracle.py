@@ -22,8 +22,9 @@ def test_equals_sql(spark, duck, name):
     assert differences(QUERIES[name](spark, SF_DIR), duck, SQL[name]) == []
 
 
-def test_every_query_has_sql():
-    assert set(SQL) == set(QUERIES)
+def test_every_query_of_the_plans_has_sql():
+    own = {name for name, run in QUERIES.items() if run.__module__.startswith("trialframe.plans")}
+    assert own <= set(SQL) <= set(QUERIES)
 
 
 def test_entry(spark):
