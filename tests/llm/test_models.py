@@ -50,6 +50,30 @@ def test_code_lengths_are_exact(spark):
         assert np.allclose(row, [slow_ppm(train[k], text.encode()) for k in model.kinds], atol=1e-3)
 
 
+def test_code_lengths_do_not_depend_on_the_size_in_memory(spark):
+    # A rare class beside a frequent one, and a part in memory of almost nothing.
+    rnd = random.Random(8)
+    common = ["".join(rnd.choices("abcdefgh ", k=300)) for _ in range(20)]
+    train = {"big": [t.encode() for t in common], "rare": ["\u4e2d\u6587 tail".encode(), b"zq xw"]}
+    rows = [(k, t.decode()) for k, ts in train.items() for t in ts]
+    counts = bytemodel.window_counts(spark.createDataFrame(rows, "kind string, text string"))
+    texts = [*common[:3], common[0], "\u4e2d\u6587", "zq xw tail", "never \u00e9 seen", "", None, "\0zq"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    for smoothing in ("ppm", "witten_bell"):
+        whole = bytemodel.freeze(counts, smoothing)
+        for windows in (40,) if smoothing == "ppm" else (0,):
+            small = bytemodel.freeze(counts, smoothing, windows)
+            assert whole.whole and not small.whole and small.kinds == ["big", "rare"]
+            want = {r.id: r for r in bytemodel.scored(df, "text", whole).collect()}
+            got = bytemodel.scored(df, "text", small).collect()
+            assert len(got) == len(texts)
+            assert all(np.allclose(r.bits, want[r.id].bits, atol=1e-3) and r.n_bytes == want[r.id].n_bytes for r in got)
+            if smoothing == "ppm":
+                for r in got:
+                    exact = [slow_ppm(train[k], (texts[r.id] or "").encode()) for k in small.kinds]
+                    assert np.allclose(r.bits, exact, atol=1e-2)
+
+
 def test_languages_are_told_apart_on_held_out_documents(spark):
     rnd = random.Random(2)
     parts = {"en": ["the", "ing", "tion", "er", "and"], "de": ["sch", "ung", "ein", "der", "ich"], "fr": ["eau", "que", "ment", "les"]}
