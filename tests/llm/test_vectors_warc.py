@@ -43,6 +43,44 @@ def test_links_of_vectors(spark, monkeypatch, sizes):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def concentrated(spark):
+    """Vectors of one label, of which a third lie near each other, and of a small label."""
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=64)
+    hot = centre / np.linalg.norm(centre) + np.sqrt((1 / 0.985 - 1) / 64) * rng.normal(size=(500, 64))
+    x = np.concatenate([rng.normal(size=(1000, 64)), hot, rng.normal(size=(60, 64))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(k, [float(v) for v in row], int(k >= 1500)) for k, row in enumerate(x)]
+    return x, spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+
+
+@pytest.mark.parametrize("nearest", [2, 4])
+def test_a_group_of_near_vectors_shares_shards(spark, monkeypatch, nearest):
+    monkeypatch.setattr(vectors, "TARGET", 20)
+    x, df = concentrated(spark)
+    classes = vectors.usable(df)
+    rows = vectors._shards(classes, vectors.centroids(classes), nearest).where("label = 0").collect()
+    held = {r.id: set(r.shards) for r in rows}
+    links = np.argwhere(np.triu(x[1000:1500] @ x[1000:1500].T >= 0.98, 1)) + 1000
+    assert len(links) > 20_000
+    assert np.mean([bool(held[a] & held[b]) for a, b in links.tolist()]) > 0.98
+
+
+def test_links_count_once_whatever_shards_they_share(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "TARGET", 60)
+    monkeypatch.setattr(vectors, "SHARD", 120)
+    x, df = concentrated(spark)
+    members = vectors.usable(df).where("label = 0")
+    # As after a failed audit: more shards than two for each vector.
+    found = vectors._find(vectors._shards(members, vectors.centroids(members), 4), 0.98, 96, 64)
+    got = {r.id: r.n for r in found.groupBy("id").agg(F.sum("links").alias("n")).collect()}
+    linked = x[:1500] @ x[:1500].T >= 0.98
+    np.fill_diagonal(linked, False)
+    want = linked.sum(1)
+    assert all(got.get(k, 0) <= want[k] for k in range(1500))
+    assert sum(got.values()) >= 0.95 * want.sum()
+
+
 def pages(spark, n=3000):
     rows = [(k, f"http://a/{k}", "p" * (k % 900)) for k in range(n)] + [(5, "http://a/5", "ppppp")] * 3
     rows += [(None, None, None), (7, None, "other"), (7, "", None)]
