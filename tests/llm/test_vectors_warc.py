@@ -66,6 +66,12 @@ def test_a_group_of_near_vectors_shares_shards(spark, monkeypatch, nearest):
     assert np.mean([bool(held[a] & held[b]) for a, b in links.tolist()]) > 0.98
 
 
+def test_the_sample_is_cut_per_label_before_the_driver(spark):
+    _, df = concentrated(spark)
+    drawn = vectors._drawn(vectors.usable(df), {(0, 64): 50, (1, 64): 2})
+    assert {r.label: r["count"] for r in drawn.groupBy("label").count().collect()} == {0: 800, 1: 32}
+
+
 def test_links_count_once_whatever_shards_they_share(spark, monkeypatch):
     monkeypatch.setattr(vectors, "TARGET", 60)
     monkeypatch.setattr(vectors, "SHARD", 120)

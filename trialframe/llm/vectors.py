@@ -71,6 +71,19 @@ def usable(vectors: DataFrame) -> DataFrame:
     )
 
 
+def _drawn(classes: DataFrame, share: dict[tuple, int]) -> DataFrame:
+    """``label, dim, at, vec``: ``SAMPLE`` vectors of each label for each of its centroids, cut on Spark."""
+    kind = classes.schema["label"].dataType.simpleString()
+    wanted = classes.sparkSession.createDataFrame(
+        [(label, dim, n * SAMPLE) for (label, dim), n in share.items()], f"label {kind}, dim int, own long"
+    )
+    order = Window.partitionBy(*_GROUP).orderBy(F.xxhash64("id"))
+    # The bound that holds for every label lets Spark cut inside tasks, before it shuffles.
+    at = F.row_number().over(order).alias("at")
+    rows = classes.select(*_GROUP, "vec", at).where(F.col("at") <= max(share.values()) * SAMPLE)
+    return rows.join(F.broadcast(wanted), list(_GROUP)).where("at <= own").drop("own")
+
+
 def centroids(classes: DataFrame, threshold: float = THRESHOLD) -> dict[tuple, np.ndarray]:
     """Centroids of the labels with more than ``TARGET`` vectors; at most ``MAX_CENTROIDS``.
 
@@ -83,15 +96,9 @@ def centroids(classes: DataFrame, threshold: float = THRESHOLD) -> dict[tuple, n
         return {}
     total = sum(r["count"] for r in sizes)
     share = {(r["label"], r["dim"]): max(2, min(-(-r["count"] // TARGET), MAX_CENTROIDS * r["count"] // total)) for r in sizes}
-    most = max(share.values()) * SAMPLE
-    order = Window.partitionBy(*_GROUP).orderBy(F.xxhash64("id"))
-    drawn = classes.select(*_GROUP, "id", "vec").withColumn("at", F.row_number().over(order)).where(F.col("at") <= most)
-    wanted = F.array(*[F.struct(F.lit(k[0]).alias("l"), F.lit(k[1]).alias("d")) for k in share])
-    drawn = drawn.where(F.array_contains(wanted, F.struct(F.col("label").alias("l"), F.col("dim").alias("d"))))
     by: dict[tuple, list] = {k: [] for k in share}
-    for r in drawn.collect():
-        if r["at"] <= share[r["label"], r["dim"]] * SAMPLE:
-            by[r["label"], r["dim"]].append((r["at"], r["vec"]))
+    for r in _drawn(classes, share).collect():
+        by[r["label"], r["dim"]].append((r["at"], r["vec"]))
     found = {}
     for key, rows in by.items():
         x = np.array([v for _, v in sorted(rows)])
