@@ -201,3 +201,34 @@ def test_full_rows_bring_wide_columns_back(spark):
     df = df.withColumn("diff", F.concat(F.lit("d"), "run_id"))
     got = lb.full_rows(lb.ranked(lb.ranking_view(df), 1), df).collect()
     assert [(r.run_id, r.diff) for r in got] == [("r1", "dr1")]
+
+
+def test_logs_of_a_busy_user_are_read_in_bounded_files(spark, monkeypatch):
+    from oracle import connect, differences
+    from trialframe.plans import files
+
+    sf_dir, read, longest = "/root/testdata/sf0.001", readers.read_logs, []
+
+    def reading(spark, path):
+        logs = read(spark, path)
+        longest.append(logs.agg(F.max(F.regexp_count("log", F.lit("\n")))).first()[0])
+        return logs
+
+    def one_user(spark, sf_dir, name):
+        # Times fall while ids rise, so that the first event is in the last file.
+        rows = spark.read.parquet(f"{sf_dir}/{name}.parquet").where("event_id < 200")
+        hot = F.when(F.col("event_id") % 4 > 0, 1).otherwise(F.col("user_id")).cast("long")
+        ts = F.expr("timestamp_ntz'2024-01-01 00:00:00' - make_dt_interval(0, 0, 0, cast(event_id div 2 as int))")
+        return rows.withColumn("user_id", hot).withColumn("ts", ts)
+
+    monkeypatch.setattr(files, "LOG_EVENTS", 25)
+    monkeypatch.setattr(readers, "read_logs", reading)
+    monkeypatch.setattr(files, "table", one_user)
+    con = connect(sf_dir)
+    con.register("changed", one_user(spark, sf_dir, "events").toArrow())
+    con.execute("CREATE OR REPLACE VIEW events AS SELECT * FROM changed")
+    sql = r"""SELECT user_id, first(value ORDER BY ts, event_id) AS metric_value, count(*) AS n_lines
+FROM (SELECT user_id, ts, event_id, CAST(CAST(value AS DECIMAL(18,2)) AS DOUBLE) AS value FROM events)
+GROUP BY user_id"""
+    assert differences(files.read_log_files(spark, sf_dir), con, sql) == []
+    assert longest and max(longest) <= 26

@@ -257,25 +257,39 @@ def heartbeat_plan(spark, sf_dir):
     )
 
 
+#: Event ids of a log file; ids are unique, so that no file has more lines.
+LOG_EVENTS = 1_000_000
+FIRST_METRIC = r"(?m)^metric_value:\s+[0-9.]+ at (.+) of (-?\d+)$"
+
+
 @query("read_log_files", r"""
 SELECT user_id, first(value ORDER BY ts, event_id) AS metric_value, count(*) AS n_lines
 FROM (SELECT user_id, ts, event_id, CAST(CAST(value AS DECIMAL(18,2)) AS DOUBLE) AS value FROM events)
 GROUP BY user_id""")
 def read_log_files(spark, sf_dir):
-    """One log file per user with all its events, read back whole: the first metric counts."""
+    """Log files of a user, one for each ``LOG_EVENTS`` event ids, read back whole: the first metric counts."""
     path = new_scratch(spark, "logs")
-    line = F.concat(F.lit("metric_value: "), F.col("value").cast("decimal(18,2)").cast("string"))
+    line = F.concat(
+        F.lit("metric_value: "), F.col("value").cast("decimal(18,2)").cast("string"),
+        F.lit(" at "), F.col("ts").cast("string"), F.lit(" of "), F.col("event_id").cast("string"),
+    )
     lines = F.array_sort(F.collect_list(F.struct("ts", "event_id", line.alias("line"))))
-    logs = table(spark, sf_dir, "events").groupBy("user_id").agg(lines.alias("lines")).select(
+    part = F.floor(F.col("event_id") / LOG_EVENTS).alias("part")
+    logs = table(spark, sf_dir, "events").groupBy("user_id", part).agg(lines.alias("lines")).select(
         F.concat_ws("\n", F.concat(F.lit("user "), F.col("user_id")), F.col("lines.line"))
     )
     logs.write.option("maxRecordsPerFile", 1).text(path)
     log = readers.read_logs(spark, path)
-    return log.select(
+    # Where the line of the first metric stands among all lines of the user.
+    place = [F.regexp_extract("log", FIRST_METRIC, k).try_cast(t) for k, t in ((1, "timestamp_ntz"), (2, "long"))]
+    own = log.select(
         F.regexp_extract("log", r"^user (\d+)", 1).cast("long").alias("user_id"),
         log_metric(F.col("log")).alias("metric_value"),
+        F.struct(*place).alias("place"),
         F.regexp_count("log", F.lit("metric_value")).cast("long").alias("n_lines"),
     )
+    first = F.min_by("metric_value", F.when(F.col("metric_value").isNotNull(), F.col("place")))
+    return own.groupBy("user_id").agg(first.alias("metric_value"), F.sum("n_lines").alias("n_lines"))
 
 
 @query("read_config_files", """
