@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -49,6 +50,21 @@ def test_one_line_of_each_group_stays(spark):
         assert out[doc].n_removed == len(text.split("\n")) - len(left)
 
 
+def test_near_copies_of_lines_without_blanks(spark):
+    rnd = random.Random(7)
+    chinese = "".join(chr(rnd.randrange(0x4E00, 0x9000)) for _ in range(200))
+    url = "https://example.org/" + "".join(rnd.choices("abcdefgh0123456789/_", k=180))
+    texts = [x for t in (chinese, url) for x in (t, t[:5] + "x" + t[5:], t[1:])]
+    # Against all 12-character windows of a line.
+    for t in texts:
+        want = {t[k : k + 12] for k in range(len(t) - 11)}
+        got = spark.range(1).select(lines._shingles(F.lit(t)).alias("s")).first().s
+        assert set(got) == want
+    rows = [(k, t, "zh", "a", len(t)) for k, t in enumerate(texts)]
+    out = {r.doc_id: r.n_removed for r in lines.dedup_lines(documents(spark, rows)).collect()}
+    assert out == {0: 0, 1: 1, 2: 1, 3: 0, 4: 1, 5: 1}
+
+
 def test_only_builtin_functions_run(spark, capsys):
     lines.dedup_lines(documents(spark, corpus(n=5))).explain()
     assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
