@@ -25,7 +25,7 @@ MAX_GROUP_ROWS = 4_000_000
 
 CHUNK = "_chunk"
 
-_AGGREGATES = {"min": F.min, "max": F.max, "sum": F.sum}
+_AGGREGATES = {"min": F.min, "max": F.max, "sum": F.sum, "xor": F.bit_xor}
 
 
 def _plus(here: Column, before: Column) -> Column:
@@ -34,7 +34,13 @@ def _plus(here: Column, before: Column) -> Column:
     )
 
 
-_COMBINE = {"min": F.least, "max": F.greatest, "sum": _plus}
+def _xor(here: Column, before: Column) -> Column:
+    return F.when(here.isNull(), before).otherwise(
+        here.bitwiseXOR(F.coalesce(before, F.lit(0)))
+    )
+
+
+_COMBINE = {"min": F.least, "max": F.greatest, "sum": _plus, "xor": _xor}
 
 
 def group_sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
@@ -67,7 +73,7 @@ class OrderedGroups:
     def running(
         self, name: str, how: str, value: Column, include_current: bool = False
     ) -> OrderedGroups:
-        """Add the running ``how`` (min, max or sum) of ``value`` as ``name``.
+        """Add the running ``how`` (min, max, sum or xor) of ``value`` as ``name``.
 
         NULL values are skipped; without any earlier value the result is NULL.
         """
