@@ -7,7 +7,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialframe.llm import bpe, langid, licences, lines, ngram_join, packing, quality, urls, vectors, warc
+from trialframe.llm import (
+    alignment, bpe, langid, licences, lines, ngram_join, packing, prefixes, quality, sharding, urls, vectors, warc,
+)
 from trialframe.plans.registry import query
 
 
@@ -172,4 +174,80 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.audit(both.drop("stored"), replica.drop("stored"))
 
 
+@query("op11_sharding")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in 40 shards of nearly equal bytes."""
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op12_prefix_trie",
+    r"""
+WITH turns AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+sizes AS (
+  SELECT c, max(i) AS n, c - c % 5 AS lender,
+    xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)],
+          list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+        lambda crc, x: list_reduce(list_concat([xor(crc, x)], [CAST(0 AS BIGINT) for k in range(8)]),
+          lambda r, z: xor(r >> 1, 3988292384 * (r & 1)))), 4294967295) % 9 AS h
+  FROM turns GROUP BY c
+),
+convs AS (
+  SELECT s.c, s.n, s.lender, s.h, least(s.h, coalesce(l.n, 0)) AS lent FROM sizes s LEFT JOIN sizes l ON l.c = s.lender
+),
+built AS (
+  SELECT c, i - h + lent AS depth, role, text FROM turns JOIN convs USING (c) WHERE i > h
+  UNION ALL
+  SELECT v.c, i, role, text FROM turns t JOIN convs v ON t.c = v.lender WHERE i <= h
+),
+paths AS (
+  SELECT c, depth, strlen(text) AS bytes,
+         string_agg(sha256(role || chr(0) || text), '') OVER (PARTITION BY c ORDER BY depth) AS node
+  FROM built
+  UNION ALL SELECT c, 0, 0, '' FROM convs
+),
+nodes AS (
+  SELECT depth, node, min(c) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes FROM paths GROUP BY depth, node
+),
+families AS (
+  SELECT n.*, substr(node, 1, 64 * (depth - 1)) AS parent FROM nodes n
+),
+children AS (
+  SELECT depth - 1 AS depth, parent AS node, count(*) AS n_children FROM families WHERE depth > 0 GROUP BY ALL
+),
+weighed AS (
+  SELECT n.depth, node, n.conv_id, n.n_convs, (n.n_convs - 1) * n.bytes AS saved,
+         coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children USING (depth, node)
+),
+summed AS (
+  SELECT p.depth, p.node, count(*) FILTER (w.n_children = 0) AS n_leaves, sum(w.saved) AS saved_tokens
+  FROM weighed w JOIN paths p ON p.c = w.conv_id AND p.depth <= w.depth GROUP BY p.depth, p.node
+),
+ends AS (
+  SELECT depth, node, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS ends_sha256
+  FROM paths JOIN (SELECT c, lent + greatest(n - h, 0) AS depth FROM convs) USING (c, depth) GROUP BY ALL
+)
+SELECT w.conv_id, CAST(w.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, CAST(w.n_convs AS BIGINT) AS n_convs,
+       CAST(w.n_children AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM weighed w JOIN summed USING (depth, node) LEFT JOIN ends USING (depth, node)
+LEFT JOIN nodes u ON u.depth = w.depth - 1 AND u.node = substr(w.node, 1, 64 * (w.depth - 1))
+""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    return prefixes.trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_token_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How two tokenizers' tokens of every document are linked."""
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align(table(spark, sf_dir, "documents"), a, b)
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
