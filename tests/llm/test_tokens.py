@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -47,6 +48,16 @@ def test_long_pieces_are_joined_by_halves():
         assert OWN.encode(text).tolist() == LIBRARY.encode_ordinary(text)
 
 
+def test_word_ids_of_every_character_equal_the_library():
+    """All assigned code points and 10,000 others, behind a sign, a letter and a digit."""
+    rest = [c for c in range(0x80, 0x110000) if unicodedata.category(chr(c)) == "Cn"]
+    some = {c for c in range(0x80, 0x110000) if unicodedata.category(chr(c)) not in ("Cn", "Cs", "Co")}
+    chosen = sorted(some | set(random.Random(1).sample(rest, 10_000)))
+    for low in range(0, len(chosen), 500):
+        texts = [f"\u00a1{chr(c)} a{chr(c)}B 1{chr(c)}" for c in chosen[low : low + 500]]
+        assert WORDS.encode(texts) == [WORDS.library(x) for x in texts]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.one_of(st.text(max_size=100), ODD))
 def test_word_ids_equal_the_library(text):

@@ -24,6 +24,7 @@ import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -56,10 +57,26 @@ _NOT_PLAIN = "[^\u00c0-\u012f\u0131-\u017f]"
 _ODD = "[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\u0130\u03a3\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]"
 
 
+@cache
+def _unsettled() -> re.Pattern:
+    """Characters that libraries may class differently.
+
+    Settled are those below U+10000 that Unicode 3.2 assigned and that have kept
+    their category to this day.
+    """
+    old, now = unicodedata.ucd_3_2_0.category, unicodedata.category
+    settled = [c for c in range(0x80, 0xD800) if old(chr(c)) == now(chr(c)) != "Cn"]
+    settled += [c for c in range(0xF900, 0xFFFE) if old(chr(c)) == now(chr(c)) != "Cn"]
+    breaks = [k for k, c in enumerate(settled) if not k or c != settled[k - 1] + 1]
+    runs = [(settled[i], settled[j - 1]) for i, j in zip(breaks, [*breaks[1:], len(settled)], strict=True)]
+    return re.compile("[^\x00-\x7f" + "".join(f"\\u{i:04x}-\\u{j:04x}" for i, j in runs) + "]")
+
+
 class WordIds:
     """Ids (little-endian 32-bit) of texts, as the tokenizer gives them; equal words are encoded once.
 
-    Texts with special tokens or unusual characters go to the library whole.
+    Texts with special tokens, or characters whose class may differ between
+    versions of Unicode, go to the library whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -82,7 +99,7 @@ class WordIds:
         rest = text.encode().translate(None, _ASCII).decode()
         if not self.not_plain.search(rest):
             return self.plain_split.findall(text.lower())
-        if self.odd.search(text):
+        if self.odd.search(text) or _unsettled().search(rest):
             return None
         return self.split.findall(unicodedata.normalize("NFC", text).lower())
 
