@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,19 +31,50 @@ class AdmissionFold:
     """State of a key: when the lease of the last accepted candidate ends (microseconds)."""
 
     def __init__(self) -> None:
-        self.until: int | None = None
+        self.state: int | None = None
 
     def row(self, at, candidate_id, ttl, until) -> list[tuple]:
         if until is not None:  # the stored state sorts first
-            self.until = until
+            self.state = until
             return []
-        if self.until is None or self.until <= at:
-            self.until = at + ttl
+        if self.state is None or self.state <= at:
+            self.state = at + ttl
             return [(candidate_id, ACCEPTED, None)]
         return [(candidate_id, CLAIMED, None)]
 
     def finish(self) -> list[tuple]:
-        return [] if self.until is None else [(None, None, self.until)]
+        return [] if self.state is None else [(None, None, self.state)]
+
+
+class AdmissionTransition:
+    """When the last lease of a run ends, by when the one before it ended.
+
+    A step function: a candidate that is accepted settles all after it, so
+    one pass from the end finds what follows from each.
+    """
+
+    def __init__(self, rows: list[tuple]) -> None:
+        self.seed = None
+        if rows and rows[0][3] is not None:
+            self.seed, rows = rows[0][3], rows[1:]
+        at = [r[0] for r in rows]
+        last = [r[0] + r[2] for r in rows]
+        for i in range(len(rows) - 1, -1, -1):
+            following = bisect_left(at, last[i], i + 1)
+            if following < len(rows):
+                last[i] = last[following]
+        steps = [i for i in range(len(rows)) if i + 1 == len(rows) or last[i + 1] != last[i]]
+        self.upto, self.last = [at[i] for i in steps], [last[i] for i in steps]
+
+    def after(self, until: int | None) -> int | None:
+        until = until if self.seed is None else self.seed
+        step = 0 if until is None else bisect_left(self.upto, until)
+        return self.last[step] if step < len(self.last) else until
+
+
+class AdmissionMachine:
+    fold = staticmethod(AdmissionFold)
+    transition = staticmethod(AdmissionTransition)
 
 
 def admit_batches(root: str, memory_seconds: float | None = None):
@@ -64,7 +97,7 @@ def admit_batches(root: str, memory_seconds: float | None = None):
             *KEY, none.alias("at"), none.alias("candidate_id"), none.alias("ttl"), "until"
         )
         folded = durable(
-            fold_in_order(seeds.union(arrived), KEY, ["at", "candidate_id"], AdmissionFold, _FOLDED)
+            fold_in_order(seeds.union(arrived), KEY, ["at", "candidate_id"], AdmissionMachine(), _FOLDED)
         )
         decisions = folded.where("reason is not null").drop("until")
         decisions.write.mode("overwrite").parquet(f"{root}/rows/batch={batch}")

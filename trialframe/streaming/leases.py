@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,13 +94,21 @@ class LeaseFold:
 
     def __init__(self, watermark: int, memory: int | None) -> None:
         self.watermark, self.memory = watermark, memory
-        self.agent, self.began, self.ends, self.beats, self.live = None, 0, 0, 0, False
+        self.state = NO_LEASE
+
+    @property
+    def state(self) -> tuple:
+        return self.agent, self.began, self.ends, self.beats, self.live
+
+    @state.setter
+    def state(self, state: tuple) -> None:
+        self.agent, self.began, self.ends, self.beats, self.live = state
 
     def _ended(self, ends: int, state: str) -> tuple:
         return (self.agent, self.began, ends, self.beats, False, state)
 
     def _open(self, agent: str, at: int, ttl: int) -> None:
-        self.agent, self.began, self.ends, self.beats, self.live = agent, at, at + ttl, 1, True
+        self.state = (agent, at, at + ttl, 1, True)
 
     def _expire(self, at: int) -> list[tuple]:
         out = []
@@ -106,12 +117,12 @@ class LeaseFold:
             self.live = False
         forgotten = self.memory is not None and self.ends + self.memory <= at
         if self.agent is not None and not self.live and forgotten:
-            self.agent = None
+            self.state = NO_LEASE
         return out
 
     def row(self, at, event_id, agent, kind, ttl, began, ends, beats, live) -> list[tuple]:
         if at is None:  # the stored state sorts first
-            self.agent, self.began, self.ends, self.beats, self.live = agent, began, ends, beats, live
+            self.state = (agent, began, ends, beats, live)
             return []
         out = self._expire(at)
         owner = self.agent is not None and self.agent == agent
@@ -125,7 +136,7 @@ class LeaseFold:
         elif kind == RELEASE and owner:
             if self.live:
                 out.append(self._ended(at, "released"))
-            self.agent, self.live = None, False
+            self.state = NO_LEASE
         return out
 
     def finish(self) -> list[tuple]:
@@ -135,6 +146,130 @@ class LeaseFold:
         return out
 
 
+NO_LEASE = (None, 0, 0, 0, False)
+_LIVE, _ENDED, _NOBODY = range(3)
+
+
+class LeaseTransition:
+    """What a run of events makes of any lease before it.
+
+    After a beat (a claim or refresh that counts) the next beat depends on that
+    beat alone, so beats form a forest that one pass from the end resolves:
+    the last beat that follows from each, where its lease opened (-1: with the
+    beat itself or before), the beats since, and how it stands.  A lease from
+    before meets the run only at its owner's first event and at the first claim
+    after its end, so the results at claims and at owners' first events suffice.
+    """
+
+    def __init__(self, rows: list[tuple], memory: int | None) -> None:
+        self.memory, self.seed = memory, None
+        if rows and rows[0][0] is None:
+            self.seed, rows = (rows[0][2], *rows[0][5:9]), rows[1:]
+        n = len(rows)
+        at = [r[0] for r in rows]
+        self.until = at[-1] if rows else None
+        agent, kind = [r[2] for r in rows], [r[3] for r in rows]
+        ends = [r[0] + r[4] if r[3] != RELEASE else 0 for r in rows]
+        claims = [i for i in range(n) if kind[i] == CLAIM]
+        claim_at = [at[i] for i in claims]
+        found: list[tuple | None] = [None] * n
+        own: dict[str, int] = {}
+
+        def follow(i: int) -> tuple:
+            """(last beat, opening or -1, beats since, standing) from a beat at i."""
+            o, end = own.get(agent[i], n), ends[i]
+            if o < n and at[o] < end:
+                if kind[o] == RELEASE:
+                    return released(i, o)
+                last, opened, beats, stands = found[o]
+                return last, opened, beats + (opened < 0), stands
+            c = bisect_left(claims, bisect_left(at, end, i + 1))
+            c = claims[c] if c < len(claims) else n
+            mine = o < c and (memory is None or at[o] < end + memory)
+            if mine and kind[o] == RELEASE:
+                return released(i, o)
+            if mine or c < n:
+                return opening(o if mine else c)
+            if i + 1 == n or at[-1] < end:
+                return i, -1, 0, _LIVE
+            return i, -1, 0, _ENDED if memory is None or at[-1] < end + memory else _NOBODY
+
+        def released(i: int, o: int) -> tuple:
+            c = bisect_left(claims, o + 1)
+            return opening(claims[c]) if c < len(claims) else (i, -1, 0, _NOBODY)
+
+        def opening(i: int) -> tuple:
+            last, opened, beats, stands = found[i]
+            return (last, i, beats + 1, stands) if opened < 0 else (last, opened, beats, stands)
+
+        for i in range(n - 1, -1, -1):
+            if kind[i] != RELEASE:
+                found[i] = follow(i)
+            if kind[i] != CLAIM:
+                own[agent[i]] = i
+
+        def state(result: tuple) -> tuple:
+            last, opened, beats, stands = result
+            if stands == _NOBODY:
+                return NO_LEASE
+            return agent[last], at[opened], ends[last], beats, stands == _LIVE
+
+        #: Time of each claim, and the state at the end if it opens a lease.
+        self.claim_at, self.claimed = claim_at, [state(opening(i)) for i in claims]
+        #: Of each agent its first refresh or release: time, kind, claims before it, and what follows from it.
+        self.own = {}
+        for who, i in own.items():
+            renewed = extended = None
+            if kind[i] == REFRESH:
+                renewed = state(opening(i))
+                last, opened, beats, stands = found[i]
+                extended = renewed if opened >= 0 or stands == _NOBODY else (ends[last], 1 + beats, stands == _LIVE)
+            self.own[who] = (at[i], kind[i], bisect_left(claims, i), renewed, extended)
+
+    def _claimed(self, place: int) -> tuple | None:
+        return self.claimed[place] if place < len(self.claimed) else None
+
+    def after(self, state: tuple) -> tuple:
+        agent, began, ends, beats, live = state if self.seed is None else self.seed
+        if self.until is None:
+            return agent, began, ends, beats, live
+        at, kind, before, renewed, extended = self.own.get(agent, (None, None, 0, None, None)) if agent is not None else (None,) * 5
+        if live and at is not None and at < ends:
+            if kind == RELEASE:
+                return self._claimed(before) or NO_LEASE
+            if len(extended) == 3:
+                return agent, began, extended[0], beats + extended[1], extended[2]
+            return extended
+        place = bisect_left(self.claim_at, ends) if live else 0
+        forgotten = None if self.memory is None else ends + self.memory
+        # The owner's event counts before the next claim, while the lease is remembered.
+        if at is not None and before <= place and (forgotten is None or at < forgotten):
+            if kind == RELEASE:
+                return self._claimed(before) or NO_LEASE
+            return renewed
+        if self._claimed(place) is not None:
+            return self.claimed[place]
+        if agent is None or not live and forgotten is not None and forgotten <= self.until:
+            return NO_LEASE
+        if live and ends <= self.until:
+            return NO_LEASE if forgotten is not None and forgotten <= self.until else (agent, began, ends, beats, False)
+        return agent, began, ends, beats, live
+
+
+@dataclass(frozen=True)
+class LeaseMachine:
+    """Leases of a key (microseconds); ``watermark`` ends what is played, ``memory`` as in LeaseFold."""
+
+    watermark: int
+    memory: int | None = None
+
+    def fold(self) -> LeaseFold:
+        return LeaseFold(self.watermark, self.memory)
+
+    def transition(self, rows: list[tuple]) -> LeaseTransition:
+        return LeaseTransition(rows, self.memory)
+
+
 def _earlier(spark: SparkSession, root: str, batch: int, schema: str) -> DataFrame:
     version = version_before(spark, root, batch)
     if version is None:
@@ -147,8 +282,7 @@ def track_batches(root: str, delay_seconds: float = 0, memory_seconds: float | N
 
     The watermark is the latest event time seen less ``delay_seconds``; events
     behind that of the batches before are written as ``late`` and change
-    nothing.  The rows of a key pass in time order through one task, which
-    holds one Arrow batch of them; ``maxFilesPerTrigger`` bounds a batch.
+    nothing.  The rows of a busy key are played in many tasks at once.
     """
     memory = None if memory_seconds is None else int(memory_seconds * 1_000_000)
 
@@ -180,7 +314,7 @@ def track_batches(root: str, delay_seconds: float = 0, memory_seconds: float | N
         ).select(*KEY, *columns)
         folded = durable(
             fold_in_order(
-                seeds.union(rows), KEY, ["at", "event_id"], lambda: LeaseFold(watermark, memory), _FOLDED
+                seeds.union(rows), KEY, ["at", "event_id"], LeaseMachine(watermark, memory), _FOLDED
             )
         )
         rest = touched(state, fresh, KEY, "left_anti")
