@@ -17,6 +17,7 @@ from trialframe.streaming.leaderboard import current_leaderboard, update_leaderb
 from trialframe.streaming.leases import (
     MERGE_BEFORE_SHUFFLE, closed_leases, track_leases,
 )
+from trialframe.streaming.timers import TIMER_STATE, timed_leases
 
 
 def _events(spark, sf_dir):
@@ -58,6 +59,30 @@ def stream_lease_sessions(spark, sf_dir):
     return leases.select("user_id", _local("lease_start"), _local("lease_end"), "beats")
 
 
+@query("stream_lease_timers", """
+WITH beats AS (
+  SELECT user_id, ts, event_id, ts + CASE WHEN event_id % 3 = 0 THEN INTERVAL 10 HOUR
+    ELSE INTERVAL 1 HOUR END AS expires FROM events),
+marked AS (
+  SELECT *, CASE WHEN ts < lag(expires) OVER w THEN 0 ELSE 1 END AS opens
+  FROM beats WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+numbered AS (
+  SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id
+    ROWS UNBOUNDED PRECEDING) AS lease FROM marked)
+SELECT user_id, min(ts) AS lease_start, arg_max(expires, (ts, event_id)) AS lease_end, count(*) AS beats
+FROM numbered GROUP BY user_id, lease
+HAVING arg_max(expires, (ts, event_id)) <= (SELECT date_trunc('millisecond', max(ts)) FROM events)""")
+def stream_lease_timers(spark, sf_dir):
+    """Leases that end by their last beat's own ttl, let out by timers."""
+    ttl = F.when(F.col("event_id") % 3 == 0, 36_000).otherwise(3_600).alias("ttl_seconds")
+    beats = _timed(_events(spark, sf_dir), "ts").select("user_id", "ts", ttl)
+    with session_conf(spark, **TIMER_STATE):
+        leases = feed.drain_to_table(
+            timed_leases(beats, ["user_id"], "0 seconds"), new_scratch(spark, "stream-timers")
+        )
+    return leases.select("user_id", _local("lease_start"), _local("lease_end"), "beats")
+
+
 @query("stream_lease_tracker", with_runs("""
 , log AS (
   SELECT project, fingerprint, 'a' || (event_id % 3) AS agent_id, completed_at AS ts,

@@ -33,19 +33,24 @@ def closed_leases(beats: DataFrame, keys: list[str], delay: str) -> DataFrame:
     """Leases whose end has passed the watermark (append mode).
 
     ``beats``: keys, ts, ttl_seconds.  Beats behind the watermark are dropped.
-    Start the query under ``MERGE_BEFORE_SHUFFLE``, so that the beats of a busy
+    Session windows cannot shorten a lease, so beats of different ttl that meet
+    in one raise; use ``timers.timed_leases`` for those.  Start the query under ``MERGE_BEFORE_SHUFFLE``, so that the beats of a busy
     key are merged into sessions before they are shuffled.
     """
     session = F.session_window("ts", _gap(F.col("ttl_seconds"))).alias("lease")
     return (
         beats.withWatermark("ts", delay)
         .groupBy(*keys, session)
-        .agg(F.count("*").alias("beats"))
+        .agg(
+            F.count("*").alias("beats"), F.min("ttl_seconds").alias("_least"), F.max("ttl_seconds").alias("_most")
+        )
         .select(
             *keys,
             F.col("lease.start").alias("lease_start"),
             (F.col("lease.end") + F.expr("INTERVAL '0.000001' SECOND")).alias("lease_end"),
-            "beats",
+            F.when(F.col("_least") == F.col("_most"), F.col("beats"))
+            .otherwise(F.raise_error(F.lit("the ttl changed within a lease: use timers.timed_leases")).cast("long"))
+            .alias("beats"),
         )
     )
 
