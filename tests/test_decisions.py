@@ -63,7 +63,7 @@ def test_config_rows_count_only_when_rankable(spark):
     assert decisions(df) == {"r2": "keep", "r3": "discard"}
 
 
-@pytest.mark.parametrize("bound", [10**6, 0])
+@pytest.mark.parametrize("bound", [10**6, 3600, 7, 1])
 @pytest.mark.parametrize("objective", ["minimize", "maximize"])
 def test_replay_equals_loop(spark, objective, bound):
     rng = random.Random(11)
@@ -74,8 +74,8 @@ def test_replay_equals_loop(spark, objective, bound):
         for i in range(500)
     ]
     df = spark.createDataFrame(rows, HISTORY)
-    got = decisions(df, max_group_rows=bound)
-    curve = d.best_so_far(df, max_group_rows=bound).collect()
+    got = decisions(df, bucket_seconds=bound)
+    curve = d.best_so_far(df, bucket_seconds=bound).collect()
     assert got == replay_by_loop(rows)
     assert len(curve) == len(rows)
     values = [r.best_metric for r in sorted(curve, key=lambda r: (r.completed_at, r.run_id))]

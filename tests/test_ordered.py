@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from trialframe.operators.ordered import group_sizes, ordered_groups
+from trialframe.operators.ordered import group_sizes, ordered_groups, running_in_buckets, time_bucket
 
 SCHEMA = "k string, t long, id long, v double"
 
@@ -81,3 +81,36 @@ def test_null_keys_form_a_group(spark):
     groups = ordered_groups(df, ["k"], ["t", "id"], 0)
     got = groups.running("r", "min", F.col("v")).result().select("id", "r").collect()
     assert {r.id: r.r for r in got} == loop([("", *r[1:]) for r in rows], "min", False)
+
+
+@pytest.mark.parametrize("width", [1, 7, 5000])
+@pytest.mark.parametrize("how", ["min", "max", "sum"])
+@pytest.mark.parametrize("inclusive", [True, False])
+def test_running_values_in_buckets(spark, width, how, inclusive):
+    rows = rows_with_hot_key() + [(None, i % 9, 1000 + i, float(90 - i)) for i in range(40)]
+    rows += [("k1", None, 2000, 3.0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    bucket = F.floor(F.col("t") / width)
+    got = running_in_buckets(df, ["k"], ["t", "id"], bucket, "r", how, F.col("v"), inclusive)
+    assert got.columns == [*df.columns, "r"]
+    filled = [(k or "", -1 if t is None else t, i, v) for k, t, i, v in rows]
+    assert {r.id: r.r for r in got.collect()} == loop(filled, how, inclusive)
+
+
+def test_buckets_are_one_lazy_plan(spark):
+    """No job before the result is asked for, no table in between, a key's buckets apart."""
+    df = spark.createDataFrame(rows_with_hot_key(), SCHEMA)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lazy", "")
+    out = running_in_buckets(df, ["k"], ["t", "id"], F.floor(F.col("t") / 7), "r", "min", F.col("v"))
+    assert not tracker.getJobIdsForGroup("lazy")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "hashpartitioning(k" in plan and "_bucket" in plan
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_time_buckets_ascend(spark, kind):
+    times = ["1969-12-31 22:10:00", "1969-12-31 23:59:59.5", "1970-01-01 00:00:00", "2024-03-31 01:59:59", "2024-03-31 03:00:00", None]
+    df = spark.createDataFrame([(t,) for t in times], "t string").select(F.col("t").cast(kind).alias("t"))
+    got = [r[0] for r in df.orderBy("t").select(time_bucket(F.col("t"), df.schema["t"].dataType, 3600)).collect()]
+    assert got[0] is None and got[1:] == sorted(got[1:]) and got[-1] - got[-2] == 2

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -38,6 +39,46 @@ def test_aggregate_sweep_in_slices(spark, per_scan):
         s.sweep_aggregate(df, [], lambda p: {})
 
 
+@pytest.mark.parametrize("per_row", [1, 3, 100])
+def test_aggregate_sweep_of_no_rows(spark, per_row):
+    grid = [{"a": a} for a in range(5)]
+    got = s.sweep_aggregate(
+        spark.range(0), grid, lambda p: {"total": F.sum(F.col("id") * p["a"]), "n": F.count("*")}, per_row)
+    assert sorted(got.collect()) == [(a, None, 0) for a in range(5)]
+
+
+def test_parameters_of_every_type(spark):
+    grid = [{"x": 0.5, "s": "a\"b", "b": True, "n": None}, {"x": 2, "s": None, "b": False, "n": 1 << 40}]
+    got = s.sweep_aggregate(spark.range(4), grid, lambda p: {"over": F.count_if(F.col("id") > p["x"])})
+    assert sorted(map(tuple, got.collect()), key=str) == [(0.5, 'a"b', True, None, 3), (2.0, None, False, 1 << 40, 1)]
+    with pytest.raises(TypeError):
+        s.sweep_aggregate(spark.range(4), [{"x": 1}, {"x": "a"}], lambda p: {"n": F.count("*")})
+
+
+def test_thousands_of_points_are_one_scan(spark, tmp_path):
+    path = str(tmp_path / "data")
+    spark.range(0, 3000).select("id", (F.col("id") % 2).alias("y")).write.parquet(path)
+    data = spark.read.parquet(path)
+    grid = [{"a": a} for a in range(5000)]
+    begin = time.perf_counter()
+    swept = s.sweep_aggregate(data, grid, lambda p: {"hits": F.count_if((F.col("id") > p["a"]) == (F.col("y") == 1))})
+    plan = swept._jdf.queryExecution().executedPlan().toString()
+    cut = s.sweep_thresholds(data, "id", "y", list(range(5000)))
+    cuts = cut._jdf.queryExecution().executedPlan().toString()
+    assert time.perf_counter() - begin < 10
+    assert plan.count("FileScan parquet") == cuts.count("FileScan parquet") == 1
+    got = {r.a: r.hits for r in swept.collect()}
+    assert got == {r.threshold: r.hits for r in cut.collect()}
+    assert len(got) == 5000 and got[10] == sum((i > 10) == (i % 2 == 1) for i in range(3000))
+
+
+def test_thresholds_on_odd_values(spark):
+    rows = [(x, y) for x in (float("nan"), float("inf"), float("-inf"), -0.0, 0.0, 1.5, 1.4999) for y in (0, 1, 2)]
+    got = {r.threshold: (r.hits, r.n) for r in s.sweep_thresholds(spark.createDataFrame(rows, "v double, y int"), "v", "y", [0.0, 1.5, -1.0]).collect()}
+    above = lambda v, t: v != v or v > t
+    assert got == {t: (sum(y == 1 if above(v, t) else y == 0 for v, y in rows), 21) for t in (0.0, 1.5, -1.0)}
+
+
 def configs(spark, *texts):
     return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, config string")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trialframe.functions.objective import (
     better, cost, is_rankable, metric_of, stored_metric,
 )
-from trialframe.operators.ordered import MAX_GROUP_ROWS, ordered_groups
+from trialframe.operators.ordered import running_in_buckets, time_bucket
 from trialframe.schemas import COMPLETED, DISCARD, FAILED, KEEP, RESULT_SCHEMA
 
 # Stored error texts and the reasons given to the caller.
@@ -16,6 +16,9 @@ TIMEOUT = "timeout"
 NO_METRIC_STORED = "metric not found in log"
 NO_METRIC_REASON = "metric_not_found"
 
+#: Seconds of history that a task plays of a project at once.
+BUCKET_SECONDS = 3_600
+
 
 def decide(
     objective: Column, timed_out: Column, metric: Column, best: Column
@@ -138,20 +141,29 @@ def _costed(history: DataFrame) -> DataFrame:
     )
 
 
+def _with_best(
+    history: DataFrame, stored_scale: int | None, bucket_seconds: int, include_current: bool
+) -> DataFrame:
+    rows = _costed(history)
+    bucket = time_bucket(F.col("completed_at"), rows.schema["completed_at"].dataType, bucket_seconds)
+    return running_in_buckets(
+        rows, ["project"], ["completed_at", "run_id"], bucket, "_best", "min", _prior(stored_scale), include_current
+    )
+
+
 def keep_discard_replay(
     history: DataFrame,
     stored_scale: int | None = 6,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    bucket_seconds: int = BUCKET_SECONDS,
 ) -> DataFrame:
     """Replay each project's history and decide every code run again.
 
     ``history``: project, objective, completed_at, run_id, metric_value and
     optionally is_code, status.  A run is kept when strictly better than the
-    best earlier stored metric; stored code metrics are rounded.
+    best earlier stored metric; stored code metrics are rounded.  A project is
+    played in buckets of ``bucket_seconds``, whatever its size; the width changes
+    no result.
     """
-    groups = ordered_groups(
-        _costed(history), ["project"], ["completed_at", "run_id"], max_group_rows
-    ).running("_best", "min", _prior(stored_scale))
     best = F.col("_best")
     decision = (
         F.when(F.col("m").isNull(), FAILED)
@@ -159,7 +171,7 @@ def keep_discard_replay(
         .otherwise(DISCARD)
     )
     return (
-        groups.result()
+        _with_best(history, stored_scale, bucket_seconds, include_current=False)
         .where("is_code")
         .select(
             "project", "run_id", "completed_at",
@@ -173,13 +185,10 @@ def keep_discard_replay(
 def best_so_far(
     history: DataFrame,
     stored_scale: int | None = 6,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    bucket_seconds: int = BUCKET_SECONDS,
 ) -> DataFrame:
     """Best stored metric of each project after each run."""
-    groups = ordered_groups(
-        _costed(history), ["project"], ["completed_at", "run_id"], max_group_rows
-    ).running("_best", "min", _prior(stored_scale), include_current=True)
-    return groups.result().select(
+    return _with_best(history, stored_scale, bucket_seconds, include_current=True).select(
         "project", "run_id", "completed_at",
         metric_of(F.col("objective"), F.col("_best")).alias("best_metric"),
     )

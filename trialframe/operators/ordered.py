@@ -1,6 +1,11 @@
 """Running values over ordered groups, safe for very large groups.
 
-A window over one key puts all rows of that key in one task.  When the largest
+A window over one key puts all rows of that key in one task.  Where the order
+begins with a time, :func:`running_in_buckets` splits every key by time buckets:
+one aggregate per bucket, a running value over these, and a window inside each
+bucket that begins with what came before it.  It is one lazy plan for all sizes.
+
+For other orders, and chains of running values: when the largest
 group is above a row bound, the rows are range-partitioned by (keys, order)
 instead, which splits a hot key over many tasks.  Each partition is a *chunk*:
 running values are taken inside a chunk, and what came before it is added from
@@ -17,6 +22,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from trialframe.session import durable
 
@@ -43,6 +49,45 @@ def _xor(here: Column, before: Column) -> Column:
 _COMBINE = {"min": F.least, "max": F.greatest, "sum": _plus, "xor": _xor}
 
 
+def time_bucket(time: Column, kind: DataType, seconds: int) -> Column:
+    """Number of the bucket of ``seconds`` that a timestamp (with or without zone) is in; ascends with it."""
+    since = time - F.lit("1970-01-01 00:00:00").cast(kind)
+    parts = {"DAY": 86_400, "HOUR": 3_600, "MINUTE": 60, "SECOND": 1}
+    whole = reduce(Column.__add__, [F.extract(F.lit(k), since).cast("long") * F.lit(n) for k, n in parts.items()])
+    return F.floor(whole / F.lit(seconds)).cast("long")
+
+
+def running_in_buckets(
+    df: DataFrame, keys: list[str], order: list[str], bucket: Column,
+    name: str, how: str, value: Column, include_current: bool = False,
+) -> DataFrame:
+    """``df`` with the running ``how`` (min, max or sum) of ``value`` per ``keys`` as ``name``.
+
+    ``bucket`` must not descend along ``order``; a task holds the rows of one
+    bucket of one key.  What came before a bucket enters it as a row of its
+    own that sorts first, so no join is needed.  NULL values are skipped;
+    without any value the result is NULL.
+    """
+    aggregate = _AGGREGATES[how]
+    rows = df.withColumns({"_bucket": bucket, "_value": value, "_own": F.lit(1)})
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*keys, "_bucket").agg(aggregate("_value").alias("_total"))
+    before = totals.select(
+        *keys, "_bucket", aggregate("_total").over(earlier).alias("_value"), F.lit(0).alias("_own")
+    ).where(F.col("_value").isNotNull())
+    inside = (
+        Window.partitionBy(*keys, "_bucket")
+        .orderBy("_own", *order)
+        .rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
+    )
+    return (
+        rows.unionByName(before, allowMissingColumns=True)
+        .withColumn(name, aggregate("_value").over(inside))
+        .where("_own = 1")
+        .drop("_bucket", "_value", "_own")
+    )
+
+
 def group_sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
     """Rows of the most frequent key, and of all keys (reads the keys only)."""
     row = df.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first()

@@ -1,61 +1,95 @@
 """Parameter sweeps whose evaluation is a Spark aggregation.
 
-The data is never multiplied by the grid.  A general sweep evaluates a slice
-of the grid per scan as side-by-side aggregates; a threshold sweep reads the
-data once into one counter per gap between thresholds.
+The data is scanned once, however many points the grid has.  A general sweep
+takes the points in blocks: inside the scan each row meets every block, whose
+points are side-by-side aggregates that are combined before anything is
+shuffled.  A threshold sweep counts rows once per gap between thresholds.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
-from functools import reduce
+from datetime import date, datetime
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Grid points evaluated in one scan of the data.
-POINTS_PER_SCAN = 32
+#: Grid points that are aggregates of the same row.
+POINTS_PER_ROW = 32
+
+
+def _kind(values: list) -> T.DataType:
+    """Type of a parameter, as a literal of each of its values would have it."""
+    found = {type(v) for v in values if v is not None}
+    if found <= {bool}:
+        return T.BooleanType()
+    if found <= {int}:
+        small = all(-(1 << 31) <= v < 1 << 31 for v in values if v is not None)
+        return T.IntegerType() if small else T.LongType()
+    if found <= {int, float}:
+        return T.DoubleType()
+    for python, kind in ((str, T.StringType()), (datetime, T.TimestampNTZType()), (date, T.DateType())):
+        if found <= {python}:
+            return kind
+    raise TypeError(f"parameter values of types {sorted(t.__name__ for t in found)}")
+
+
+def _literal(value: list, kind: T.DataType) -> Column:
+    """A nested list as one literal (not an expression per element)."""
+    text = json.dumps(value, default=lambda x: x.isoformat())
+    return F.from_json(F.lit(text), T.ArrayType(kind))
 
 
 def sweep_aggregate(
     data: DataFrame,
     grid: Sequence[dict],
-    measures: Callable[[dict], dict[str, Column]],
-    points_per_scan: int = POINTS_PER_SCAN,
+    measures: Callable[[dict[str, Column]], dict[str, Column]],
+    points_per_row: int = POINTS_PER_ROW,
 ) -> DataFrame:
     """One row per grid point: its parameters and its aggregate measures.
 
-    ``measures`` turns a grid point into named aggregate columns over ``data``.
+    ``measures`` turns a grid point, whose values are columns, into named
+    aggregate columns over ``data``.  All points have the same parameters, of
+    one type each (bool, int, float, str, date or datetime; None is null).
     """
     if not grid:
         raise ValueError("the grid is empty")
-
-    def one_scan(points: Sequence[dict]) -> DataFrame:
-        cells = [
-            F.struct(
-                *[F.lit(value).alias(name) for name, value in point.items()],
-                *[column.alias(name) for name, column in measures(point).items()],
-            ).alias(f"point_{i}")
-            for i, point in enumerate(points)
-        ]
-        names = [f"point_{i}" for i in range(len(points))]
-        return data.agg(*cells).select(F.inline(F.array(*names)))
-
-    scans = [
-        one_scan(grid[i : i + points_per_scan])
-        for i in range(0, len(grid), points_per_scan)
-    ]
-    return reduce(DataFrame.unionByName, scans)
-
-
-def _gap(value: Column, bounds: Sequence[float], low: int, high: int) -> Column:
-    # Number of bounds below value, found by halving.
-    if low == high:
-        return F.lit(low)
-    middle = (low + high) // 2
-    return F.when(value > F.lit(bounds[middle]), _gap(value, bounds, middle + 1, high)).otherwise(
-        _gap(value, bounds, low, middle)
-    )
+    names = list(grid[0])
+    if any(list(point) != names for point in grid):
+        raise ValueError("grid points differ in their parameters")
+    point = T.StructType([T.StructField(n, _kind([p[n] for p in grid])) for n in names])
+    width = min(points_per_row, len(grid))
+    blocks = [list(grid[i : i + width]) for i in range(0, len(grid), width)]
+    every = _literal(blocks, T.ArrayType(point))
+    one = len(blocks) == 1
+    block = F.lit(0) if one else F.col("_block")
+    wide = data if one else data.select("*", F.posexplode(every).alias("_block", "_points"))
+
+    def cell(i: int) -> Column:
+        own = F.get(F.get(every, F.lit(0)) if one else F.col("_points"), F.lit(i))
+        found = measures({n: own[n] for n in names})
+        return F.struct(*[column.alias(name) for name, column in found.items()]).alias(f"_cell_{i}")
+
+    cells = [cell(i) for i in range(width)]
+    summed = wide.agg(*cells) if one else wide.groupBy("_block").agg(*cells)
+    rows = F.array(*[F.struct(F.lit(i).alias("_i"), F.col(f"_cell_{i}").alias("_m")) for i in range(width)])
+    told = summed.select(block.alias("_block"), F.inline(rows))
+    if not one:
+        # Blocks that met no row have what the measures give on no rows.
+        none = data.where(F.lit(False)).select("*", F.lit(0).alias("_block"), F.get(every, F.lit(0)).alias("_points"))
+        empty = none.agg(cells[0]).select(F.col("_cell_0").alias("_none"))
+        spark = data.sparkSession
+        all_rows = spark.range(len(blocks)).select(F.col("id").cast("int").alias("_block"), F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("_i"))
+        told = (
+            all_rows.join(told, ["_block", "_i"], "left")
+            .join(F.broadcast(empty), F.lit(True), "left")
+            .withColumn("_m", F.coalesce("_m", "_none"))
+        )
+    own = F.get(F.get(every, F.col("_block")), F.col("_i"))
+    return told.select(own.alias("_p"), "_m").where("_p is not null").select("_p.*", "_m.*")
 
 
 def sweep_thresholds(
@@ -64,21 +98,31 @@ def sweep_thresholds(
     """Accuracy counts of ``value > threshold`` as predictor of a 0/1 label.
 
     Returns threshold, hits, n for each threshold.  Rows with a NULL value or
-    label are left out.
+    label are left out; NaN is above every threshold.  Values are compared as
+    doubles.
     """
     bounds = sorted(set(thresholds))
+    # Buckets are closed below, a threshold is passed above: hence the negative values.
+    gaps = Bucketizer(
+        splits=[float("-inf"), *[-float(b) for b in reversed(bounds)], float("inf")],
+        inputCol="_below", outputCol="_gap", handleInvalid="keep",
+    )
+    known = data.where(F.col(value).isNotNull() & F.col(label).isNotNull()).select(
+        (-F.col(value).cast("double")).alias("_below"), F.col(label).alias("_label")
+    )
+    passed = F.when(F.isnan("_below"), len(bounds)).otherwise(F.lit(len(bounds)) - F.col("_gap").cast("int"))
     counted = (
-        data.where(F.col(value).isNotNull() & F.col(label).isNotNull())
-        .groupBy(_gap(F.col(value), bounds, 0, len(bounds)).alias("gap"))
+        gaps.transform(known)
+        .groupBy(passed.alias("gap"))
         .agg(
-            F.count_if(F.col(label) == 1).alias("ones"),
-            F.count_if(F.col(label) == 0).alias("zeros"),
+            F.count_if(F.col("_label") == 1).alias("ones"),
+            F.count_if(F.col("_label") == 0).alias("zeros"),
             F.count("*").alias("rows"),
         )
     )
-    # A handful of rows from here on: one per gap and one per threshold.
+    # Few rows from here on: one per gap and one per threshold.
     points = data.sparkSession.range(1).select(
-        F.posexplode(F.array(*[F.lit(b) for b in bounds])).alias("gap", "threshold")
+        F.posexplode(_literal(bounds, _kind(bounds))).alias("gap", "threshold")
     )
     everything = counted.unionByName(points, allowMissingColumns=True)
     whole = Window.partitionBy(F.lit(1))

@@ -124,8 +124,8 @@ def keep_discard_replay(spark, sf_dir):
 
 @query("keep_discard_chunked", REPLAY_SQL)
 def keep_discard_chunked(spark, sf_dir):
-    """The same replay on the path for very large projects."""
-    return d.keep_discard_replay(_history(spark, sf_dir), max_group_rows=0)
+    """The same replay in far smaller buckets, as for very large projects."""
+    return d.keep_discard_replay(_history(spark, sf_dir), bucket_seconds=60)
 
 
 @query("best_so_far", with_runs("""

@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialframe.functions.objective import cost, stored_metric
-from trialframe.operators.decisions import keep_discard_replay
-from trialframe.operators.ordered import MAX_GROUP_ROWS
+from trialframe.operators.decisions import BUCKET_SECONDS, keep_discard_replay
 from trialframe.schemas import COMPLETED
 from trialframe.session import durable, scratch_scope
 from trialframe.sources.writers import publish, read_version, version_before
@@ -21,7 +20,7 @@ from trialframe.streaming.feed import drain_batches
 _BEST = "project string, objective string, metric_value double"
 
 
-def decide_batches(root: str, max_group_rows: int = MAX_GROUP_ROWS):
+def decide_batches(root: str, bucket_seconds: int = BUCKET_SECONDS):
     """foreachBatch function: decide each run of a batch, update the bests."""
 
     def decide(batch_runs: DataFrame, batch: int) -> None:
@@ -47,7 +46,7 @@ def decide_batches(root: str, max_group_rows: int = MAX_GROUP_ROWS):
             )
         )
         decisions = keep_discard_replay(
-            seeds.unionByName(arrived), max_group_rows=max_group_rows
+            seeds.unionByName(arrived), bucket_seconds=bucket_seconds
         )
         out = f"{root}/decisions/batch={batch}"
         decisions.write.mode("overwrite").parquet(out)
@@ -71,13 +70,13 @@ def decide_batches(root: str, max_group_rows: int = MAX_GROUP_ROWS):
 
 
 def decide_stream(
-    runs: DataFrame, root: str, max_group_rows: int = MAX_GROUP_ROWS
+    runs: DataFrame, root: str, bucket_seconds: int = BUCKET_SECONDS
 ) -> DataFrame:
     """Decide all available runs and return the table of decisions.
 
     Runs are ordered by (completed_at, run_id) inside a micro-batch; batches
     count in order of arrival.
     """
-    drain_batches(runs, decide_batches(root, max_group_rows), root)
+    drain_batches(runs, decide_batches(root, bucket_seconds), root)
     spark = runs.sparkSession
     return spark.read.parquet(f"{root}/decisions").drop("batch")
