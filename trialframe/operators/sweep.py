@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Grid points that are aggregates of the same row.
-POINTS_PER_ROW = 32
+#: Grid points that are aggregates of the same row; more than some ten make the generated code too long.
+POINTS_PER_ROW = 8
 
 
 def _kind(values: list) -> T.DataType:
@@ -66,10 +66,11 @@ def sweep_aggregate(
     every = _literal(blocks, T.ArrayType(point))
     one = len(blocks) == 1
     block = F.lit(0) if one else F.col("_block")
-    wide = data if one else data.select("*", F.posexplode(every).alias("_block", "_points"))
+    # Only the block's number goes into the rows; its points stay in the literal.
+    wide = data if one else data.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(blocks) - 1))).alias("_block"))
 
     def cell(i: int) -> Column:
-        own = F.get(F.get(every, F.lit(0)) if one else F.col("_points"), F.lit(i))
+        own = F.get(F.get(every, block), F.lit(i))
         found = measures({n: own[n] for n in names})
         return F.struct(*[column.alias(name) for name, column in found.items()]).alias(f"_cell_{i}")
 
@@ -79,7 +80,7 @@ def sweep_aggregate(
     told = summed.select(block.alias("_block"), F.inline(rows))
     if not one:
         # Blocks that met no row have what the measures give on no rows.
-        none = data.where(F.lit(False)).select("*", F.lit(0).alias("_block"), F.get(every, F.lit(0)).alias("_points"))
+        none = data.where(F.lit(False)).withColumn("_block", F.lit(0))
         empty = none.agg(cells[0]).select(F.col("_cell_0").alias("_none"))
         spark = data.sparkSession
         all_rows = spark.range(len(blocks)).select(F.col("id").cast("int").alias("_block"), F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("_i"))
