@@ -12,6 +12,7 @@ from trialframe.operators import admission as a
 from trialframe.operators import leaderboard as lb
 from trialframe.operators.decisions import as_results
 from trialframe.plans.tables import runs
+from trialframe.session import durable
 from trialframe.sources.writers import append_results
 from trialframe.sources.readers import read_results
 
@@ -53,6 +54,21 @@ def test_one_project_reads_one_partition_without_rank_window(spark, stored):
     assert re.search(r"PartitionFilters: \[[^]]*project", text)
 
 
+def test_snapshot_reads_results_once_for_ranking_and_once_for_records(spark, stored, monkeypatch):
+    written = []
+    monkeypatch.setattr(lb, "durable", lambda df: written.append(plan(df)) or durable(df))
+    terms = spark.createDataFrame([(f"p{i}", "value", "minimize", i) for i in range(10)],
+                                  "name string, metric string, objective string, leaderboard_limit int")
+    snapshot = lb.leaderboard_snapshot(stored, terms)
+    board = written[0]
+    assert board.count("PartitionFilters") == 1  # one scan of the partitioned results
+    assert re.findall(r"ReadSchema: (\S+)", board)[0].find("config") < 0
+    windows = re.findall(r"Window \[row_number\(\) windowspecdefinition\(([^)]*)", board)
+    assert windows and all("pmod" in w or "_w" in w for w in windows)
+    assert re.search(r"partial_min\(", board) and re.search(r"partial_sum\(", board)
+    assert len(re.findall(r"PartitionFilters: \[[^]]*project", plan(snapshot))) <= 1
+
+
 def test_counters_aggregate_before_their_shuffle(spark, stored):
     text = plan(lb.status_counts(stored))
     assert "partial_count" in text and "Expand" not in text

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from py4j.protocol import Py4JJavaError
@@ -129,6 +130,35 @@ def test_publish_replaces_and_keeps_serving(spark, tmp_path):
     assert writers.version_before(spark, root, 1) == 0
 
 
+def test_no_update_of_publishers_at_the_same_time_is_lost(spark, tmp_path):
+    root = str(tmp_path / "board")
+    writers.republish(spark.range(1), root)
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(lambda n: writers.republish(spark.range(n), root), range(2, 8)))
+    marks = writers._published(spark, root)
+    versions = [v for v, _, _ in marks]
+    assert versions[-1] == 6 and len(set(versions)) == len(versions)
+    assert writers.read_version(spark, root, 6).count() in range(2, 8)
+
+
+def test_appended_results_are_evaluated_once(spark, tmp_path):
+    """Run ids made at random are the same in the check and in the write."""
+    path = str(tmp_path / "results")
+    rows = [("p", "minimize", f"f{i}", "r", "completed", 1.0) for i in range(50)]
+    writers.append_results(stored(spark, rows[:1]), path)
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            calls.add(batch.num_rows)
+            yield batch
+
+    frame = stored(spark, rows)
+    writers.append_results(frame.mapInArrow(seen, frame.schema), path)
+    assert calls.value == 50
+    assert readers.read_results(spark, path).count() == 50
+
+
 def test_artifacts_and_audit(spark, tmp_path):
     artifacts = spark.createDataFrame(
         [("a", "r1", {"k": "v"}), ("b", "r2", {"k": None})],

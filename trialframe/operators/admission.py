@@ -62,7 +62,8 @@ def admit(
     candidates and claims are formed.
     """
     asked = asked_keys(candidates)
-    done = _finished(results, asked).withColumn("_done", F.lit(True))
+    # Written: what follows is read more than once, the results are not.
+    done = durable(_finished(results, asked)).withColumn("_done", F.lit(True))
     asking = candidates.join(done, KEY, "left").select(
         *KEY, "ts", F.lit(1).alias("_kind"), "candidate_id",
         F.coalesce("_done", F.lit(False)).alias("_done"),

@@ -16,6 +16,8 @@ from trialframe.schemas import DISCARD, FAILED, RANKING_COLUMNS
 from trialframe.session import durable
 
 RUN_KEY = ["project", "fingerprint", "run_id"]
+#: Parts of a project that are ranked apart before their best rows meet.
+SALTS = 64
 
 
 def with_contract(results: DataFrame, contracts: DataFrame) -> DataFrame:
@@ -161,41 +163,74 @@ def leaderboard_snapshot(
 
     Objective and metric come from the contract.  A row whose metric_name is
     another metric is not ranked.  ``best`` is given even when the limit is 0.
+
+    One scan gives counters and ranking: rows are combined to one per
+    fingerprint, these are ranked within ``SALTS`` parts of a project, and a
+    project's aggregate holds its counters and at most ``deepest`` rows of each
+    part.  A second scan finds the records of the few ranked runs.
     """
     head = contracts.select(
         F.col("name").alias("project"), "metric", "objective", "leaderboard_limit"
     )
-    owned = results.drop("objective").join(
-        head.drop("leaderboard_limit"), "project", "inner"
-    )
-    other_metric = F.col("metric_name") != F.col("metric")
-    scoped = owned.withColumn(
-        "metric_value",
-        F.when(~F.coalesce(other_metric, F.lit(False)), F.col("metric_value")),
-    )
     if deepest is None:
         deepest = largest_limit(contracts)
-    rows = ranked(ranking_view(scoped), max(1, check_limit(deepest)))
+    deepest = max(1, check_limit(deepest))
+    narrow = tuple(c for c in row_columns or () if c not in ("fingerprint", "run_id"))
+    found = combined(results, contracts, narrow)
+    part = Window.partitionBy("project", F.pmod(F.xxhash64("fingerprint"), F.lit(SALTS))).orderBy(
+        F.col("best").isNull(), "best.m", "fingerprint"
+    )
+    entry = F.struct("best.m", "fingerprint", "best.run_id", *[f"best.{c}" for c in narrow])
+    near = (F.row_number().over(part) <= deepest) & F.col("best").isNotNull()
+    totals = (
+        found.withColumn("_entry", F.when(near, entry))
+        .groupBy("project")
+        .agg(
+            F.count(F.when(F.col("fingerprint").isNotNull(), F.col("best"))).alias("num_completed"),
+            *[F.sum(c).alias(c) for c in COUNTERS[1:]],
+            F.array_sort(F.collect_list("_entry")).alias("_top"),
+        )
+    )
+    wanted = F.greatest("leaderboard_limit", F.lit(1))
+    board = durable(head.join(totals, "project", "left").withColumn("_top", F.slice("_top", F.lit(1), wanted)))
+    entries = board.select("project", F.posexplode("_top").alias("rank", "_row")).select(
+        "project", (F.col("rank") + 1).alias("rank"), "_row.*"
+    )
     if row_columns is None:
         row_columns = tuple(c for c in results.columns if c != "project")
-        rows = results.join(rows.select(*RUN_KEY, "rank"), RUN_KEY)
-    entry = F.struct("rank", *row_columns)
-    board = (
-        rows.groupBy("project")
-        .agg(F.array_sort(F.collect_list(entry)).alias("_rows"))
+        entries = results.join(durable(entries.select(*RUN_KEY, "rank")), RUN_KEY)
+    rows = entries.groupBy("project").agg(
+        F.array_sort(F.collect_list(F.struct("rank", *row_columns))).alias("_rows")
     )
-    rows = F.coalesce(
-        F.col("_rows"), F.array().cast(board.schema["_rows"].dataType)
+    listed = F.coalesce(F.col("_rows"), F.array().cast(rows.schema["_rows"].dataType))
+    return board.drop("_top").join(rows, "project", "left").select(
+        "project", "metric", "objective",
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in COUNTERS],
+        F.slice(listed, F.lit(1), F.col("leaderboard_limit")).alias("top_k"),
+        F.get(listed, F.lit(0)).alias("best"),
     )
-    return (
-        head.join(status_counts(scoped), "project", "left")
-        .join(board, "project", "left")
-        .select(
-            "project", "metric", "objective",
-            *[F.coalesce(c, F.lit(0)).alias(c) for c in COUNTERS],
-            F.slice(rows, F.lit(1), F.col("leaderboard_limit")).alias("top_k"),
-            F.get(rows, F.lit(0)).alias("best"),
-        )
+
+
+def combined(results: DataFrame, contracts: DataFrame, carry: tuple[str, ...] = ("metric_value",)) -> DataFrame:
+    """One row per (project, fingerprint): its best row (``m``, ``run_id``, carried columns) and its counts.
+
+    Objective and metric are the contract's; rows of projects without one are
+    left out.  Rows are combined before they are shuffled.
+    """
+    terms = contracts.select(F.col("name").alias("project"), "metric", "objective")
+    scoped = results.drop("objective").join(terms, "project")
+    other = F.coalesce(F.col("metric_name") != F.col("metric"), F.lit(False))
+    ranks = is_rankable(F.col("status"))
+    scoped = scoped.withColumn("metric_value", F.when(~other, F.col("metric_value"))).withColumn(
+        "m", F.when(ranks, cost(F.col("objective"), F.col("metric_value")))
+    )
+    usable = F.col("metric_value").isNotNull() & ~F.isnan("metric_value")
+    best = F.struct("m", "run_id", *[c for c in carry if c not in ("m", "run_id")])
+    return scoped.groupBy("project", "fingerprint").agg(
+        F.min(F.when(F.col("m").isNotNull(), best)).alias("best"),
+        F.count_if(F.col("status") == DISCARD).alias("num_discarded"),
+        F.count_if(F.col("status") == FAILED).alias("num_failed"),
+        F.count_if(ranks & ~usable).alias("num_unrankable"),
     )
 
 

@@ -106,9 +106,9 @@ def code_round(
     arrived = ran.withColumn("metric_value", F.col("metric")).select(
         *history, F.lit(None).cast("string").alias("status"), F.lit(True).alias("is_code")
     )
-    decided = keep_discard_replay(
-        earlier.unionByName(arrived), max_group_rows=max_group_rows
-    ).select("project", "run_id", F.col("decision").alias("status"))
+    decided = keep_discard_replay(earlier.unionByName(arrived)).select(
+        "project", "run_id", F.col("decision").alias("status")
+    )
     error = decision_error(F.col("timed_out"), F.col("metric"))
     rows = code_results(
         ran.join(decided, ["project", "run_id"]).withColumn("error", error)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ def append_results(results: DataFrame, path: str) -> None:
     """Append immutable results.
 
     Rows whose (project, fingerprint, run_id) is stored already are skipped, so
-    a repeated call adds nothing.  Partitions are rebalanced before the write:
+    a repeated call adds nothing.  ``results`` is evaluated once.  Partitions are rebalanced before the write:
     a hot project is split over files, small ones share a task.  Inside a file
     rows are sorted by fingerprint, so row-group statistics serve key lookups.
     """
@@ -31,8 +32,10 @@ def append_results(results: DataFrame, path: str) -> None:
     fresh = results.dropDuplicates(RUN_KEY)
     try:
         stored = read_results(spark, path).select(*RUN_KEY)
-        # Keys of known size: few new rows do not shuffle the stored keys.
-        asked = durable(results.select(*RUN_KEY))
+        # Random run ids must not differ between the check and the write, and
+        # keys of known size let few new rows not shuffle the stored keys.
+        fresh = durable(fresh)
+        asked = fresh.select(*RUN_KEY)
         present = durable(stored.join(asked, RUN_KEY, "left_semi"))
         fresh = fresh.join(present, RUN_KEY, "left_anti")
     except AnalysisException as error:
@@ -83,6 +86,31 @@ def _published(spark: SparkSession, root: str) -> list[tuple[int, int, str]]:
     return sorted((int(name.partition("-")[0]), at, name) for name, at in found if name[0].isdigit())
 
 
+def _claim(spark: SparkSession, root: str) -> int:
+    """The next version, for this caller alone.
+
+    A version is taken by creating its claim, which fails if another caller
+    has: that one then tries the next.  Needs a file system whose creation of
+    an absent file is atomic.
+    """
+    files, place = _files(spark, f"{root}/claims")
+    taken = [int(x.getPath().getName()) for x in files.listStatus(place)] if files.exists(place) else []
+    version = max([*taken, *(v for v, _, _ in _published(spark, root))], default=-1) + 1
+    while True:
+        _, claim = _files(spark, f"{root}/claims/{version:012d}")
+        try:
+            files.create(claim, False).close()
+        except Py4JJavaError as error:
+            if not files.exists(claim):
+                raise error
+            version += 1
+            continue
+        for old in taken:
+            if old < version - 100 * KEPT_VERSIONS:
+                files.delete(_files(spark, f"{root}/claims/{old:012d}")[1], False)
+        return version
+
+
 def publish(snapshot: DataFrame, root: str, version: int) -> None:
     """Replace the snapshot: write a directory of its own, then mark it published.
 
@@ -133,10 +161,12 @@ def read_published(
 
 
 def republish(snapshot: DataFrame, root: str) -> DataFrame:
-    """Publish ``snapshot`` as the next version and return it as stored."""
+    """Publish ``snapshot`` as the next version and return it as stored.
+
+    Callers at the same time get versions of their own, so none is lost.
+    """
     spark = snapshot.sparkSession
-    last = latest_version(spark, root)
-    version = 0 if last is None else last + 1
+    version = _claim(spark, root)
     publish(snapshot, root, version)
     return read_version(spark, root, version)
 

@@ -16,9 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trialframe.functions.objective import cost, is_rankable
-from trialframe.operators.leaderboard import COUNTERS, largest_limit
-from trialframe.schemas import DISCARD, FAILED
+from trialframe.operators.leaderboard import COUNTERS, combined, largest_limit
 from trialframe.session import durable, scratch_scope
 from trialframe.sources.writers import publish, read_version, version_before
 from trialframe.streaming.feed import drain_batches
@@ -41,25 +39,6 @@ def _terms(contracts: DataFrame) -> DataFrame:
     return contracts.select(F.col("name").alias("project"), "metric", "objective", "leaderboard_limit")
 
 
-def _reduced(results: DataFrame, contracts: DataFrame) -> DataFrame:
-    """One row per (project, fingerprint): its best row and its counts."""
-    scoped = results.drop("objective").join(_terms(contracts).drop("leaderboard_limit"), "project")
-    other = F.coalesce(F.col("metric_name") != F.col("metric"), F.lit(False))
-    value = F.when(~other, F.col("metric_value"))
-    ranks = is_rankable(F.col("status"))
-    scoped = scoped.withColumn("metric_value", value).withColumn(
-        "m", F.when(ranks, cost(F.col("objective"), F.col("metric_value")))
-    )
-    usable = F.col("metric_value").isNotNull() & ~F.isnan("metric_value")
-    best = F.min(F.when(F.col("m").isNotNull(), F.struct("m", "run_id", "metric_value")))
-    return scoped.groupBy("project", "fingerprint").agg(
-        best.alias("best"),
-        F.count_if(F.col("status") == DISCARD).alias("num_discarded"),
-        F.count_if(F.col("status") == FAILED).alias("num_failed"),
-        F.count_if(ranks & ~usable).alias("num_unrankable"),
-    )
-
-
 def _seen(spark: SparkSession, root: str, batch: int) -> DataFrame:
     try:
         log = spark.read.schema("project string, fingerprint string, batch long").parquet(f"{root}/seen")
@@ -70,7 +49,8 @@ def _seen(spark: SparkSession, root: str, batch: int) -> DataFrame:
     return log.where(F.col("batch") < batch).drop("batch")
 
 
-def _top(rows: DataFrame, contracts: DataFrame) -> DataFrame:
+def _top(rows: DataFrame, contracts: DataFrame, deepest: int) -> DataFrame:
+    """The best rows of each project; ranks beyond any contract's limit are cut before the shuffle."""
     once = rows.groupBy("project", "fingerprint").agg(
         F.min(F.struct("m", "run_id", "metric_value")).alias("best")
     ).select("project", "fingerprint", "best.*")
@@ -78,6 +58,7 @@ def _top(rows: DataFrame, contracts: DataFrame) -> DataFrame:
     limits = _terms(contracts).select("project", F.greatest("leaderboard_limit", F.lit(1)).alias("limit"))
     return (
         once.withColumn("_rank", F.row_number().over(order))
+        .where(F.col("_rank") <= max(1, deepest))
         .join(limits, "project")
         .where(F.col("_rank") <= F.col("limit"))
         .groupBy("project")
@@ -87,11 +68,11 @@ def _top(rows: DataFrame, contracts: DataFrame) -> DataFrame:
 
 def merge_results(root: str, contracts: DataFrame):
     """foreachBatch function that folds a micro-batch of results into the board."""
-    largest_limit(contracts)  # refuses negative limits
+    deepest = largest_limit(contracts)
 
     def merge(results: DataFrame, batch: int) -> None:
         spark = results.sparkSession
-        fresh = durable(_reduced(results, contracts))
+        fresh = durable(combined(results, contracts))
         ranked = fresh.where("best is not null")
         new = ranked.select("project", "fingerprint").join(
             _seen(spark, root, batch), ["project", "fingerprint"], "left_anti"
@@ -110,7 +91,7 @@ def merge_results(root: str, contracts: DataFrame):
         rows = board.select("project", F.inline("top")).unionByName(
             ranked.select("project", "best.m", "fingerprint", "best.run_id", "best.metric_value")
         )
-        publish(totals.join(_top(rows, contracts), "project", "left"), f"{root}/board", batch)
+        publish(totals.join(_top(rows, contracts, deepest), "project", "left"), f"{root}/board", batch)
 
     def merge_and_clean(results: DataFrame, batch: int) -> None:
         with scratch_scope(results.sparkSession):
