@@ -43,6 +43,27 @@ def test_links_of_vectors(spark, monkeypatch, sizes):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_null_components_and_other_lengths_link_with_nothing(spark):
+    rows = [(1, [0.6, 0.8]), (2, [0.6, 0.8, None]), (3, [None, 0.6, 0.8]), (4, [0.6, 0.8]), (5, [None, None]), (6, [0.6, 0.8, 0.0])]
+    df = spark.createDataFrame([(k, v, 0) for k, v in rows], "vec_id long, embedding array<double>, label int")
+    out = {r.vec_id: r for r in vectors.near_duplicates(df).collect()}
+    assert [(out[k].n_links, out[k].component_id, out[k].kept) for k in range(1, 7)] == [
+        (1, 1, True), (0, 2, True), (0, 3, True), (1, 1, False), (0, 5, True), (0, 6, True),
+    ]
+
+
+@pytest.mark.parametrize("ids", [range(1, 121, 2), [99, 100, 101, 103]])
+def test_audit_asks_through_classes_and_of_other_ids(spark, ids):
+    """Id 100 equals 99; odd ids alone are audited by hash or all."""
+    df = spark.createDataFrame(
+        [(k, [1.0, 0.01 * (k // 2 if k < 99 else 50)], 0) for k in ids], "vec_id long, embedding array<double>, label int"
+    )
+    out = {r.vec_id: r for r in vectors.near_duplicates(df).collect()}
+    audited = {k: r for k, r in out.items() if r.audit_links is not None}
+    assert audited and all(r.audit_links == r.n_links for r in audited.values())
+    assert 100 not in out or 100 in audited
+
+
 def concentrated(spark):
     """Vectors of one label, of which a third lie near each other, and of a small label."""
     rng = np.random.default_rng(5)

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialframe.llm import graph
@@ -47,16 +47,23 @@ _ROWS = 4096
 _GROUP = ("label", "dim")
 
 
+def _finite() -> Column:
+    """Whether no component of ``v`` is null, NaN or infinite."""
+    return F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+
 def usable(vectors: DataFrame) -> DataFrame:
-    """Classes of equal vectors: ``label, dim, h1, h2, id, copies, vec`` (unit length, doubles)."""
+    """Classes of equal vectors: ``label, dim, h1, h2, id, copies, asked, vec`` (unit length, doubles).
+
+    ``asked``: whether a row of the class has an id that the audit takes.
+    """
     values = F.col("embedding").cast("array<double>")
-    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     largest = F.array_max(F.transform("v", lambda x: F.abs(x)))
     length = F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, x: a + x * x))
     return (
         vectors.select(F.col("vec_id").cast("long").alias("id"), "label", values.alias("v"))
         .where("id is not null and label is not null and v is not null and size(v) > 0")
-        .where(finite)
+        .where(_finite())
         .withColumn("big", largest)
         .where("big > 0")
         .select("id", "label", F.transform("v", lambda x: x / F.col("big")).alias("s"))
@@ -67,7 +74,10 @@ def usable(vectors: DataFrame) -> DataFrame:
             F.transform("s", lambda x: x / F.col("len")).alias("vec"),
         )
         .groupBy(*_GROUP, "h1", "h2")
-        .agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("vec").alias("vec"))
+        .agg(
+            F.min("id").alias("id"), F.count("*").alias("copies"),
+            F.max(F.col("id") % AUDIT_EVERY == 0).alias("asked"), F.first("vec").alias("vec"),
+        )
     )
 
 
@@ -295,19 +305,29 @@ def _find(members: DataFrame, threshold: float, degree: int, beam: int) -> DataF
     return durable(_grouped(rows).mapInArrow(_search(threshold, beam), "id long, links long, root long"))
 
 
-def audited_links(members: DataFrame, threshold: float = THRESHOLD, every: int = AUDIT_EVERY) -> DataFrame:
-    """``(id, audit_links)`` by brute force, for the ids divisible by ``every``, against all rows.
+def _asked(classes: DataFrame) -> DataFrame:
+    """``id, asked``: the classes to audit; if no id is divisible, others by hash, and of a small table all."""
+    mine = classes.select("id", "asked")
+    by_hash = F.pmod(F.xxhash64("id"), F.lit(AUDIT_EVERY)) == 0
+    for ask in (F.col("asked"), by_hash):
+        if not mine.where(ask).isEmpty():
+            return mine.select("id", ask.alias("asked"))
+    return mine.select("id", F.lit(True).alias("asked"))
+
+
+def audited_links(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``(id, audit_links)`` by brute force, of the classes ``asked`` for, against all rows.
 
     Queries of a label form blocks of ``_QUERIES`` and its vectors chunks of
     ``_ROWS``; a task compares one block with one chunk.
     """
     size = members.groupBy(*_GROUP).agg(
-        F.ceil(F.count_if(F.col("id") % every == 0) / _QUERIES).cast("int").alias("blocks"),
+        F.ceil(F.count_if("asked") / _QUERIES).cast("int").alias("blocks"),
         F.ceil(F.count("*") / _ROWS).cast("int").alias("chunks"),
     )
-    rows = members.select(*_GROUP, "id", "copies", "vec").join(size.where("blocks > 0"), list(_GROUP))
+    rows = members.select(*_GROUP, "id", "copies", "vec", "asked").join(size.where("blocks > 0"), list(_GROUP))
     hashed = F.xxhash64("id")
-    asked = rows.where(F.col("id") % every == 0).select(
+    asked = rows.where("asked").select(
         "*", F.pmod(hashed, F.col("blocks")).alias("i"), F.explode(F.expr("sequence(0, chunks - 1)")).alias("j"), F.lit(1).alias("ask")
     )
     held = rows.select(
@@ -340,8 +360,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     label link with nothing; a null vec_id also has a null component and is
     kept.  Rows that share a vec_id count as one vector.  No rows give no rows.
 
-    ``audit_links`` is the number of links by brute force of every hundredth
-    id (of the smallest id of equal vectors), else null.  Where less than
+    ``audit_links`` is the number of links by brute force of the rows whose id is
+    divisible by ``AUDIT_EVERY`` (without any, of others by hash; of a small table
+    of all), and of the smallest id equal to such a row, else null.  Where less than
     ``RECALL`` of these were found, over all links or on average over the ids,
     vectors are dealt to twice as many shards, the graph is built and searched
     again with twice the degree and beam, and then again; if that does not help,
@@ -350,7 +371,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     classes = durable(usable(vectors))
     centres = centroids(classes, threshold)
     members = durable(_shards(classes, centres))
-    truth = durable(audited_links(members, threshold))
+    truth = durable(audited_links(members.join(_asked(classes), "id"), threshold))
     copies = classes.select("id", "copies")
     for factor in (1, 2, 4):
         if factor > 1:
@@ -374,28 +395,32 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
         .join(truth.join(copies.groupBy("id").agg(F.max("copies").alias("c")), "id").select(
             "id", (F.col("audit_links") + F.col("c") - 1).alias("audit_links")), "id", "left")
         .select(
-            F.col("label").alias("__label"), F.col("h1").alias("__h1"), F.col("h2").alias("__h2"),
+            F.col("label").alias("__label"), F.col("dim").alias("__dim"), F.col("h1").alias("__h1"), F.col("h2").alias("__h2"),
             F.col("id").alias("__class"), "copies", "links", "component", "audit_links",
         )
     )
     values = F.col("embedding").cast("array<double>")
     largest = F.array_max(F.transform("v", lambda x: F.abs(x)))
-    scaled = F.when(largest > 0, F.transform("v", lambda x: x / F.col("big")))
+    # Hashes skip null components: only vectors that are compared get any.
+    scaled = F.when(F.col("fit") & (F.col("big") > 0), F.transform("v", lambda x: x / F.col("big")))
     rows = (
         vectors.select(F.col("vec_id").cast("long"), "label", values.alias("v"))
-        .withColumn("big", largest)
+        .withColumns({"big": largest, "fit": _finite()})
         .select("vec_id", "label", scaled.alias("s"))
-        .select("vec_id", "label", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit("~"), "s").alias("h2"))
+        .select(
+            "vec_id", "label", F.size("s").alias("dim"), F.when(F.col("s").isNotNull(), F.xxhash64("s")).alias("h1"),
+            F.xxhash64(F.lit("~"), "s").alias("h2"),
+        )
     )
     same = (
         (F.col("label") == F.col("__label")) & (F.col("h1") == F.col("__h1")) & (F.col("h2") == F.col("__h2"))
-        & F.col("vec_id").isNotNull()
+        & (F.col("dim") == F.col("__dim")) & F.col("vec_id").isNotNull()
     )
     return rows.join(by_class, same, "left").select(
         "vec_id",
         (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"),
         F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "__class", "vec_id")).alias("component_id"),
-        F.when(F.col("vec_id") == F.col("__class"), F.col("audit_links")).alias("audit_links"),
+        F.when((F.col("vec_id") == F.col("__class")) | (F.col("vec_id") % AUDIT_EVERY == 0), F.col("audit_links")).alias("audit_links"),
     ).select(
         "vec_id", "n_links", "component_id",
         F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"), "audit_links",
