@@ -80,6 +80,16 @@ def plain(rows):
     )
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.one_of(st.text(max_size=80), st.text(st.sampled_from(list("ab'sé1.\n\t \u00a0\u180e\u200b\u3000\x1c\x85▁<s>")), max_size=30)))
+def test_units_encode_as_whole_texts(text):
+    assert BOTH.cuts
+    whole = BOTH.whole([text])[0]
+    assert BOTH.encode([text]) == [whole and tuple(x.tobytes() for x in whole)]
+    a, b = tokens(text)
+    assert whole is None and not a or [x[0] for x in a] == whole[0].tolist() and [x[0] for x in b] == whole[1].tolist()
+
+
 @pytest.mark.parametrize("hot", [1 << 18, 40, 0])
 def test_documents_equal_plain(spark, hot):
     rows = awkward() + corpus(n=30) + [(500 + k, x, "en", "a", 1) for k, x in enumerate(ODD)]

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,14 @@ HOT_PAIRS = 1 << 18
 #: Products are made in slices of about so many terms.
 TERMS = 1 << 21
 _B_BITS = 32
+#: Units (words with what follows up to the next cut) whose ids a task keeps; all go when more come.
+_UNITS = 400_000
+_LONGEST = 48
+#: Units encoded as one text.
+_CHUNK = 256
+#: A blank after something solid.  White space by any library's account is not solid.
+_CUT = re.compile("(?<![\\s\u180e\u200b\u2060\ufeff]) ")
+_BLANK = "\u2581"
 
 
 class Csr:
@@ -99,11 +108,71 @@ class Tokenizers:
         digits = [str(k).encode() for k in range(max(size, len(pieces)))]
         marked = [mark + x for mark in (b"", b";", b",", b"|") for x in digits]
         self.written, self.ids = np.array(marked, dtype=object), len(digits)
-
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids by both of every text after a space."""
+        # Without pieces that go on after a blank, and without rewriting, no token of b reaches over a cut.
+        free = not any(_BLANK in x.lstrip(_BLANK) for x in pieces)
+        self.cuts = free and self.b.normalize("\ufb01  \u2460 e\u0301") == f"{_BLANK}\ufb01{_BLANK * 2}\u2460{_BLANK}e\u0301"
+        #: Ids (32-bit) by both of a unit after a space, and the units that do not come back.
+        self.unit_a: dict[str, bytes] = {}
+        self.unit_b: dict[str, bytes] = {}
+        self.bad = {""}
+
+    def whole(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """Ids by both of every text after a space; None unless they join to its bytes."""
         a = [x.ids for x in self.a.encode_batch_fast([" " + x for x in texts], add_special_tokens=False)]
-        return a, self.b.encode(texts, num_threads=1)
+        out: list[tuple[np.ndarray, np.ndarray] | None] = []
+        for text, left, right in zip(texts, a, self.b.encode(texts, num_threads=1), strict=True):
+            data = (" " + text).encode()
+            same = b"".join(map(self.a_bytes.__getitem__, left)) == data == b"".join(map(self.b_bytes.__getitem__, right))
+            out.append((np.array(left, "<i4"), np.array(right, "<i4")) if same and text else None)
+        return out
+
+    def _keep(self, unit: str, ids: tuple[np.ndarray, np.ndarray] | None) -> None:
+        if ids is None:
+            self.bad.add(unit)
+        self.unit_a[unit], self.unit_b[unit] = (x.tobytes() for x in ids) if ids else (b"", b"")
+
+    def learn(self, units: list[str]) -> None:
+        """Encode new units, many in one text; those of a text that does not come back, one by one."""
+        solid = [u for u in units if _CUT.search(u + " ", max(0, len(u)))]
+        chunks = [solid[k : k + _CHUNK] for k in range(0, len(solid), _CHUNK)]
+        single = sorted(set(units) - set(solid))
+        for chunk, ids in zip(chunks, self.whole([" ".join(c) for c in chunks]), strict=True):
+            if ids is None:
+                single += chunk
+                continue
+            end = np.cumsum([1 + len(u.encode()) for u in chunk])
+            for kept, of_id, known in zip(ids, (self.a_length, self.b_length), (self.unit_a, self.unit_b), strict=True):
+                at = np.concatenate([[0], 4 * np.searchsorted(np.cumsum(of_id[kept]), end) + 4]).tolist()
+                raw = kept.tobytes()
+                known.update(zip(chunk, map(raw.__getitem__, map(slice, at[:-1], at[1:])), strict=True))
+        for unit, ids in zip(single, self.whole(single), strict=True):
+            self._keep(unit, ids)
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Ids by both of every text after a space; None unless they join to its bytes.
+
+        Neither tokenizer has a token that holds a blank after something
+        solid, so texts are cut there and equal units are encoded once.  A text
+        with a unit that does not come back is encoded whole.
+        """
+        cut = [_CUT.split(x) if self.cuts and _BLANK not in x else [""] for x in texts]
+        new = {u for units in cut for u in units}
+        if len(self.unit_a) + len(new) > _UNITS:
+            self.unit_a.clear()
+            self.unit_b.clear()
+            self.bad = {""}
+        new = [u for u in new if u and u not in self.unit_a]
+        self.learn(new)
+        a, b = self.unit_a.__getitem__, self.unit_b.__getitem__
+        out = [
+            (b"".join(map(a, units)), b"".join(map(b, units))) if self.bad.isdisjoint(units) else None for units in cut
+        ]
+        for unit in (u for u in new if len(u) > _LONGEST):
+            del self.unit_a[unit], self.unit_b[unit]
+        odd = [k for k, ids in enumerate(out) if ids is None and texts[k]]
+        for k, ids in zip(odd, self.whole([texts[k] for k in odd]), strict=True):
+            out[k] = tuple(x.tobytes() for x in ids) if ids else None
+        return out
 
 
 class Aligned:
@@ -111,27 +180,29 @@ class Aligned:
 
     def __init__(self, both: Tokenizers, texts: list[bytes]) -> None:
         self.both, self.n = both, len(texts)
-        a, b = both.encode([x.decode() for x in texts])
-        good = [
-            k for k, x in enumerate(texts)
-            if x and b"".join(map(both.a_bytes.__getitem__, a[k])) == b" " + x == b"".join(map(both.b_bytes.__getitem__, b[k]))
-        ]
+        ids = both.encode([x.decode() for x in texts])
+        good = [k for k, x in enumerate(ids) if x is not None]
         self.good = np.array(good, np.int64)
-        self.a = np.array([t for k in good for t in a[k]], np.int64)
-        self.b = np.array([t for k in good for t in b[k]], np.int64)
+        self.a, self.b = (np.frombuffer(b"".join(ids[k][side] for k in good), "<i4").astype(np.int64) for side in (0, 1))
         #: Texts follow each other; both kinds of tokens end where a text ends.
         self.a_matrix, self.b_matrix = Csr.spans(both.a_length[self.a]), Csr.spans(both.b_length[self.b])
         self.a_end, self.b_end = self.a_matrix.at[1:], self.b_matrix.at[1:]
         self.text_end = np.cumsum([1 + len(texts[k]) for k in good], dtype=np.int64)
-        self.cut = np.intersect1d(self.a_end, self.b_end, assume_unique=True)
-        self.a_group, self.b_group = np.searchsorted(self.cut, self.a_end), np.searchsorted(self.cut, self.b_end)
-
-    def text_of(self, end: np.ndarray) -> np.ndarray:
-        """The text (of the block) in which a token or group ends."""
-        return self.good[np.searchsorted(self.text_end, end)]
+        ends = np.zeros((2, self.a_matrix.width + 1), bool)
+        ends[0, self.a_end], ends[1, self.b_end] = True, True
+        both_end = ends[0] & ends[1]
+        self.cut = np.flatnonzero(both_end)
+        self.a_group, self.b_group = (np.cumsum(x) - x for x in (both_end[self.a_end], both_end[self.b_end]))
 
     def count(self, end: np.ndarray) -> np.ndarray:
-        return np.bincount(self.text_of(end), minlength=self.n)
+        """How many of the ascending ends are in each text of the block."""
+        out = np.zeros(self.n, np.int64)
+        out[self.good] = np.diff(np.searchsorted(end, self.text_end, side="right"), prepend=0)
+        return out
+
+    def text_of(self, end: np.ndarray) -> np.ndarray:
+        """The text in which each of the ascending ends is."""
+        return np.repeat(np.arange(self.n), self.count(end))
 
     def overlaps(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """``(A token, B token, common bytes)``."""
@@ -156,13 +227,15 @@ class Aligned:
         out: list[bytes | None] = [None] * self.n
         if not len(self.a):
             return out
-        size, group = self.both.ids, np.arange(len(self.cut))
+        size = self.both.ids
         a_first = np.diff(self.a_group, prepend=-1) > 0
         b_first = np.diff(self.b_group, prepend=-1) > 0
-        opens = np.isin(np.concatenate([[0], self.a_end[:-1]]), np.concatenate([[0], self.text_end]))
+        a_last, b_start = np.flatnonzero(np.diff(self.a_group, append=len(self.cut))), np.flatnonzero(b_first)
+        opens = np.zeros(len(self.a), bool)
+        opens[np.concatenate([[0], np.searchsorted(self.a_end, self.text_end[:-1], side="right")])] = True
         sequence = np.empty(len(self.a) + len(self.b), np.int64)
-        a_at = np.arange(len(self.a)) + np.searchsorted(self.b_group, group)[self.a_group]
-        b_at = np.arange(len(self.b)) + np.searchsorted(self.a_group, group, side="right")[self.b_group]
+        a_at = np.arange(len(self.a)) + b_start[self.a_group]
+        b_at = np.arange(len(self.b)) + a_last[self.b_group] + 1
         sequence[a_at] = self.a + size * np.where(opens, 0, np.where(a_first, 1, 2))
         sequence[b_at] = self.b + size * np.where(b_first, 3, 2)
         parts = self.both.written[sequence].tolist()
