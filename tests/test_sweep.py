@@ -168,3 +168,46 @@ def test_grid_and_seeds(spark):
     assert grid.distinct().count() == 6
     seeds = s.expand_seeds(base, contract_table(spark, ("p", "minimize", 1)))
     assert sorted(r.seed for r in seeds.collect()) == [7, 13, 21, 42]
+
+
+def test_own_history_is_whole_ordered_and_lazy(spark):
+    asked = spark.createDataFrame(
+        [("p", "a", '{"x": 1}'), ("p", "a", '{"x": 2}'), ("p", "b", '{"x": 3}'), (None, "a", '{"x": 4}'), ("p", "c", "no json")],
+        "project string, fingerprint string, config string")
+    stored = spark.createDataFrame(
+        [("p", "a", f"r{i}", ["completed", "failed"][i % 2], None if i % 2 else float(i), at(100 - i)) for i in range(30)]
+        + [(None, "a", "r0", "keep", 7.0, at(1)), ("q", "b", "r1", "keep", 9.0, at(1))],
+        "project string, fingerprint string, run_id string, status string, metric_value double, completed_at timestamp",
+    ).repartition(4)
+
+    def evaluate(config, prior):
+        if config["x"] == 2:
+            return {"metric_name": "first", "metric_value": float(next(prior)["run_id"][1:]), "status": "completed"}
+        seen = list(prior)
+        assert seen == sorted(seen, key=lambda r: (r["completed_at"], r["run_id"]))
+        return {"metric_name": str(sum(r["status"] == "failed" for r in seen)), "metric_value": len(seen),
+                "status": "completed", "artifact_payload": {"n": len(seen)}}
+
+    rows = {r.config: r for r in e.evaluate_with_own_history(asked, stored, evaluate).collect()}
+    assert (rows['{"x": 1}'].metric_name, rows['{"x": 1}'].metric_value) == ("15", 30.0)
+    assert rows['{"x": 2}'].metric_value == 29.0
+    assert (rows['{"x": 3}'].metric_value, rows['{"x": 4}'].metric_value) == (0.0, 1.0)
+    assert rows["no json"].status == "failed" and rows["no json"].error.startswith("JSONDecodeError")
+    assert rows['{"x": 1}'].artifact_payload == {"n": "30"}
+
+
+def test_round_shows_the_function_a_reduction_of_all_results(spark):
+    asked = spark.createDataFrame(
+        [("p", "minimize", "new", '{"x": 1}', at(50), 1)],
+        "project string, objective string, fingerprint string, config string, ts timestamp, candidate_id long")
+    stored = results(spark, [("p", "minimize", f"f{i}", f"r{i}", "failed" if i % 3 else "completed", float(i)) for i in range(9)])
+    none = spark.createDataFrame([], "project string, fingerprint string, claimed_at timestamp, expires_at timestamp")
+
+    def reduce(rows):
+        return rows.groupBy("project").agg(F.count_if(F.col("status") == "failed").alias("n_failed"))
+
+    def evaluate(config, prior):
+        return {"metric_name": "loss", "metric_value": prior[0]["n_failed"], "status": "completed"}
+
+    out = config_round(asked, stored, none, contract_table(spark, ("p", "minimize", 3)), evaluate, reduce)
+    assert [r.metric_value for r in out["results"].collect()] == [6.0]

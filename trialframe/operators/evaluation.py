@@ -9,8 +9,10 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +20,7 @@ from pyspark.sql import types as T
 from trialframe.functions.fingerprints import canonical_json
 from trialframe.operators.decisions import as_results
 from trialframe.schemas import FAILED
+from trialframe.session import durable
 
 Evaluate = Callable[[dict, list], dict]
 
@@ -108,6 +111,63 @@ def evaluate_configs(
     return configs.mapInPandas(run, schema)
 
 
+def evaluate_with_own_history(
+    configs: DataFrame,
+    results: DataFrame,
+    evaluate: Callable[[dict, Iterator[dict]], dict],
+    keys: tuple[str, ...] = ("project", "fingerprint"),
+    order: tuple[str, ...] = ("completed_at", "run_id"),
+) -> DataFrame:
+    """Add the outcome of ``evaluate(config, prior)`` to each row of ``configs``.
+
+    ``prior`` is an iterator over *all* results of the config's own ``keys``,
+    failed and discarded ones and all fields included, as dicts in ascending
+    ``order``.  Only results of asked keys are shuffled; each config and its
+    history stream past the function in sorted order, so a task holds one Arrow
+    batch however long the history is.  The function need not read it all.
+    """
+    own = list(configs.schema.fields)
+    names, fields = [f.name for f in own], results.columns
+    schema = T.StructType(own + _EVALUATED.fields)
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(schema)
+    # Numbered once: a lost executor must not deal other numbers.
+    asked = durable(configs.withColumn("_row", F.monotonically_increasing_id()))
+    config = asked.select("_row", F.lit(0).alias("_kind"), F.struct(*names).alias("_config"))
+    wanted = asked.select("_row", *[F.col(k).alias(f"_key_{k}") for k in keys])
+    same = [results[k].eqNullSafe(wanted[f"_key_{k}"]) for k in keys]
+    history = results.join(wanted, same).select(
+        "_row", F.lit(1).alias("_kind"), F.struct(*[results[c] for c in fields]).alias("_result")
+    )
+    sequence = [F.col(f"_result.{c}") for c in order]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*[c.to_pylist() for c in batch.columns], strict=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in groupby(rows(batches), key=lambda r: r[0]):
+            _, config, _ = next(group)
+            started = datetime.now(timezone.utc)
+            row = _outcome(evaluate, config["config"], (result for _, _, result in group))
+            row |= {"started_at": started, "completed_at": datetime.now(timezone.utc)}
+            if row["artifact_payload"] is not None:
+                row["artifact_payload"] = list(row["artifact_payload"].items())
+            values = [config[n] for n in names] + [row[n] for n in _EVALUATED.names]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([v], f.type) for v, f in zip(values, arrow, strict=True)], names=arrow.names
+            )
+
+    return (
+        config.unionByName(history, allowMissingColumns=True)
+        .repartition("_row")
+        .sortWithinPartitions("_row", "_kind", *sequence)
+        .select("_row", "_config", "_result")
+        .mapInArrow(run, schema)
+    )
+
+
 def with_reduced_history(
     configs: DataFrame, results: DataFrame, reduce: Callable[[DataFrame], DataFrame]
 ) -> DataFrame:
@@ -169,6 +229,7 @@ def config_results(evaluated: DataFrame, contracts: DataFrame) -> DataFrame:
 
 def artifact_rows(evaluated: DataFrame) -> DataFrame:
     """Artifacts of successful runs as one open map; user keys override."""
+    # The fields of an artifact record.
     base_columns = (
         "agent_id", "branch", "completed_at", "config", "fingerprint",
         "metric_name", "metric_value", "run_id", "started_at",

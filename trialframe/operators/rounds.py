@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from trialframe.operators.decisions import (
 )
 from trialframe.operators.evaluation import (
     Evaluate, artifact_rows, config_results, evaluate_configs, with_history,
+    with_reduced_history,
 )
 from trialframe.operators.leaderboard import leaderboard_snapshot
 from trialframe.operators.ordered import MAX_GROUP_ROWS
@@ -26,9 +29,13 @@ def config_round(
     claims: DataFrame,
     contracts: DataFrame,
     evaluate: Evaluate,
+    reduce: Callable[[DataFrame], DataFrame] | None = None,
 ) -> dict[str, DataFrame]:
     """One round: admit → evaluate → add results → leaderboard.
 
+    The user's function sees the project's best rows, or with ``reduce`` what
+    that makes of all results, failed and discarded ones and all fields included.
+
     Only accepted candidates reach the user's function: the cheap checks come
     before the Python stage.  Evaluated rows are written once, since their run
     ids and times must not change when a lost executor recomputes them.
@@ -37,10 +44,12 @@ def config_round(
     keys = ["project", "fingerprint", "ts", "candidate_id"]
     admitted = admit(candidates, results, claims)
     accepted = admitted.where("accepted").select(*keys)
-    asked = with_history(
-        candidates.join(accepted, keys, "left_semi"),
-        leaderboard_snapshot(results, contracts, ("fingerprint", "run_id", "metric_value")),
-    )
+    asked = candidates.join(accepted, keys, "left_semi")
+    if reduce is None:
+        best = leaderboard_snapshot(results, contracts, ("fingerprint", "run_id", "metric_value"))
+        asked = with_history(asked, best)
+    else:
+        asked = with_reduced_history(asked, results, reduce)
     tasks = spark.sparkContext.defaultParallelism
     evaluated = durable(
         evaluate_configs(asked, evaluate, tasks).withColumn("run_id", new_run_id())
