@@ -11,8 +11,11 @@ from trialframe.plans.registry import query, with_runs
 from trialframe.plans.tables import (
     beats, candidates, claims, contracts, finished, runs,
 )
+from trialframe.session import new_scratch
+from trialframe.store import TrialStore
 
 _AS_OF = "2024-01-15"
+_EARLY = "2024-01-05"
 
 
 def moment(text: str):
@@ -108,7 +111,7 @@ def lease_event_effects(spark, sf_dir):
     return l.event_effects(lease_log(runs(spark, sf_dir)))
 
 
-@query("lease_states", with_runs(_LEASE_LOG + f"""
+_LEASES = _LEASE_LOG + """
 , marked AS (
   SELECT *, CASE WHEN kind = 'claim' THEN 1
     WHEN kind = 'refresh' AND ts >= max(CASE WHEN kind <> 'release' THEN expires END)
@@ -125,6 +128,10 @@ leases AS (
     min(ts) FILTER (kind = 'release') AS released_at,
     count(*) FILTER (kind <> 'release') AS beats
   FROM numbered GROUP BY project, fingerprint, lease)
+"""
+
+
+@query("lease_states", with_runs(_LEASES + f"""
 SELECT project, fingerprint, agent_id, lease_start,
   CASE WHEN released_at < expires THEN released_at ELSE expires END AS lease_end, beats,
   CASE WHEN released_at < expires THEN 'released'
@@ -134,6 +141,40 @@ def lease_states(spark, sf_dir):
     return l.lease_states(lease_log(runs(spark, sf_dir)), moment(_AS_OF))
 
 
+@query("store_admission", with_runs(_LEASES + f"""
+, live AS (
+  SELECT project, fingerprint, lease_start, expires FROM leases
+  WHERE NOT coalesce(released_at < expires, false) AND expires > TIMESTAMP '{_AS_OF}'),
+judged AS (
+  SELECT c.project, c.fingerprint, c.completed_at AS ts, c.event_id AS candidate_id,
+    EXISTS (SELECT 1 FROM runs f WHERE f.event_type = 'purchase' AND f.project = c.project
+            AND f.fingerprint = c.fingerprint AND f.completed_at < TIMESTAMP '{_EARLY}') AS done,
+    EXISTS (SELECT 1 FROM live v WHERE v.project = c.project AND v.fingerprint = c.fingerprint
+            AND v.lease_start <= c.completed_at AND v.expires > c.completed_at) AS leased
+  FROM runs c WHERE c.event_type = 'view' AND c.completed_at >= TIMESTAMP '{_AS_OF}')
+SELECT project, fingerprint, candidate_id,
+  CASE WHEN done THEN 'completed' WHEN leased THEN 'claimed'
+    WHEN row_number() OVER (PARTITION BY project, fingerprint, done, leased
+                            ORDER BY ts, candidate_id) = 1 THEN 'accepted'
+    ELSE 'claimed' END AS reason
+FROM judged"""))
+def store_admission(spark, sf_dir):
+    """A store's life: claims, refreshes, releases and results are written, then candidates asked."""
+    store = TrialStore(spark, new_scratch(spark, "store"), contracts(spark, sf_dir))
+    log = lease_log(runs(spark, sf_dir)).withColumns(
+        {"event_id": F.format_string("%012x", "event_id"), "ts": F.col("ts").cast("timestamp"),
+         "ttl_seconds": F.col("ttl_seconds").cast("double")}
+    )
+    store.record_lease_events(log)
+    done = finished(spark, sf_dir).where(F.col("completed_at") < moment(_EARLY))
+    store.write_results(d.as_results(done))
+    asked = candidates(spark, sf_dir).where(F.col("ts") >= moment(_AS_OF))
+    decided = store.admit(
+        asked.withColumn("ts", F.col("ts").cast("timestamp")), F.lit(_AS_OF).cast("timestamp")
+    )
+    return decided.select("project", "fingerprint", "candidate_id", "reason")
+
+
 @query("completed_semi", with_runs("""
 SELECT project, fingerprint, candidate_id FROM flagged WHERE done"""))
 def completed_semi(spark, sf_dir):
