@@ -9,6 +9,7 @@ from trialframe.schemas import RANKABLE_STATUSES
 
 
 def _unsupported(objective: Column, as_type: str) -> Column:
+    # Fixed value: the error text that callers match.
     shown = F.coalesce(objective, F.lit("NULL"))
     return F.raise_error(
         F.concat(F.lit("Unsupported objective: "), shown)

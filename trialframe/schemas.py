@@ -47,9 +47,6 @@ CLAIM_JSON_SCHEMA = T.StructType(
     _CLAIM_TEXT + _fields(T.DoubleType(), "claimed_at", "expires_at")
 )
 
-#: Large text columns.  Ranking and admission never read them.
-WIDE_COLUMNS = ("config", "description", "diff")
-
 #: Columns the ranking needs, and nothing more.
 RANKING_COLUMNS = (
     "project", "objective", "fingerprint", "run_id", "status",
