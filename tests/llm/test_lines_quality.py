@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from tests.llm.data import corpus, documents
 from trialframe.llm import lines, quality
 
-WINDOW = re.compile(r"(?s)(?=(.{1,12}))\S{1,12}\s?")
+
+def shingles(line):
+    return {line[k : k + 12] for k in range(max(1, len(line) - 11))}
 
 
 def repeated(rows, hashes):
@@ -23,7 +25,7 @@ def repeated(rows, hashes):
             if line:
                 places[line].append((doc, hashes[doc], k))
     names = list(places)
-    sets = [set(WINDOW.findall(x)) for x in names]
+    sets = [shingles(x) for x in names]
     group = list(range(len(names)))
     for a, b in combinations(range(len(names)), 2):
         common = len(sets[a] & sets[b])
@@ -55,16 +57,37 @@ def test_near_copies_of_lines_without_blanks(spark):
     chinese = "".join(chr(rnd.randrange(0x4E00, 0x9000)) for _ in range(200))
     url = "https://example.org/" + "".join(rnd.choices("abcdefgh0123456789/_", k=180))
     texts = [x for t in (chinese, url) for x in (t, t[:5] + "x" + t[5:], t[1:])]
-    # Against all 12-character windows of a line.
-    for t in texts:
-        want = {t[k : k + 12] for k in range(len(t) - 11)}
-        got = spark.range(1).select(lines._shingles(F.lit(t)).alias("s")).first().s
-        assert set(got) == want
     rows = [(k, t, "zh", "a", len(t)) for k, t in enumerate(texts)]
     out = {r.doc_id: r.n_removed for r in lines.dedup_lines(documents(spark, rows)).collect()}
     assert out == {0: 0, 1: 1, 2: 1, 3: 0, 4: 1, 5: 1}
 
 
+def test_shingles_begin_at_every_character(spark):
+    rnd = random.Random(3)
+    texts = ["a", "short", "x" * 12, "x" * 200, *["".join(rnd.choices("ab é漢𝄞", k=n)) for n in (11, 12, 13, 74, 75, 76, 77, 140, 500)]]
+    rows = spark.createDataFrame([(t, sorted(shingles(t))) for t in texts], "line string, want array<string>")
+    want = F.array_sort(F.transform("want", lambda s: F.xxhash64(s)))
+    for r in rows.select("line", F.array_sort(lines._shingles("line")).alias("got"), want.alias("want")).collect():
+        assert r.got == r.want, r.line
+
+
+def test_recall_on_short_lines(spark):
+    # Lines of 4 to 10 shingles beside one that lacks its last character: similarity 0.75 to 0.9.
+    rnd = random.Random(11)
+    pairs = [("".join(rnd.choices("abcdefghijklmnop", k=n)), n) for n in range(16, 22) for _ in range(200)]
+    near = [(t, t[:-1]) for t, n in pairs if (n - 12) / (n - 11) >= 0.8]
+    docs = documents(spark, [(k, "\n".join(p), "en", "a", 0) for k, p in enumerate(near)])
+    removed = lines.dedup_lines(docs).agg(F.sum("n_removed")).first()[0]
+    assert len(near) >= 1000 and removed >= 0.995 * len(near)
+
+
+def test_a_very_long_line(spark):
+    rnd = random.Random(5)
+    text = "".join(rnd.choices("abcdefgh ", k=300_000))
+    docs = documents(spark, [(1, text, "en", "a", 0), (2, text[:-100] + "zz", "en", "a", 0), (3, "", "en", "a", 0), (4, None, "en", "a", 0)])
+    assert {r.doc_id: r.n_removed for r in lines.dedup_lines(docs).collect()} == {1: 0, 2: 1, 3: 0, 4: 0}
+
+
 def test_only_builtin_functions_run(spark, capsys):
     lines.dedup_lines(documents(spark, corpus(n=5))).explain()
     assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
