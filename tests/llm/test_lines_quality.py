@@ -137,3 +137,15 @@ def test_frequent_lines_by_host(spark):
     for k, r in cleaned.items():
         assert r.n_chars == (len(r.text) if out[k].n_words_removed else 0)
         assert len(r.text.split()) == out[k].n_words - out[k].n_words_removed
+
+
+def test_blocks_of_a_bucket_find_all_similar_classes(spark):
+    # 600 classes in one bucket, each a component of its own: three blocks, six rows.
+    rnd = random.Random(13)
+    base = ["".join(rnd.choices("abcdefghijklmnop ", k=80)).strip() for _ in range(300)]
+    texts = [x for t in base for x in (t, t[:-1])]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    line = spark.createDataFrame(rows, "node long, line string")
+    members = line.select(F.lit(1).cast("long").alias("key"), F.lit(600).alias("n"), "node", F.col("node").alias("component"))
+    found = lines._linked_components(members, line, 0.8).collect()
+    assert {(min(r.a, r.b), max(r.a, r.b)) for r in found} == {(2 * k, 2 * k + 1) for k in range(300)}
