@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import random
+import re
+import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -133,4 +135,49 @@ def test_licence_families(spark):
     rows += [(100 + k, x, "en", "a", 0) for k, x in enumerate(filler)]
     out = {r.doc_id: r for r in licences.licences(documents(spark, rows)).collect()}
     assert {k: out[k].families for k in notices} == {k: f for k, (_, f) in notices.items()}
-    assert all(out[100 + k].families == "" for k in range(80)) and out[1].n_paragraphs == 3
+    assert all(out[100 + k].families == "" for k in range(80)) and out[1].n_paragraphs == 2
+
+
+def test_wrapped_commented_and_edited_notices(spark):
+    rnd = random.Random(7)
+    prose = [" ".join(rnd.choices(["the", "work", "under", "public", "version", "free", "software", "notice", "of", "source"], k=30)) + "." for _ in range(60)]
+    whole = {
+        "mit": " ".join(licences.TEMPLATES["mit"][1:5]), "bsd": " ".join(licences.TEMPLATES["bsd"][:6]),
+        "gpl": " ".join(licences.TEMPLATES["gpl"][1:5]), "apache-2.0": " ".join(licences.TEMPLATES["apache-2.0"][1:5]),
+    }
+    rows, wanted = [(500 + k, x, "en", "a", 0) for k, x in enumerate(prose)], {}
+    for n, (family, text) in enumerate(whole.items()):
+        w = text.split(" ")
+        lines = textwrap.wrap(text, 60)
+        forms = [
+            text, "\n".join(lines), "\r\n".join(textwrap.wrap(text, 38)), "/*\n" + "\n".join(" * " + x for x in lines) + "\n */",
+            "\n".join("# " + x for x in lines),
+            # Here and there a word is another, which no template has.
+            "\n".join(textwrap.wrap(" ".join("edited" if k % 40 == 20 else x for k, x in enumerate(w)), 60)),
+            # Inside one long paragraph that no line end or blank line cuts.
+            " ".join(x.rstrip(".") for x in prose[:9]) + " " + text + " " + " ".join(x.rstrip(".") for x in prose[9:18]),
+        ]
+        for k, form in enumerate(forms):
+            rows.append((10 * n + k, f"{prose[k]}\n\n{form}\n\n{prose[k + 9]}", "en", "a", 0))
+            wanted[10 * n + k] = family
+    # Sentences without any phrase that labels a passage: learned from the templates, not from the labels.
+    hidden = {200: ("mit", 3), 201: ("bsd", 4), 202: ("gpl", 2), 203: ("apache-2.0", 3)}
+    for k, (family, i) in hidden.items():
+        sentence = licences.TEMPLATES[family][i]
+        plain = " ".join(re.findall(r"[a-z0-9]+", sentence.lower()))
+        assert not any(re.search(p, plain) for p in licences.PHRASES.values())
+        rows.append((k, "\n".join(textwrap.wrap(sentence, 50)), "en", "a", 0))
+        wanted[k] = family
+    rows += [rows[-1]] * 3
+    out = {}
+    for r in licences.licences(documents(spark, rows)).collect():
+        out.setdefault(r.doc_id, set()).add(r.families)
+    assert {k: out[k] for k in wanted} == {k: {f} for k, f in wanted.items()}
+    assert all(out[500 + k] == {""} for k in range(len(prose)))
+
+
+def test_the_sample_of_documents_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(licences, "DOCUMENTS", 100)
+    docs = documents(spark, [(k, f"text {k}", "en", "a", 0) for k in range(2000)] + [(-1, "same", "en", "a", 0)] * 2000)
+    drawn = licences._sampled(docs)
+    assert 20 <= drawn.count() <= 110 and drawn.subtract(docs.select("doc_id", "text")).count() == 0
