@@ -289,3 +289,25 @@ def test_log_files_are_not_as_many_as_users(spark, monkeypatch):
     got = {r.user_id: (r.metric_value, r.n_lines) for r in files.read_log_files(spark, "").collect()}
     assert got == {k: (float(k), 1) for k in range(300)}
     assert counted[0] <= files.LOG_GROUPS
+
+
+def test_many_configs_share_a_file(spark, monkeypatch, tmp_path):
+    from trialframe.plans import files
+
+    folder = tmp_path / "configs"
+    folder.mkdir()
+    (folder / "a.txt").write_text('{"a": 1,\n "b": 2}\x1e[{"a": 1}]\x1e{"a": 3}x\x1e{"a": 4}\x1e')
+    got = readers.read_config_files(spark, str(folder), separator=readers.SEPARATOR).collect()
+    assert sorted(r.config for r in got) == ['{"a": 1,\n "b": 2}', '{"a": 4}']
+
+    read, paths = readers.read_config_files, []
+
+    def reading(spark, path, **options):
+        paths.append(path)
+        return read(spark, path, **options)
+
+    monkeypatch.setattr(files, "table", _many_users(300))
+    monkeypatch.setattr(readers, "read_config_files", reading)
+    rows = files.read_config_files(spark, "").collect()
+    assert sorted(rows) == [(k, 1) for k in range(300) if k % 5]
+    assert spark.read.text(paths[0]).select("_metadata.file_name").distinct().count() <= 16

@@ -17,6 +17,8 @@ from trialframe.schemas import (
 )
 
 CORRUPT = "_corrupt_record"
+#: Stands behind every config of a file that holds many; valid JSON has no such character.
+SEPARATOR = "\x1e"
 
 
 def _json(
@@ -140,10 +142,14 @@ def config_objects(
 
 
 def read_config_files(
-    spark: SparkSession, path: str, on_error: str = "drop"
+    spark: SparkSession, path: str, on_error: str = "drop", separator: str | None = None
 ) -> DataFrame:
-    """One row per config file: ``path`` and ``config``."""
-    files = spark.read.text(path, wholetext=True)
+    """One row per config file: ``path`` and ``config``.
+
+    With ``separator`` a file holds many configs, each ended by it, and there
+    is one row per config.  Very many configs need no file each then.
+    """
+    files = spark.read.text(path, wholetext=separator is None, lineSep=separator)
     return config_objects(
         files.select(
             F.col("_metadata.file_path").alias("path"), F.col("value").alias("config")
