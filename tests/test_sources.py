@@ -311,3 +311,23 @@ def test_many_configs_share_a_file(spark, monkeypatch, tmp_path):
     rows = files.read_config_files(spark, "").collect()
     assert sorted(rows) == [(k, 1) for k in range(300) if k % 5]
     assert spark.read.text(paths[0]).select("_metadata.file_name").distinct().count() <= 16
+
+
+def test_artifacts_of_many_agents_share_directories(spark, tmp_path):
+    path = tmp_path / "artifacts"
+    agents = [f"a{k}" for k in range(60)] + [None, ""]
+    rows = [(a, f"r{k}", {"k": str(k)}) for a in agents for k in range(2)]
+    schema = "agent_id string, run_id string, artifact map<string,string>"
+    artifacts = spark.createDataFrame(rows, schema)
+    for _ in range(2):
+        writers.write_artifacts(artifacts.where("agent_id <> ''"), str(path), 4)
+    assert sorted(p.name for p in path.glob("*=*")) == [f"bucket={k}" for k in range(4)]
+    got = writers.read_artifacts(spark, str(path))
+    assert got.columns == ["run_id", "artifact", "agent_id"]
+    key = lambda r: (r[0], r[1])
+    found = sorted(((r.agent_id, r.run_id, r.artifact) for r in got.collect()), key=key)
+    assert found == sorted((r for r in rows if r[0]), key=key)
+    # Null and empty agents come back as they went.
+    writers.write_artifacts(artifacts.where("coalesce(agent_id, '') = ''"), str(tmp_path / "odd"), 4)
+    odd = writers.read_artifacts(spark, str(tmp_path / "odd")).select("agent_id").distinct().collect()
+    assert {r.agent_id for r in odd} == {None, ""}

@@ -47,8 +47,13 @@ def append_results(results: DataFrame, path: str) -> None:
     laid_out.write.mode("append").partitionBy("project").parquet(path)
 
 
-def write_artifacts(artifacts: DataFrame, path: str) -> None:
-    """One directory per agent, one JSON line per run; stored runs are skipped."""
+def write_artifacts(artifacts: DataFrame, path: str, buckets: int | None = None) -> None:
+    """One directory per agent, one JSON line per run; stored runs are skipped.
+
+    With ``buckets`` there are so many directories, and all runs of an agent
+    lie in that of its hash, in order of agents inside a file: very many
+    agents need no directory each.  A path keeps the layout it began with.
+    """
     keys = ["agent_id", "run_id"]
     fresh = artifacts.dropDuplicates(keys)
     try:
@@ -57,13 +62,18 @@ def write_artifacts(artifacts: DataFrame, path: str) -> None:
     except AnalysisException as error:
         if not _missing(error):
             raise
-    laid_out = fresh.hint("rebalance", "agent_id")
-    laid_out.write.mode("append").partitionBy("agent_id").json(path)
+    if buckets is None:
+        laid_out, place = fresh.hint("rebalance", "agent_id"), "agent_id"
+    else:
+        dealt, place = fresh.withColumn("bucket", F.pmod(F.hash("agent_id"), F.lit(buckets))), "bucket"
+        laid_out = dealt.hint("rebalance", "bucket").sortWithinPartitions("bucket", "agent_id")
+    laid_out.write.mode("append").partitionBy(place).json(path)
 
 
 def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
+    """Artifacts of either layout."""
     schema = "run_id string, artifact map<string,string>, agent_id string"
-    return spark.read.schema(schema).json(path)
+    return spark.read.schema(schema).json(path).select("run_id", "artifact", "agent_id")
 
 
 #: Versions of a snapshot that stay readable behind the newest one.
