@@ -86,3 +86,24 @@ def test_no_cross_joins_and_no_local_checkpoints():
         source = file.read_text()
         code = re.sub(r'"""[\s\S]*?"""', "", source)
         assert "crossJoin" not in code and "localCheckpoint" not in code, file
+
+
+def test_code_round_fetches_only_diffs_of_accepted_runs(spark, monkeypatch):
+    from trialframe.plans import deciding
+
+    outcomes, whole = [], deciding.code_round
+    monkeypatch.setattr(deciding, "code_round", lambda *given, **more: outcomes.append(whole(*given, **more)) or outcomes[0])
+    deciding.code_runs_round(spark, "/root/testdata/sf0.001")
+
+    def nodes(plan):
+        yield plan
+        for k in range(plan.children().size()):
+            yield from nodes(plan.children().apply(k))
+
+    plan = outcomes[0]["results"]._jdf.queryExecution().optimizedPlan()
+    outer = [n for n in nodes(plan) if n.nodeName() == "Join" and n.joinType().toString() == "LeftOuter"]
+    found = [n.right().toString() for n in outer if "diff#" in n.right().output().toString()]
+    assert found
+    # The keys meet the events below the join with the texts, so that no text is shuffled for them.
+    for text in found:
+        assert "LeftSemi" in text and text.index("Join Inner") < text.index("Join LeftSemi")

@@ -70,6 +70,7 @@ def code_round(
     claims: DataFrame,
     contracts: DataFrame,
     max_group_rows: int = MAX_GROUP_ROWS,
+    diffs_of: Callable[[DataFrame], DataFrame] | None = None,
 ) -> dict[str, DataFrame]:
     """One round of code runs whose logs are at hand.
 
@@ -77,7 +78,9 @@ def code_round(
     completed_at, base_commit, new_commit and optional columns of the result
     schema.  Empty diffs are left out.  Diffs and logs are read once, to get
     fingerprint and metric; they do not travel through admission and ranking,
-    and a diff joins its result row again by run id.
+    and the diff of an accepted run joins its result row again by run id.
+    ``diffs_of`` gives the diffs of the runs ``(project, run_id)`` with these
+    two columns, where they can be had without reading all of ``runs`` again.
     """
     terms = contracts.select(
         F.col("name").alias("project"), "objective",
@@ -108,7 +111,7 @@ def code_round(
     accepted = admitted.where("accepted").select(
         "project", F.col("candidate_id").alias("run_id")
     )
-    ran = narrow.join(accepted, ["project", "run_id"], "left_semi")
+    ran = durable(narrow.join(accepted, ["project", "run_id"], "left_semi"))
 
     history = ["project", "objective", "completed_at", "run_id", "metric_value"]
     earlier = results.select(*history, "status", F.lit(False).alias("is_code"))
@@ -122,7 +125,12 @@ def code_round(
     rows = code_results(
         ran.join(decided, ["project", "run_id"]).withColumn("error", error)
     )
-    diffs = runs.select("project", "run_id", "diff")
+    # Diffs of all runs are not shuffled, only of those that ran.
+    keys = ran.select("project", "run_id").distinct()
+    if diffs_of is None:
+        diffs = runs.join(keys, ["project", "run_id"], "left_semi").select("project", "run_id", "diff")
+    else:
+        diffs = diffs_of(keys)
     fresh = rows.drop("diff").join(diffs, ["project", "run_id"], "left")
     return {
         "admission": admitted,

@@ -187,19 +187,26 @@ def code_runs_round(spark, sf_dir):
     """Documents as diffs, tried in turn by all events, each with its log."""
     documents = table(spark, sf_dir, "documents")
     many = documents.count()
-    offered = logs(spark, sf_dir).withColumn("doc_id", F.col("event_id") % many).join(
-        documents.select("doc_id", F.col("text").alias("diff")), "doc_id"
-    ).select(
+    tried = logs(spark, sf_dir).select(
+        (F.col("event_id") % many).alias("doc_id"),
         F.concat(F.lit("p"), F.col("user_id") % 10).alias("project"),
         F.lpad(F.lower(F.hex("event_id")), 12, "0").alias("run_id"),
         F.col("user_id").cast("string").alias("agent_id"),
-        "diff", "log", (F.col("event_id") % 11 == 0).alias("timed_out"),
+        "log", (F.col("event_id") % 11 == 0).alias("timed_out"),
         F.col("ts").alias("claimed_at"),
         (F.col("ts") + F.expr("INTERVAL '1' DAY")).alias("completed_at"),
         F.lit("c0").alias("base_commit"), F.lit("c1").alias("new_commit"),
     )
+    texts = documents.select("doc_id", F.col("text").alias("diff"))
+    offered = tried.join(texts, "doc_id").drop("doc_id")
+
+    def diffs_of(keys):
+        """Runs meet the keys before they get texts."""
+        asked = tried.join(keys, ["project", "run_id"], "left_semi")
+        return asked.join(texts, "doc_id").select("project", "run_id", "diff")
+
     terms = contracts(spark, sf_dir).withColumn("metric_pattern", F.lit(DEFAULT_METRIC_PATTERN))
-    outcome = code_round(offered, finished(spark, sf_dir), claims(spark, sf_dir), terms)
+    outcome = code_round(offered, finished(spark, sf_dir), claims(spark, sf_dir), terms, diffs_of=diffs_of)
     return outcome["results"].select(
         "project", "run_id", "metric_value", "status", "error",
         F.sha2("diff", 256).alias("diff_hash"),
