@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import random
 import re
 from collections import Counter, defaultdict
@@ -71,6 +72,22 @@ def test_shingles_begin_at_every_character(spark):
         assert r.got == r.want, r.line
 
 
+def test_minima_are_those_of_all_shingles(spark):
+    rnd = random.Random(4)
+    texts = ["a", "x" * 200, *["".join(rnd.choices("ab é漢𝄞", k=n)) for n in (11, 12, 13, 14, 15, 16, 17, 140, 500)]]
+    rows = spark.createDataFrame([(k, t, sorted(shingles(t))) for k, t in enumerate(texts)], "h1 long, line string, s array<string>")
+    base = F.transform("s", lambda x: F.xxhash64(F.encode(x, "UTF-32")))
+    seeds = [F.xxhash64(F.lit(k)) for k in range(lines.ROWS * lines.BANDS)]
+    minima = [F.array_min(F.transform(base, functools.partial(lambda seed, x: F.xxhash64(x.bitwiseXOR(seed)), seed))) for seed in seeds]
+    want = {r[0]: r[1] for r in rows.select("h1", F.array(*minima)).collect()}
+    got = lines.signatures(rows.select("h1", F.col("h1").alias("h2"), "line")).drop("h2").collect()
+    assert {r[0]: list(r[1:]) for r in got} == want
+
+
+def test_sets_of_a_pair_are_intersected_once():
+    assert str(lines._similar(F.col("a"), F.col("b"), 0.8)).count("array_intersect") == 1
+
+
 def test_recall_on_short_lines(spark):
     # Lines of 4 to 10 shingles beside one that lacks its last character: similarity 0.75 to 0.9.
     rnd = random.Random(11)
