@@ -88,6 +88,56 @@ def test_sets_of_a_pair_are_intersected_once():
     assert str(lines._similar(F.col("a"), F.col("b"), 0.8)).count("array_intersect") == 1
 
 
+def near_lines(rnd, n):
+    """Lines and near copies of them on both sides of the threshold."""
+    out = []
+    while len(out) < n:
+        line = list("".join(rnd.choices("abcde é漢𝄞", k=rnd.choice((5, 12, 20, 60, 200, 900)))))
+        for _ in range(4):
+            out.append("".join(line))
+            for _ in range(rnd.randint(0, 2)):
+                line[rnd.randrange(len(line))] = rnd.choice("xyz")
+    return sorted(set(out))[:n] + ["x" * 20, "x" * 500, "xy" * 40, "xy" * 400]
+
+
+def jaccard(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def with_bits(spark, texts):
+    rows = spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "h1 long, h2 long, line string")
+    return rows.join(lines.bitmaps(rows), ["h1", "h2"]).withColumn("places", lines._places("line"))
+
+
+def test_bitmaps_rule_out_no_similar_pair_and_most_others(spark):
+    texts = near_lines(random.Random(12), 150)
+    rows = with_bits(spark, texts)
+    a, b = (rows.select(F.col("h1").alias(x), F.col("places").alias(f"p{x}"), F.col("bits").alias(f"b{x}")) for x in "ab")
+    open_ = lines._hopeful(F.col("ba"), F.col("pa"), F.col("bb"), F.col("pb"), 0.8)
+    left = {(r.a, r.b) for r in a.join(b, F.col("a") < F.col("b")).where(open_).select("a", "b").collect()}
+    pairs = list(combinations(range(len(texts)), 2))
+    similar = {p for p in pairs if jaccard(texts[p[0]], texts[p[1]]) >= 0.8}
+    assert len(similar) > 30 and similar <= left
+    # Places are many more than shingles in the four lines of one or two characters.
+    others = {p for p in left - similar if p[1] < len(texts) - 4}
+    assert len(others) < 0.02 * len(pairs)
+
+
+def test_classes_of_a_bucket_are_compared_as_in_plain_loops(spark, monkeypatch):
+    monkeypatch.setattr(lines, "BLOCK", 16)
+    texts = near_lines(random.Random(13), 120)
+    node = F.struct("h1", "h2")
+    rows = spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "h1 long, h2 long, line string").select(node.alias("node"), "line")
+    # Every class in bucket 1, every other one in bucket 2 too; two or three classes a component.
+    component = F.struct((F.col("node.h1") % 41).alias("h1"), F.lit(0).cast("long").alias("h2"))
+    members = rows.select(F.explode(F.expr("if(node.h1 % 2 = 0, array(1L, 2L), array(1L))")).alias("key"), F.lit(len(texts)).alias("n"), "node", component.alias("component"))
+    found = lines._linked_components(members, rows, 0.8).select("a.h1", F.col("b.h1").alias("other")).collect()
+    similar = [p for p in combinations(range(len(texts)), 2) if jaccard(texts[p[0]], texts[p[1]]) >= 0.8]
+    want = {(min(a % 41, b % 41), max(a % 41, b % 41)) for a, b in similar if a % 41 != b % 41}
+    assert len(want) > 10 and {(min(r), max(r)) for r in found} == want
+
+
 def test_recall_on_short_lines(spark):
     # Lines of 4 to 10 shingles beside one that lacks its last character: similarity 0.75 to 0.9.
     rnd = random.Random(11)
