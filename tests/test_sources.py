@@ -141,6 +141,12 @@ def test_no_update_of_publishers_at_the_same_time_is_lost(spark, tmp_path):
     assert writers.read_version(spark, root, 6).count() in range(2, 8)
 
 
+def test_claims_at_the_same_time_are_of_different_versions(spark, tmp_path):
+    with ThreadPoolExecutor(6) as pool:
+        for n in range(40):
+            assert sorted(pool.map(lambda _: writers._claim(spark, str(tmp_path / str(n))), range(6))) == list(range(6))
+
+
 def test_appended_results_are_evaluated_once(spark, tmp_path):
     """Run ids made at random are the same in the check and in the write."""
     path = str(tmp_path / "results")

@@ -96,6 +96,22 @@ def _published(spark: SparkSession, root: str) -> list[tuple[int, int, str]]:
     return sorted((int(name.partition("-")[0]), at, name) for name, at in found if name[0].isdigit())
 
 
+def _created(spark: SparkSession, path: str) -> bool:
+    """Whether this call created the empty file; another caller may have."""
+    files, place = _files(spark, path)
+    if files.getUri().getScheme() == "file":
+        # Hadoop looks for a local file and creates it in two steps.
+        files.mkdirs(place.getParent())
+        return spark.sparkContext._jvm.java.io.File(place.toUri().getPath()).createNewFile()
+    try:
+        files.create(place, False).close()
+    except Py4JJavaError as error:
+        if not files.exists(place):
+            raise error
+        return False
+    return True
+
+
 def _claim(spark: SparkSession, root: str) -> int:
     """The next version, for this caller alone.
 
@@ -107,12 +123,7 @@ def _claim(spark: SparkSession, root: str) -> int:
     taken = [int(x.getPath().getName()) for x in files.listStatus(place)] if files.exists(place) else []
     version = max([*taken, *(v for v, _, _ in _published(spark, root))], default=-1) + 1
     while True:
-        _, claim = _files(spark, f"{root}/claims/{version:012d}")
-        try:
-            files.create(claim, False).close()
-        except Py4JJavaError as error:
-            if not files.exists(claim):
-                raise error
+        if not _created(spark, f"{root}/claims/{version:012d}"):
             version += 1
             continue
         for old in taken:
